@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Suffixes and MIME types that name a media kind.
-IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif"]
+IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff"]
+WEB_IMAGE_SUFFIXES = IMAGE_SUFFIXES + ["gif"]
 VIDEO_SUFFIXES = ["mp4", "mov", "avi", "mkv", "webm", "m4v"]
 
 
@@ -29,21 +30,28 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def suffix_kind(path: Column) -> Column:
-    """``image``/``video`` by file suffix, NULL for anything else."""
+def suffix_kind(path: Column, web: bool = False) -> Column:
+    """``image``/``video`` by file suffix, NULL for anything else; the web also serves GIF photos."""
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(suffix.isin(IMAGE_SUFFIXES), F.lit("image")).when(
+    return F.when(suffix.isin(WEB_IMAGE_SUFFIXES if web else IMAGE_SUFFIXES), F.lit("image")).when(
         suffix.isin(VIDEO_SUFFIXES), F.lit("video"))
 
 
+# MIME types of decodable media.
+MEDIA_TYPES = {
+    "image/jpeg": "image", "image/png": "image", "image/webp": "image", "image/bmp": "image",
+    "image/gif": "image", "image/tiff": "image",
+    "video/mp4": "video", "video/webm": "video", "video/quicktime": "video",
+    "video/x-matroska": "video", "video/x-msvideo": "video", "video/x-m4v": "video",
+}
+
+
 def media_kind(url: Column, mime: Column | None = None) -> Column:
-    """A known MIME type decides, an opaque or missing one leaves it to the suffix."""
-    by_suffix = suffix_kind(url_path(url))
+    """A known MIME type decides; a missing or opaque one leaves it to the suffix; others are no media."""
+    by_suffix = suffix_kind(url_path(url), web=True)
     if mime is None:
         return by_suffix
     base = F.lower(F.trim(F.regexp_extract(mime, r"^([^;]*)", 1)))
-    family, sub = F.split_part(base, F.lit("/"), F.lit(1)), F.split_part(base, F.lit("/"), F.lit(2))
-    known_image = (family == "image") & ~sub.isin("svg+xml", "x-icon", "vnd.microsoft.icon")
-    opaque = mime.isNull() | (base == "") | base.isin("application/octet-stream", "binary/octet-stream")
-    return (F.when(opaque, by_suffix).when(known_image, F.lit("image"))
-            .when(family == "video", F.lit("video")))
+    known = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
+    opaque = mime.isNull() | (base == "") | (base == "application/octet-stream")
+    return F.when(opaque, by_suffix).otherwise(F.try_element_at(known, base))
