@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration"]
+TOPICS = ["identity", "calibration", "provenance"]
 
 
 def _collect(attribute: str) -> dict:

@@ -51,13 +51,14 @@ def rescale_landmarks(points: Column, factor: Column) -> Column:
 
 
 def margin_crop(b: Column, margin: float, width: Column, height: Column) -> Column:
-    """Grow a box by a share of its size and clamp it to whole pixels of the frame."""
+    """Grow a box by a share of its size and clamp it to whole pixels; the whole frame if empty."""
     dx, dy = box_width(b) * margin, box_height(b) * margin
     zero = F.lit(0.0)
-    return make_box(
-        F.greatest(zero, F.floor(b["x1"] - dx)), F.greatest(zero, F.floor(b["y1"] - dy)),
-        F.least(width, F.ceil(b["x2"] + dx)), F.least(height, F.ceil(b["y2"] + dy)),
-    )
+    grown = make_box(
+        F.greatest(zero, F.rint(b["x1"] - dx)), F.greatest(zero, F.rint(b["y1"] - dy)),
+        F.least(width, F.rint(b["x2"] + dx)), F.least(height, F.rint(b["y2"] + dy)))
+    empty = (grown["x2"] <= grown["x1"]) | (grown["y2"] <= grown["y1"])
+    return F.when(empty, make_box(zero, zero, width, height)).otherwise(grown)
 
 
 def face_crop_box(b: Column, width: Column, height: Column) -> Column:
