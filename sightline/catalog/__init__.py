@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration", "provenance"]
+TOPICS = ["identity", "calibration", "provenance", "verdicts"]
 
 
 def _collect(attribute: str) -> dict:

@@ -85,6 +85,8 @@ def _top_scores(k: int, exclude_self: bool):
             for column in range(lead.shape[1]):
                 chosen = lead[:, column]
                 keep[rows, chosen] |= np.isfinite(contest[rows, chosen])
+            if "claim" in left.columns:
+                keep |= (left["claim"].to_numpy()[part][:, None] == users[None, :]) & np.isfinite(best)
             for r, u in zip(*np.nonzero(keep)):
                 values = tops[r, u]
                 out.append((names[part][r], users[u], values[np.isfinite(values)].tolist(),
@@ -98,8 +100,9 @@ def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "m
                     exclude_self: bool = False) -> DataFrame:
     """Scores of the leading identities of each probe: ``(probe_id, user_id, similarity, euclidean)``.
 
-    Holds every identity that can be a probe's best or runner-up; identities beaten twice inside
-    their own block are left out. Ties keep the smallest ``user_id``.
+    Holds every identity that can be a probe's best or runner-up, and the one a probe's optional
+    ``claim`` column names; others beaten twice inside their own block are left out. Ties keep the
+    smallest ``user_id``.
     """
     id_type = dict(probes.dtypes)["probe_id"]
     user_type = dict(references.dtypes)["user_id"]
@@ -116,8 +119,8 @@ def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "m
     else:
         refs = refs.withColumn("ref_count", F.lit(1).cast("bigint"))
     partial = block_join(
-        probes.select("probe_id", "vector", "dim"), refs, ["probe_id"], ["user_id", "ref_ix"],
-        _top_scores(depth, exclude_self),
+        probes.select("probe_id", "vector", "dim", *[c for c in ("claim",) if c in probes.columns]), refs,
+        ["probe_id"], ["user_id", "ref_ix"], _top_scores(depth, exclude_self),
         f"probe_id {id_type}, user_id {user_type}, tops array<double>, distance double", same=["dim"])
     if depth == 1:
         merged = partial.groupBy("probe_id", "user_id").agg(
@@ -185,6 +188,16 @@ def rank_identities(scores: DataFrame, limits: FaceThresholds = FaceThresholds()
         .when(is_candidate, "candidate").otherwise("no_match").alias("decision"))
 
 
+def claimed_scores(scores: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per ``claims(probe_id, claim)``: the claimed identity's score, and the best other identity's."""
+    entry = F.struct((-F.col("similarity")).alias("loss"), "user_id")
+    mine = F.col("user_id") == F.col("claim")
+    out = scores.join(claims.select("probe_id", "claim"), "probe_id").groupBy("probe_id").agg(
+        F.max(F.when(mine, F.col("similarity"))).alias("own_score"), F.min(F.when(~mine, entry)).alias("rival"))
+    return out.select("probe_id", "own_score", (-F.col("rival.loss")).alias("impostor"),
+                      F.col("rival.user_id").alias("impostor_id"))
+
+
 def decision_of(similarity: Column, limits: FaceThresholds = FaceThresholds()) -> Column:
     """Decision of one score on its own (no rivals)."""
     return (F.when(similarity >= limits.high, "high_confidence")

@@ -23,7 +23,7 @@ def connect(sf_dir: str):
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     """Rows as tuples of plain values, columns by name, rows sorted."""
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if hasattr(v, "item"):
             v = v.item()
