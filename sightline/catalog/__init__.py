@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration", "provenance", "verdicts"]
+TOPICS = ["identity", "calibration", "provenance", "verdicts", "video"]
 
 
 def _collect(attribute: str) -> dict:
