@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "planes", "marks"]
+TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "web", "planes", "marks"]
 
 
 def _collect(attribute: str) -> dict:
