@@ -45,7 +45,7 @@ def url_policy(spark: SparkSession, sf: str) -> DataFrame:
                           (F.col("p") % 5).cast("double").alias("crawl_delay")).withColumn("allow", F.col("rule_pos") == 0)
     hosts = pages.groupBy("host").agg(F.min("page_id").alias("p"))
     addresses = hosts.select("host", F.when(F.col("p") % 6 == 0, "10.0.0.7").otherwise("93.184.216.34").alias("ip")).withColumn(
-        "is_global", W.is_global_address("ip"))
+        "is_global", W.is_global_address(F.col("ip")))
     return W.url_policy_gate(pages.select("url"), robots, addresses)
 
 
