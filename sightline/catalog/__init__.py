@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "web", "planes", "marks", "evaluation"]
+TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "web", "planes", "marks", "evaluation", "streams"]
 
 
 def _collect(attribute: str) -> dict:

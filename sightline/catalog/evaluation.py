@@ -114,9 +114,11 @@ def _open_probes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def open_set_report(spark: SparkSession, sf: str) -> DataFrame:
-    return E.open_set_report(_open_probes(spark, sf)).select(
-        "condition", "probes", "missed", "scored", r6("genuine_min"), r6("p05"), r6("median"), "at_high", "at_candidate", "rank1", r6("impostor_max"),
-        r6("impostor_p999"), "named_wrong")
+    condition = F.when(F.col("name") % 2 == 0, "clean").otherwise("video_small")
+    rivals = M.identity_score_counts(photos(spark, sf).withColumn("condition", condition), 4).where("label = 0").drop("label")
+    return E.open_set_report(_open_probes(spark, sf), cut_lineage(rivals)).select(
+        "condition", "probes", "missed", "scored", r6("genuine_min"), r6("p05"), r6("median"), "at_high", "at_candidate", "rank1",
+        "comparisons", r6("impostor_max"), r6("impostor_p999"), "impostors_tail", "impostors_candidate", "impostors_high", "named_wrong")
 
 
 def donor_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,10 +135,14 @@ def donor_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def cohort_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     cohort = photos(spark, sf).where("identity >= 8").select(F.col("name").alias("cohort_id"), "vector", F.size("vector").alias("dim"))
-    offset = M.cohort_offset(probes(spark, sf), cohort, 5)
-    rows = M.leave_one_out(photos(spark, sf)).join(offset, "probe_id").select(F.col("own").alias("person"), "genuine", "impostor", "offset")
-    sides = E.split_people(rows.select("person"), 0.5, 3)
-    return E.cohort_thresholds(rows, sides).select("method", r6("threshold"), "genuine", r6("recall"), "exceedances", r6("impostor_max"))
+    offset = M.cohort_offset(probes(spark, sf), cohort, 5).select(F.col("probe_id").alias("name"), F.col("offset").alias("shift"))
+    sides = E.split_people(photos(spark, sf).select(F.col("identity").alias("person")), 0.5, 3)
+    halved = photos(spark, sf).join(sides.select(F.col("person").alias("identity"), F.col("calibrates").alias("pool")), "identity").join(offset, "name")
+    halved = cut_lineage(halved)
+    raw = M.identity_score_counts(halved.drop("shift"), 4).withColumn("method", F.lit("raw"))
+    normal = M.identity_score_counts(halved, 4).withColumn("method", F.lit("normalised"))
+    scores = raw.unionByName(normal).withColumn("calibrates", F.col("pool") == "true")
+    return E.cohort_thresholds(cut_lineage(scores)).select("method", r6("threshold"), "genuine", "comparisons", r6("recall"), "exceedances", r6("impostor_max"))
 
 
 def _detections(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,12 +319,15 @@ ORACLES = {
     "top_identity_pairs": f"""WITH {_MAX}, k AS (SELECT least(own, user_id) AS a, greatest(own, user_id) AS b, max(similarity) AS s FROM p WHERE own <> user_id
       GROUP BY 1, 2 HAVING max(similarity) >= 0.25) SELECT a, b, round(s, 6) AS similarity FROM k ORDER BY s DESC, a, b LIMIT 6""",
     "open_set_report": f"""WITH {_LOO}, k AS (SELECT CASE WHEN probe_id % 2 = 0 THEN 'clean' ELSE 'video_small' END AS condition,
-      CASE WHEN probe_id % 31 > 0 THEN round(genuine, 6) END AS g, CASE WHEN probe_id % 31 > 0 THEN round(impostor, 6) END AS i FROM best)
-      SELECT condition, count(*) AS probes, count(*) FILTER (WHERE g IS NULL AND i IS NULL) AS missed, count(g) AS scored, min(g) AS genuine_min,
+      CASE WHEN probe_id % 31 > 0 THEN round(genuine, 6) END AS g, CASE WHEN probe_id % 31 > 0 THEN round(impostor, 6) END AS i FROM best),
+      a AS (SELECT condition, count(*) AS probes, count(*) FILTER (WHERE g IS NULL AND i IS NULL) AS missed, count(g) AS scored, min(g) AS genuine_min,
       round(quantile_cont(g, 0.05), 6) AS p05, round(quantile_cont(g, 0.5), 6) AS median, count(*) FILTER (WHERE g >= 0.47) AS at_high,
-      count(*) FILTER (WHERE g >= 0.3591) AS at_candidate, count(*) FILTER (WHERE g > i) AS rank1, max(i) AS impostor_max,
-      round(quantile_cont(i, 0.999), 6) AS impostor_p999, count(*) FILTER (WHERE i >= 0.47 AND i > g AND NOT abs(g - i) < 0.05) AS named_wrong
-      FROM k GROUP BY 1""",
+      count(*) FILTER (WHERE g >= 0.3591) AS at_candidate, count(*) FILTER (WHERE g > i) AS rank1,
+      count(*) FILTER (WHERE i >= 0.47 AND i > g AND NOT abs(g - i) < 0.05) AS named_wrong FROM k GROUP BY 1),
+      r AS (SELECT CASE WHEN probe_id % 2 = 0 THEN 'clean' ELSE 'video_small' END AS condition, round(similarity * 1e4)::BIGINT / 10000 AS s FROM p WHERE own <> user_id),
+      b AS (SELECT condition, count(*) AS comparisons, round(max(s), 6) AS impostor_max, round(quantile_cont(s, 0.999), 6) AS impostor_p999,
+      count(*) FILTER (WHERE s >= 0.3) AS impostors_tail, count(*) FILTER (WHERE s >= 0.3591) AS impostors_candidate,
+      count(*) FILTER (WHERE s >= 0.47) AS impostors_high FROM r GROUP BY 1) SELECT * FROM a JOIN b USING (condition)""",
     "donor_report": f"""WITH {_MAX}, r AS (SELECT probe_id, round(max(CASE WHEN user_id = own THEN similarity END), 6) AS d,
       round(max(CASE WHEN user_id = (own + 1) % 10 THEN similarity END), 6) AS t, round(max(CASE WHEN user_id NOT IN (own, (own + 1) % 10) THEN similarity END), 6) AS o
       FROM p GROUP BY probe_id), k AS (SELECT 'generator-' || (probe_id % 3) AS model, CASE WHEN probe_id % 2 = 0 THEN 'clean' ELSE 'video_small' END AS condition,
@@ -327,15 +336,18 @@ ORACLES = {
       count(*) FILTER (WHERE d IS NOT NULL AND t > d AND t >= o) AS target_first, count(*) FILTER (WHERE d >= 0.47) AS donor_high,
       count(*) FILTER (WHERE d >= t AND d >= o AND d >= 0.47 AND d - greatest(t, o) >= 0.05) AS donor_named, round(quantile_cont(d, 0.5), 6) AS median_donor
       FROM k GROUP BY ALL""",
-    "cohort_thresholds": f"""WITH {_LOO}, k AS (SELECT a.vec_id AS probe_id, list_dot_product(a.v, b.v) AS c, row_number() OVER (PARTITION BY a.vec_id
+    "cohort_thresholds": f"""WITH {_MAX}, k AS (SELECT a.vec_id AS probe_id, list_dot_product(a.v, b.v) AS c, row_number() OVER (PARTITION BY a.vec_id
       ORDER BY list_dot_product(a.v, b.v) DESC) AS rk FROM u a JOIN u b ON b.label >= 8), o AS (SELECT probe_id, avg(c) AS shift FROM k WHERE rk <= 5 GROUP BY 1),
-      pr AS (SELECT DISTINCT own AS person FROM best), sd AS (SELECT person, row_number() OVER (ORDER BY md5('3:' || person), person)
+      pr AS (SELECT DISTINCT own AS person FROM p), sd AS (SELECT person, row_number() OVER (ORDER BY md5('3:' || person), person)
       <= round_even((SELECT count(*) FROM pr) * 0.5, 0) AS cal FROM pr),
-      m AS (SELECT 'raw' AS method, cal, genuine AS g, impostor AS i FROM best JOIN sd ON own = person UNION ALL
-      SELECT 'normalised', cal, genuine - shift, impostor - shift FROM best JOIN sd ON own = person JOIN o USING (probe_id)),
-      f AS (SELECT method, max(i) + 0.01 AS threshold FROM m WHERE cal GROUP BY 1)
-      SELECT method, round(any_value(threshold), 6) AS threshold, count(g) AS genuine, round(avg((g >= threshold)::INT), 6) AS recall,
-      count(*) FILTER (WHERE i >= threshold) AS exceedances, round(max(i), 6) AS impostor_max FROM m JOIN f USING (method) WHERE NOT cal GROUP BY method""",
+      h AS (SELECT p.*, a.cal, shift FROM p JOIN sd a ON a.person = own JOIN sd b ON b.person = user_id AND a.cal = b.cal JOIN o USING (probe_id)),
+      m AS (SELECT 'raw' AS method, cal, own = user_id AS y, round(similarity * 1e4)::BIGINT / 10000 AS s FROM h UNION ALL
+      SELECT 'normalised', cal, own = user_id, round((similarity - shift) * 1e4)::BIGINT / 10000 FROM h),
+      f AS (SELECT method, max(s) + 0.01 AS threshold FROM m WHERE cal AND NOT y GROUP BY 1)
+      SELECT method, round(any_value(threshold), 6) AS threshold, count(*) FILTER (WHERE y) AS genuine, count(*) FILTER (WHERE NOT y) AS comparisons,
+      round(count(*) FILTER (WHERE y AND s >= threshold) / greatest(count(*) FILTER (WHERE y), 1), 6) AS recall,
+      count(*) FILTER (WHERE NOT y AND s >= threshold) AS exceedances, round(max(CASE WHEN NOT y THEN s END), 6) AS impostor_max
+      FROM m JOIN f USING (method) WHERE NOT cal GROUP BY method""",
     "detection_spread": """WITH m AS (SELECT l_linenumber = 1 AS chosen, 'confidence' AS measure, l_discount AS v FROM lineitem UNION ALL
       SELECT l_linenumber = 1, 'width', l_quantity FROM lineitem) SELECT chosen, measure, count(*) AS n, round(min(v), 6) AS minimum,
       round(quantile_cont(v, 0.5), 6) AS median, round(max(v), 6) AS maximum FROM m GROUP BY ALL""",

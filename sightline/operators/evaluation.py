@@ -209,24 +209,29 @@ def identity_pair_peaks(photos: DataFrame, level: float) -> DataFrame:
     return cells.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def open_set_report(probes: DataFrame, limits: FaceThresholds = FaceThresholds(), condition: str = "condition") -> DataFrame:
+def open_set_report(probes: DataFrame, impostors: DataFrame, limits: FaceThresholds = FaceThresholds(), tail: float = 0.3) -> DataFrame:
     """Per condition: genuine quantiles, rank-1, bands, impostor tail, wrong names, missed faces.
 
-    ``probes(condition, genuine, impostor)`` hold the leave-one-out score and hardest rival per probe;
-    both NULL where no face was found.
+    ``probes(condition, genuine, impostor)`` hold the leave-one-out score and hardest rival per probe,
+    both NULL where no face was found; ``impostors(condition, score, n)`` is the distribution of all
+    comparisons with other identities.
     """
     g, i = F.col("genuine"), F.col("impostor")
     close = F.coalesce(F.abs(g - i) < limits.min_margin, F.lit(False))
     seen = g.isNotNull() | i.isNotNull()
-    out = probes.groupBy(condition).agg(
+    out = probes.groupBy("condition").agg(
         F.count("*").alias("probes"), F.count_if(~seen).alias("missed"), F.count("genuine").alias("scored"), F.min(g).alias("genuine_min"),
         F.count_if(g >= limits.high).alias("at_high"), F.count_if(g >= limits.candidate).alias("at_candidate"),
-        F.count_if(g > F.coalesce(i, F.lit(-2.0))).alias("rank1"), F.max(i).alias("impostor_max"),
+        F.count_if(g > F.coalesce(i, F.lit(-2.0))).alias("rank1"),
         F.count_if((i >= limits.high) & (i > F.coalesce(g, F.lit(-2.0))) & ~close).alias("named_wrong"))
-    counted = lambda c: probes.where(F.col(c).isNotNull()).groupBy(condition, F.col(c).alias("score")).agg(F.count("*").alias("n"))
-    genuine = C.weighted_quantiles(counted("genuine"), [condition], {"p05": 0.05, "median": 0.5}).drop("n")
-    impostor = C.weighted_quantiles(counted("impostor"), [condition], {"impostor_p999": 0.999}).drop("n")
-    return out.join(genuine, condition, "left").join(impostor, condition, "left")
+    counted = probes.where(g.isNotNull()).groupBy("condition", g.alias("score")).agg(F.count("*").alias("n"))
+    genuine = C.weighted_quantiles(counted, ["condition"], {"p05": 0.05, "median": 0.5}).drop("n")
+    quantile = C.weighted_quantiles(impostors, ["condition"], {"impostor_p999": 0.999}).drop("n")
+    above = lambda v, name: F.sum(F.when(F.col("score") >= v, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias(name)
+    rivals = impostors.groupBy("condition").agg(
+        F.sum("n").alias("comparisons"), F.max("score").alias("impostor_max"), above(tail, "impostors_tail"),
+        above(limits.candidate, "impostors_candidate"), above(limits.high, "impostors_high"))
+    return out.join(genuine, "condition", "left").join(rivals, "condition", "left").join(quantile, "condition", "left")
 
 
 def donor_report(fakes: DataFrame, limits: FaceThresholds = FaceThresholds()) -> DataFrame:
@@ -248,21 +253,19 @@ def donor_report(fakes: DataFrame, limits: FaceThresholds = FaceThresholds()) ->
     return out.join(middle, keys, "left")
 
 
-def cohort_thresholds(probes: DataFrame, sides: DataFrame, margin: float = 0.01) -> DataFrame:
-    """Threshold above every fitting impostor, judged on the other half, raw and cohort-normalised.
+def cohort_thresholds(scores: DataFrame, margin: float = 0.01) -> DataFrame:
+    """Threshold above every impostor of the fitting half, judged on the other half, per method.
 
-    ``probes(person, genuine, impostor, offset)``, ``sides(person, calibrates)``.
+    ``scores(method, calibrates, label, score, n)`` are distributions of comparisons inside each half.
     """
-    joined = probes.join(sides, "person")
-    raw = joined.select("calibrates", F.lit("raw").alias("method"), "genuine", "impostor")
-    normal = joined.select("calibrates", F.lit("normalised").alias("method"), (F.col("genuine") - F.col("offset")).alias("genuine"),
-                           (F.col("impostor") - F.col("offset")).alias("impostor"))
-    both = raw.unionByName(normal)
-    fitted = both.where("calibrates").groupBy("method").agg((F.max("impostor") + margin).alias("threshold"))
-    test = both.where("NOT calibrates").join(fitted, "method")
-    return test.groupBy("method", "threshold").agg(
-        F.count("genuine").alias("genuine"), F.avg((F.col("genuine") >= F.col("threshold")).cast("double")).alias("recall"),
-        F.count_if(F.col("impostor") >= F.col("threshold")).alias("exceedances"), F.max("impostor").alias("impostor_max"))
+    fitted = scores.where("calibrates AND label = 0").groupBy("method").agg((F.max("score") + margin).alias("threshold"))
+    test = scores.where("NOT calibrates").join(fitted, "method")
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))).cast("bigint")
+    genuine, above = F.col("label") == 1, F.col("score") >= F.col("threshold")
+    out = test.groupBy("method", "threshold").agg(
+        count(genuine).alias("genuine"), count(genuine & above).alias("kept"), count(~genuine).alias("comparisons"),
+        count(~genuine & above).alias("exceedances"), F.max(F.when(~genuine, F.col("score"))).alias("impostor_max"))
+    return out.withColumn("recall", F.col("kept") / F.greatest("genuine", F.lit(1).cast("bigint"))).drop("kept")
 
 
 def detection_spread(detections: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -327,15 +327,15 @@ def _identity_pair_counts(decimals: int):
 
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best = _maxima(left, right)
-        same = (best["own"] == best["user_id"]).to_numpy()
         barred = {(p, u) for p, users in zip(left["probe_id"], left["barred"]) for u in users}
         if barred:
-            hit = np.fromiter(((p, u) in barred for p, u in zip(best["probe_id"], best["user_id"])),
-                              bool, len(best))
-            best, same = best[same | ~hit], same[same | ~hit]
-        steps = np.rint(best["similarity"].to_numpy() * 10 ** decimals).astype(np.int64)
-        uniq, n = np.unique(steps * 2 + same, return_counts=True)
-        return pd.DataFrame({"label": (uniq % 2).astype(np.int32), "step": uniq // 2, "n": n})
+            hit = np.fromiter(((p, u) in barred for p, u in zip(best["probe_id"], best["user_id"])), bool, len(best))
+            best = best[(best["own"] == best["user_id"]).to_numpy() | ~hit]
+        about = left.set_index("probe_id").loc[best["probe_id"]]
+        steps = np.rint((best["similarity"].to_numpy() - about["shift"].to_numpy()) * 10 ** decimals).astype(np.int64)
+        table = pd.DataFrame({"condition": about["condition"].to_numpy(), "pool": about["pool"].to_numpy(),
+                              "label": (best["own"] == best["user_id"]).to_numpy().astype(np.int32), "step": steps})
+        return table.groupby(["condition", "pool", "label", "step"]).size().reset_index(name="n")
 
     return reduce
 
@@ -343,13 +343,19 @@ def _identity_pair_counts(decimals: int):
 def identity_score_counts(photos: DataFrame, decimals: int = 4, barred: DataFrame | None = None) -> DataFrame:
     """Distribution of leave-one-out probe-to-identity scores: ``(label, score, n)``.
 
-    The score of an identity is its best photo other than the probe. An identity that fits one block
-    is hashed whole and counted inside its task; only identities too large for a block are split over
-    blocks and merged as (probe, identity) maxima first. ``barred(probe_id, user_id)`` removes
+    ``photos(name, identity, vector)`` may carry ``condition`` (a column of the result), ``pool`` (only
+    photos of one pool are compared; a column of the result) and ``shift`` (taken from the probe's
+    scores). The score of an identity is its best photo other than the probe. An identity that fits one
+    block is hashed whole and counted inside its task; only identities too large for a block are split
+    over blocks and merged as (probe, identity) maxima first. ``barred(probe_id, user_id)`` removes
     impostor comparisons (see :func:`alias_pairs`).
     """
-    probes = photos.select(F.col("name").alias("probe_id"), F.col("identity").alias("own"), "vector",
-                           F.size("vector").alias("dim"))
+    keys = [c for c in ("condition", "pool") if c in photos.columns]
+    column = lambda c, default: F.col(c) if c in photos.columns else F.lit(default)
+    full = photos.select(
+        "name", "identity", "vector", F.size("vector").alias("dim"), column("condition", "").cast("string").alias("condition"),
+        column("pool", "").cast("string").alias("pool"), column("shift", 0.0).cast("double").alias("shift"))
+    probes = full.select(F.col("name").alias("probe_id"), F.col("identity").alias("own"), "vector", "dim", "condition", "pool", "shift")
     user_type = dict(probes.dtypes)["own"]
     none = F.array().cast(f"array<{user_type}>")
     if barred is None:
@@ -357,23 +363,20 @@ def identity_score_counts(photos: DataFrame, decimals: int = 4, barred: DataFram
     else:
         lists = barred.groupBy("probe_id").agg(F.collect_set("user_id").alias("barred"))
         probes = probes.join(lists, "probe_id", "left").withColumn("barred", F.coalesce("barred", none))
-    refs = photos.select(F.col("identity").alias("user_id"), F.col("name").alias("ref_ix"),
-                         F.col("name").alias("ref_name"), "vector", F.size("vector").alias("dim"))
+    refs = full.select(F.col("identity").alias("user_id"), F.col("name").alias("ref_ix"), F.col("name").alias("ref_name"),
+                       "vector", "dim", "pool")
     large = refs.groupBy("user_id").agg(F.count("*").alias("photos")).where(F.col("photos") > BLOCK_ROWS)
-    whole = refs.join(large, "user_id", "left_anti")
-    counts = block_join(probes, whole, ["probe_id"], ["user_id"], _identity_pair_counts(decimals),
-                        "label int, step bigint, n bigint", same=["dim"])
+    counts = block_join(probes, refs.join(large, "user_id", "left_anti"), ["probe_id"], ["user_id"], _identity_pair_counts(decimals),
+                        "condition string, pool string, label int, step bigint, n bigint", same=["dim", "pool"])
     if not large.isEmpty():
-        split = identity_maxima(probes, refs.join(large, "user_id", "left_semi"))
-        bars = probes.select("probe_id", "barred")
-        split = split.join(bars, "probe_id").where(
+        split = identity_maxima(probes, refs.join(large, "user_id", "left_semi"), ["pool"])
+        split = split.join(probes.select("probe_id", "barred", "condition", "shift", "pool"), "probe_id").where(
             (F.col("user_id") == F.col("own")) | ~F.array_contains("barred", F.col("user_id")))
-        step = F.rint(F.col("similarity") * F.lit(float(10 ** decimals))).cast("bigint")
-        counts = counts.unionByName(
-            split.groupBy((F.col("user_id") == F.col("own")).cast("int").alias("label"), step.alias("step"))
-            .agg(F.count("*").alias("n")))
-    return (counts.groupBy("label", "step").agg(F.sum("n").alias("n"))
-            .select("label", (F.col("step") / F.lit(10 ** decimals)).alias("score"), "n"))
+        step = F.rint((F.col("similarity") - F.col("shift")) * F.lit(float(10 ** decimals))).cast("bigint")
+        label = (F.col("user_id") == F.col("own")).cast("int")
+        counts = counts.unionByName(split.groupBy("condition", "pool", label.alias("label"), step.alias("step")).agg(F.count("*").alias("n")))
+    return (counts.groupBy(*keys, "label", "step").agg(F.sum("n").alias("n"))
+            .select(*keys, "label", (F.col("step") / F.lit(10 ** decimals)).alias("score"), "n"))
 
 
 def _maxima(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -393,7 +396,7 @@ def _maxima(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(frames)
 
 
-def identity_maxima(probes: DataFrame, references: DataFrame) -> DataFrame:
+def identity_maxima(probes: DataFrame, references: DataFrame, same: list[str] | None = None) -> DataFrame:
     """Best reference per (probe, identity), a probe's own photo left out.
 
     One row per probe and *identity*, folded from photo pairs inside the tasks.
@@ -401,7 +404,7 @@ def identity_maxima(probes: DataFrame, references: DataFrame) -> DataFrame:
     id_type, user_type = dict(probes.dtypes)["probe_id"], dict(references.dtypes)["user_id"]
     cells = block_join(probes, references, ["probe_id"], ["user_id", "ref_ix"], _maxima,
                        f"probe_id {id_type}, own {user_type}, user_id {user_type}, similarity double",
-                       same=["dim"])
+                       same=["dim", *(same or [])])
     return cells.groupBy("probe_id", "own", "user_id").agg(F.max("similarity").alias("similarity"))
 
 
