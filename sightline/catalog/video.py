@@ -34,7 +34,7 @@ def uniform_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scene_change_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sample_scene_change(frames(spark, sf), SHORT, chunk_frames=32).select(
+    return S.sample_scene_change(frames(spark, sf), SHORT).select(
         "video_id", "frame_number", "kept")
 
 

@@ -70,7 +70,7 @@ def flip_average(a: Column, b: Column) -> Column:
 
 def histogram_intersection(a: Column, b: Column) -> Column:
     """Overlap of two histograms; a missing one is permissive (1.0)."""
-    return F.coalesce(total(F.zip_with(as_double(a), as_double(b), F.least)), F.lit(1.0))
+    return F.coalesce(total(F.zip_with(as_double(a), as_double(b), lambda x, y: F.least(x, y))), F.lit(1.0))
 
 
 def logistic_score(features: Column, mean: list[float], scale: list[float],

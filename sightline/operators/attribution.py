@@ -86,7 +86,8 @@ def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int
                   .select("phash", "first_id", F.length("phash").alias("digits"),
                           hash_words(F.col("phash")).alias("words")))
     cells = block_join(_distinct_hashes(content), registered, ["phash"], ["phash"], _closest(k, below),
-                       f"phash string, asset_phash string, distance int, first_id {id_type}", same=["digits"])
+                       f"phash string, asset_phash string, distance int, first_id {id_type}", same=["digits"],
+                       counted=(content, assets))
     near = F.slice(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))), 1, k)
     return cells.groupBy("phash").agg(near.alias("near"))
 
@@ -191,7 +192,7 @@ def restore_sizes(content: DataFrame, assets: DataFrame, floor: float = EVIDENCE
     cells = block_join(
         shapes, sizes, ["phash", "width", "height"], ["phash", "width", "height"], _sizes(floor, limit),
         "phash string, width int, height int, asset_width int, asset_height int, distance int, "
-        f"first_id {id_type}", same=["digits"])
+        f"first_id {id_type}", same=["digits"], counted=(content, assets))
     best = cells.groupBy("phash", "width", "height", "asset_width", "asset_height").agg(
         F.min(F.struct("distance", "first_id")).alias("m"))
     order = Window.partitionBy("phash", "width", "height").orderBy("m")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
@@ -34,12 +34,15 @@ def _grid_side(df: DataFrame, key: Sequence[Column], own: str, other: str, own_b
 
 def block_join(left: DataFrame, right: DataFrame, left_key: Sequence[str], right_key: Sequence[str],
                reducer: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-               same: Sequence[str] = (), rows: int = BLOCK_ROWS) -> DataFrame:
+               same: Sequence[str] = (), rows: int = BLOCK_ROWS,
+               counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Run ``reducer(left cell, right cell)`` for every pair of blocks that agree on ``same``.
 
-    Every left row meets every right row with equal ``same`` columns in exactly one cell.
+    Every left row meets every right row with equal ``same`` columns in exactly one cell. ``counted``
+    names cheaper tables with at least as many rows to size the grid by, where counting the sides
+    themselves would compute them.
     """
-    left_blocks, right_blocks = block_count(left, rows), block_count(right, rows)
+    left_blocks, right_blocks = (block_count(df, rows) for df in (counted or (left, right)))
     columns = lambda names: [F.col(n) for n in names]
     a = _grid_side(left, columns(left_key), "__left", "__right", left_blocks, right_blocks)
     right = right.toDF(*right.columns)  # fresh attributes: both sides may stem from one table
@@ -49,7 +52,7 @@ def block_join(left: DataFrame, right: DataFrame, left_key: Sequence[str], right
 
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype="object") for n in names})
         return reducer(x, y)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(cell, schema)
@@ -69,3 +72,35 @@ def stripes(size: int) -> Iterator[slice]:
 def group_bounds(sorted_codes: np.ndarray) -> np.ndarray:
     """Start position of each run of equal values."""
     return np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Walk each group in ``order`` with a state, row by row, as one pass over sorted partitions.
+
+    ``start()`` makes a group's state; ``step(state, rows)`` takes consecutive row tuples with equal
+    ``order[0]`` and returns output tuples. A group is streamed through its task, never gathered, and
+    many small groups cost no more than one large one. The row number is there for what its window
+    demands: clustered and sorted input, which a bare repartition does not guarantee under AQE.
+    """
+    names = df.columns
+    line = Window.partitionBy(*keys).orderBy(*order)
+    key_at, group_at = [names.index(k) for k in keys], names.index(order[0])
+    fields = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, held, out = None, None, [], []
+        for batch in batches:
+            for row in zip(*(batch[c].tolist() if batch[c].dtype != object else batch[c] for c in names)):
+                here = tuple(row[i] for i in key_at)
+                if held and (here != key or row[group_at] != held[0][group_at]):
+                    out.extend(step(state, held))
+                    held = []
+                if here != key:
+                    key, state = here, start()
+                held.append(row)
+            yield pd.DataFrame(out, columns=fields)
+            out = []
+        if held:
+            yield pd.DataFrame(step(state, held), columns=fields)
+
+    return df.withColumn("__turn", F.row_number().over(line)).mapInPandas(run, schema)

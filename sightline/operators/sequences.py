@@ -7,12 +7,12 @@ order-dependent folds run chunk by chunk, so one long video is work for many tas
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.boxes import frontality
 from sightline.operators.attribution import closest_hashes, similarity_of
+from sightline.operators.blocks import fold_sorted
 from sightline.operators.prefix import bucketed_rank, running_sums
 from sightline.session import cut_lineage
 from sightline.settings import EVIDENCE_FLOOR, SamplingRules, TrackingRules
@@ -43,20 +43,6 @@ def sample_uniform(frames: DataFrame, videos: DataFrame, rules: SamplingRules =
         {"step": step, "ts": F.col("frame_number") / F.col("rate")}).drop("stride", "rate")
 
 
-def _fold_chunk(threshold: float):
-    """Keep a frame when it differs enough from the last kept one."""
-
-    def run(planes: list[np.ndarray], last: np.ndarray | None) -> list[int]:
-        kept = []
-        for i, plane in enumerate(planes):
-            if last is None or float(np.mean(np.abs(plane - last))) >= threshold:
-                kept.append(i)
-                last = plane
-        return kept
-
-    return run
-
-
 def sample_scene_change(frames: DataFrame, rules: SamplingRules = SamplingRules(), chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """First frame, then each frame differing enough from the *last kept* one, at most ``max_frames``.
 
@@ -64,39 +50,50 @@ def sample_scene_change(frames: DataFrame, rules: SamplingRules = SamplingRules(
     frame their predecessor kept, until no chunk is handed another frame than before. Most chunks
     settle in the second round; the result equals the plain fold.
     """
-    fold = _fold_chunk(rules.scene_change)
     work = cut_lineage(frames.select("video_id", "frame_number", F.col("plane").cast("array<double>").alias("plane"),
                                      F.floor(F.col("frame_number") / chunk_frames).cast("bigint").alias("chunk"))
                        .repartition("video_id", "chunk"))
     key = ["video_id", "chunk"]
     video_type = dict(work.dtypes)["video_id"]
 
-    def chunk_kept(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series, list[int]]:
-        """Frames of a chunk, the frame handed to it (its first row) and what it keeps."""
-        pdf = pdf.sort_values("frame_number")
-        handed, pdf = pdf.iloc[0], pdf[~pdf["handed"]]
-        before = None if handed["plane"] is None else np.asarray(handed["plane"])
-        return pdf, handed, fold([np.asarray(x) for x in pdf["plane"]], before)
+    class Chunk:
+        """The frame last kept while a chunk's frames go by; its first row is the frame handed to it."""
 
-    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, handed, kept = chunk_kept(pdf)
-        last = pdf.iloc[kept[-1]] if kept else handed
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "given": [handed["given"]],
-                             "last": [last["frame_number"] if kept else handed["given"]], "last_plane": [last["plane"]]})
+        def __init__(self):
+            self.given, self.last, self.plane = None, None, None
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _, kept = chunk_kept(pdf)
-        return pdf.iloc[kept][["video_id", "frame_number", "chunk"]]
+        def take(self, row: tuple) -> bool:
+            """Whether a frame is kept."""
+            _, _, number, plane, given, handed = row
+            if handed:
+                self.given = self.last = given
+                self.plane = None if plane is None else np.asarray(plane)
+                return False
+            here = np.asarray(plane)
+            keep = self.plane is None or float(np.mean(np.abs(here - self.plane))) >= rules.scene_change
+            if keep:
+                self.last, self.plane = number, here
+            return keep
+
+    def advance(chunk: Chunk, rows: list[tuple]) -> list[tuple]:
+        news = [row for row in rows if chunk.take(row) or row[5]]
+        return [(*row[:2], chunk.given, chunk.last, None if chunk.plane is None else chunk.plane.tolist()) for row in news[-1:]]
+
+    def emit(chunk: Chunk, rows: list[tuple]) -> list[tuple]:
+        return [(row[0], row[2], row[1]) for row in rows if chunk.take(row)]
 
     def with_handed(todo: DataFrame) -> DataFrame:
         rows = work.join(todo.select(*key), key, "left_semi").select(
             *key, "frame_number", "plane", F.lit(None).cast("bigint").alias("given"), F.lit(False).alias("handed"))
         first = todo.select(*key, F.lit(-1).cast("bigint").alias("frame_number"), "plane", "given", F.lit(True).alias("handed"))
-        return rows.unionByName(first).groupBy(*key)
+        return rows.unionByName(first).select("video_id", "chunk", "frame_number", "plane", "given", "handed")
 
     def run(todo: DataFrame) -> DataFrame:
-        return with_handed(todo).applyInPandas(
-            advance, f"video_id {video_type}, chunk bigint, given bigint, last bigint, last_plane array<double>")
+        # a chunk reports what it was handed and each frame it keeps; the last report is its outcome
+        reports = fold_sorted(with_handed(todo), key, ["frame_number"], Chunk, advance,
+                              f"video_id {video_type}, chunk bigint, given bigint, last bigint, last_plane array<double>")
+        return reports.groupBy(*key).agg(F.first("given").alias("given"), F.max(F.struct("last", "last_plane")).alias("r")).select(
+            *key, "given", "r.last", "r.last_plane")
 
     chunks = work.select(*key).distinct()
     nothing = chunks.select(*key, F.lit(-1).cast("bigint").alias("given"), F.lit(None).cast("array<double>").alias("plane"))
@@ -113,7 +110,7 @@ def sample_scene_change(frames: DataFrame, rules: SamplingRules = SamplingRules(
             break
         done = cut_lineage(done.join(changed.select(*key), key, "left_anti").unionByName(run(changed)))
     final = handed.unionByName(nothing.join(links.select(*key), key, "left_anti"))
-    kept = with_handed(final).applyInPandas(emit, f"video_id {video_type}, frame_number bigint, chunk bigint")
+    kept = fold_sorted(with_handed(final), key, ["frame_number"], Chunk, emit, f"video_id {video_type}, frame_number bigint, chunk bigint")
     ranked = bucketed_rank(kept, ["video_id"], F.col("chunk"), [F.col("frame_number")], "kept")
     return ranked.where(F.col("kept") <= rules.max_frames).drop("chunk")
 
@@ -188,20 +185,17 @@ def track_faces(detections: DataFrame, rules: TrackingRules = TrackingRules()) -
     opened = (F.col("step") - F.lag("step").over(order) > rules.max_gap).cast("int")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     segments = steps.withColumn("o", F.coalesce(opened, F.lit(0))).withColumn("segment", F.sum("o").over(running)).drop("o")
-    work = detections.join(segments, ["video_id", "step"])
-    video_type = dict(detections.dtypes)["video_id"]
-    schema = f"video_id {video_type}, segment bigint, step bigint, det_ix bigint, track_id bigint"
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "det_ix"])
-        tracks, out = OpenTracks(rules), []
-        for step, rows in pdf.groupby("step", sort=True):
-            boxes = list(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-            looks = list(rows["descriptor"]) if has_look else [None] * len(rows)
-            out.extend(zip(rows["video_id"], rows["segment"], rows["step"], rows["det_ix"], tracks.step(int(step), boxes, looks)))
-        return pd.DataFrame(out, columns=["video_id", "segment", "step", "det_ix", "track_id"])
-
-    found = work.groupBy("video_id", "segment").applyInPandas(follow, schema)
+    work = detections.join(segments, ["video_id", "step"]).select(
+        "video_id", "segment", F.col("step").cast("bigint").alias("step"), "det_ix", "x1", "y1", "x2", "y2",
+        *(["descriptor"] if has_look else []))
+    video_type, det_type = dict(detections.dtypes)["video_id"], dict(detections.dtypes)["det_ix"]
+
+    def follow(tracks: OpenTracks, rows: list[tuple]) -> list[tuple]:
+        ids = tracks.step(rows[0][2], [r[4:8] for r in rows], [r[8] if has_look else None for r in rows])
+        return [(*r[:4], i) for r, i in zip(rows, ids)]
+
+    found = fold_sorted(work, ["video_id", "segment"], ["step", "det_ix"], lambda: OpenTracks(rules), follow,
+                        f"video_id {video_type}, segment bigint, step bigint, det_ix {det_type}, track_id bigint")
     return detections.join(found, ["video_id", "step", "det_ix"])
 
 
