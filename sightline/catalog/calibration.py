@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.catalog.inputs import LABELLED, UNIT, labelled_documents, photos
 from sightline.operators import calibration as C
 from sightline.operators import matching as M
+from sightline.operators.evaluation import margin_stats as margin_report
 
 r6 = lambda name: F.round(name, 6).alias(name)
 
@@ -74,9 +75,7 @@ def margin_stats(spark: SparkSession, sf: str) -> DataFrame:
     refs = side.select(F.col("identity").alias("user_id"), F.col("name").alias("ref_ix"),
                        F.col("name").alias("ref_name"), "vector", F.size("vector").alias("dim"))
     ranked = M.rank_identities(M.identity_scores(probes, refs, exclude_self=True))
-    return ranked.agg(F.count("margin").alias("probes"), F.round(F.min("margin"), 6).alias("minimum"),
-                      F.round(F.percentile("margin", F.lit(0.01)), 6).alias("p1"),
-                      F.round(F.percentile("margin", F.lit(0.5)), 6).alias("median"))
+    return margin_report(ranked).select("probes", r6("minimum"), r6("p1"), r6("median"))
 
 
 def score_quantiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,8 +164,8 @@ ORACLES = {
       FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY ALL), w AS (SELECT vec_id, c,
       row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS rn,
       lead(c) OVER (PARTITION BY vec_id ORDER BY c DESC) AS nxt FROM p)
-      SELECT count(c - nxt) AS probes, round(min(c - nxt), 6) AS minimum,
-      round(quantile_cont(c - nxt, 0.01), 6) AS p1, round(quantile_cont(c - nxt, 0.5), 6) AS median FROM w WHERE rn = 1""",
+      SELECT count(c - nxt) AS probes, round(min(round(c - nxt, 6)), 6) AS minimum,
+      round(quantile_cont(round(c - nxt, 6), 0.01), 6) AS p1, round(quantile_cont(round(c - nxt, 6), 0.5), 6) AS median FROM w WHERE rn = 1""",
     "score_quantiles": f"""WITH {_PAIRS} SELECT label, count(*) AS n, round(quantile_cont(score, 0.05), 6) AS p5,
       round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.99), 6) AS p99,
       round(quantile_cont(score, 0.999), 6) AS p999 FROM s GROUP BY label""",

@@ -124,7 +124,7 @@ def coverage_notes(spark: SparkSession, sf: str) -> DataFrame:
 def video_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's sampled events as a video; faces and stills are borrowed from the embeddings."""
     n = table(spark, sf, "embeddings").agg((F.max("vec_id") + 1).alias("n")).withColumn("one", F.lit(1))
-    dets = _detections(spark, sf).withColumn("one", F.lit(1)).join(n, "one").withColumn(
+    dets = _detections(spark, sf).withColumn("one", F.lit(1)).join(F.broadcast(n), "one").withColumn(
         "vec_id", (F.col("video_id") * 31 + F.col("k")) % F.col("n")).drop("one", "n")
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     faces = dets.join(vectors, "vec_id").select("video_id", "step", "det_ix", "x1", "y1", "x2", "y2", "ts", "vector", F.lit(64).alias("dim"),

@@ -29,7 +29,7 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     found = W.page_edges(pages)
     media = found.select("page_url", F.concat("target_url", F.lit(".jpg")).alias("target_url"), F.lit("shown").alias("edge"), F.lit("image").alias("kind"), "pos")
     numbered = pages.select("page_id", F.col("url").alias("target_url"))
-    to = pages.withColumn("one", F.lit(1)).join(n, "one").select(F.col("url").alias("page_url"), F.posexplode(F.array(
+    to = pages.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select(F.col("url").alias("page_url"), F.posexplode(F.array(
         (F.col("page_id") * 2 + 1) % F.col("n"), (F.col("page_id") * 3 + 2) % F.col("n"))).alias("pos", "page_id"))
     links = to.join(numbered, "page_id").select("page_url", "target_url", F.lit("page").alias("edge"), F.lit(None).cast("string").alias("kind"), "pos")
     edges = W.cut_lineage(media.unionByName(links))

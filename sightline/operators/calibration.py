@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.prefix import running_sums
+from sightline.session import checked_broadcast, cut_lineage
 
 
 def roc_points(scores: DataFrame, keys: Sequence[str], ord: str | None = None) -> DataFrame:
@@ -104,7 +105,8 @@ def calibrate(points: DataFrame, keys: Sequence[str], target_fpr: float = 0.01,
                      F.when(few, F.lit("provisional: fewer than 10 pairs of a class")),
                      F.when(narrow, F.lit("fewer than 30 independent pairs")))).alias("notes"))
         for name, value in thresholds.items()])).alias("c")).select(*keys, "genuine", "impostor", "c.*")
-    reached = (points.join(rows.select(*keys, "criterion", "threshold"), list(keys))
+    rows = cut_lineage(rows)
+    reached = (points.join(checked_broadcast(rows.select(*keys, "criterion", "threshold")), list(keys))
                .where(F.col("score") >= F.col("threshold"))
                .groupBy(*keys, "criterion").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp")))
     out = rows.join(reached, [*keys, "criterion"], "left")

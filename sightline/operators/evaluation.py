@@ -14,7 +14,7 @@ from sightline.functions.intervals import clopper_pearson_upper
 from sightline.operators import calibration as C
 from sightline.operators.blocks import block_join, group_bounds, stripes, unit_matrix
 from sightline.operators.prefix import ordered_rank
-from sightline.session import cut_lineage
+from sightline.session import checked_broadcast, cut_lineage
 from sightline.settings import FaceThresholds, GateRules
 
 # Face-width bands and minimum-width rules, in pixels.
@@ -32,7 +32,7 @@ def split_people(people: DataFrame, share: float, seed: int) -> DataFrame:
     named = people.select("person").distinct().withColumn("mix", seeded(seed, F.col("person")))
     ranked = ordered_rank(named, [], [F.col("mix"), F.col("person")], "rank")
     total = named.agg(F.rint(F.count("*") * F.lit(share)).cast("bigint").alias("cut")).withColumn("one", F.lit(1))
-    return ranked.withColumn("one", F.lit(1)).join(total, "one").select("person", (F.col("rank") <= F.col("cut")).alias("calibrates"))
+    return ranked.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("person", (F.col("rank") <= F.col("cut")).alias("calibrates"))
 
 
 def split_half(items: DataFrame, share: float = 0.5, seed: int = 0, key: str = "item") -> DataFrame:
@@ -64,7 +64,8 @@ def evaluate_detector(items: DataFrame, scores: DataFrame, rules: GateRules = Ga
     ``shared`` marks the genuine items every family is separated from.
     """
     limit = cut_lineage(detector_threshold(items, scores, rules.quantile))
-    joined = scores.join(items, "item").join(limit, "detector")
+    # one row per detector and one row of families; both sizes are checked or fixed
+    joined = scores.join(items, "item").join(checked_broadcast(limit), "detector")
     seen, genuine, test = known(F.col("score")), F.col("label") != "fake", F.col("half") == "test"
     report = joined.where(genuine & test).groupBy("detector", "degradation").agg(
         F.first("threshold").alias("threshold"), F.count_if(seen).alias("test_photos"),
@@ -80,11 +81,11 @@ def evaluate_detector(items: DataFrame, scores: DataFrame, rules: GateRules = Ga
     families = items.where("label = 'fake'").select("family").distinct()
     names = families.agg(F.collect_set("family").alias("families")).withColumn("one", F.lit(1))
     own = joined.where(~genuine & seen).select("detector", "degradation", "family", "score", "ord", F.lit(1).alias("label"))
-    shared = (joined.where(genuine & seen & F.col("shared")).withColumn("one", F.lit(1)).join(names, "one")
+    shared = (joined.where(genuine & seen & F.col("shared")).withColumn("one", F.lit(1)).join(F.broadcast(names), "one")
               .select("detector", "degradation", F.explode("families").alias("family"), "score", "ord", F.lit(0).alias("label")))
     keys = ["detector", "degradation", "family"]
     separation = C.auc_eer(C.roc_points(own.unionByName(shared), keys, "ord"), keys).select(*keys, F.col("auc").alias("separation_auc"))
-    grid = scores.select("detector", "degradation").distinct().withColumn("one", F.lit(1)).join(names, "one").select(
+    grid = scores.select("detector", "degradation").distinct().withColumn("one", F.lit(1)).join(F.broadcast(names), "one").select(
         "detector", "degradation", F.explode("families").alias("family"))
     per_family = grid.join(separation, keys, "left").join(fakes, keys, "left").withColumn("test_fakes", F.coalesce("test_fakes", F.lit(0)))
     return report, per_family
@@ -135,7 +136,7 @@ def embedder_screen(scores: DataFrame, calibration: Sequence[str]) -> DataFrame:
     pooled = scores.where(F.col("condition").isin(list(calibration))).withColumn("grp", F.lit(1))
     placed = C.place_thresholds(pooled, ["grp"]).select(F.lit(1).alias("one"), "separated", "review_at", "high_at")
     ceiling = scores.agg(F.max(F.when(F.col("label") == 0, F.col("score"))).alias("ceiling")).withColumn("one", F.lit(1))
-    joined = scores.withColumn("one", F.lit(1)).join(placed, "one").join(ceiling, "one")
+    joined = scores.withColumn("one", F.lit(1)).join(F.broadcast(placed), "one").join(F.broadcast(ceiling), "one")
     s, genuine = F.col("score"), F.col("label") == 1
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))).cast("bigint")
     out = joined.groupBy("condition").agg(
@@ -158,7 +159,7 @@ def quality_guard_cost(scores: DataFrame, quality: DataFrame, high: float, penal
     middle = C.weighted_quantiles(counted, ["condition"], {"p5": 0.05, "median_quality": 0.5}).drop("n")
     low = quality.groupBy("condition").agg(F.min("quality").alias("minimum"))
     raised = F.least(F.lit(1.0), F.lit(high) + penalty * F.greatest(F.lit(0.0), 1.0 - F.col("median_quality")))
-    limits = middle.join(low, "condition").withColumn("raised", raised)
+    limits = checked_broadcast(cut_lineage(middle.join(low, "condition").withColumn("raised", raised)))
     weight = F.col("n") if "n" in scores.columns else F.lit(1).cast("bigint")
     genuine = F.col("label") == 1
     count = lambda c: F.sum(F.when(c, weight).otherwise(F.lit(0))).cast("bigint")
@@ -234,6 +235,17 @@ def open_set_report(probes: DataFrame, impostors: DataFrame, limits: FaceThresho
     return out.join(genuine, "condition", "left").join(rivals, "condition", "left").join(quantile, "condition", "left")
 
 
+def margin_stats(ranked: DataFrame) -> DataFrame:
+    """Lead of the best over the second identity: number, minimum, first percentile and median.
+
+    Margins are counted at six decimals, so the quantiles come from a bounded table.
+    """
+    margins = ranked.where(F.col("margin").isNotNull()).groupBy(F.round("margin", 6).alias("score")).agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+    low = margins.groupBy("g").agg(F.min("score").alias("minimum"))
+    return C.weighted_quantiles(margins, ["g"], {"p1": 0.01, "median": 0.5}).join(low, "g").select(
+        F.col("n").alias("probes"), "minimum", "p1", "median")
+
+
 def donor_report(fakes: DataFrame, limits: FaceThresholds = FaceThresholds()) -> DataFrame:
     """Per generator and condition: whom fakes resemble first, and how strongly their donor.
 
@@ -300,10 +312,10 @@ def split_half_attribution(marked: DataFrame, unmarked: DataFrame, seed: int = 0
     limits = C.weighted_quantiles(fit, ["g"], {"top": 1.0, "one_percent": 0.99}).select(
         F.lit(1).alias("one"), (F.col("top") + 1e-9).alias("zero_fp"), "one_percent")
     rate = lambda c, t: F.avg((F.col(c) >= F.col(t)).cast("double"))
-    m = both.where("NOT calibrates").withColumn("one", F.lit(1)).join(limits, "one").groupBy("one", "zero_fp", "one_percent").agg(
+    m = both.where("NOT calibrates").withColumn("one", F.lit(1)).join(F.broadcast(limits), "one").groupBy("one", "zero_fp", "one_percent").agg(
         F.count("*").alias("test"), rate("score", "zero_fp").alias("detection"), rate("score", "one_percent").alias("detection_1pct"),
         F.avg("top1").alias("top1"))
-    u = plain.where("NOT calibrates").withColumn("one", F.lit(1)).join(limits, "one").groupBy("one").agg(
+    u = plain.where("NOT calibrates").withColumn("one", F.lit(1)).join(F.broadcast(limits), "one").groupBy("one").agg(
         rate("score", "zero_fp").alias("false_positive"), rate("score", "one_percent").alias("false_positive_1pct"))
     table = both.where("NOT calibrates").select(F.lit(1).alias("one"), "score", F.lit(1).alias("label")).unionByName(
         plain.where("NOT calibrates").select(F.lit(1).alias("one"), "score", F.lit(0).alias("label")))
@@ -347,10 +359,10 @@ def layered_readings(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     attack = F.split_part("attack", F.lit("@"), F.lit(1))
     peaks = rows.withColumns({"family": attack, "soft": _argmax("dct_soft"), "learnt": _argmax("learned")})
     held = calibration.select("image_ix").distinct()
-    fit = peaks.where("config = 'original'").join(held, "image_ix", "left_semi").groupBy("family").agg(
-        F.max("soft.top").alias("soft_at"), F.max("learnt.top").alias("learnt_at"))
+    fit = cut_lineage(peaks.where("config = 'original'").join(held, "image_ix", "left_semi").groupBy("family").agg(
+        F.max("soft.top").alias("soft_at"), F.max("learnt.top").alias("learnt_at")))
     deployed = fit.where("family = 'none'").select(F.lit(1).alias("one"), F.col("soft_at").alias("soft0"), F.col("learnt_at").alias("learnt0"))
-    test = peaks.join(held, "image_ix", "left_anti").withColumn("one", F.lit(1)).join(deployed, "one", "left").join(fit, "family", "left")
+    test = peaks.join(held, "image_ix", "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(deployed), "one", "left").join(checked_broadcast(fit), "family", "left")
     infinite = F.lit(float("inf"))
     def named(part: str, at: Column) -> Column:
         return F.when(F.col(f"{part}.top") > at, F.col(f"{part}.code"))
@@ -429,7 +441,7 @@ def usable_detector(held: DataFrame, target_precision: float = 0.95, min_auc: fl
     quality = C.auc_eer(points, ["condition"])
     limit = C.threshold_for_precision(held, ["condition"], target_precision).select("condition", "threshold", "precision", "tp", "fp")
     usable = quality.where("condition = 'clean'").select(F.lit(1).alias("one"), (F.col("auc") >= min_auc).alias("usable"))
-    return quality.join(limit, "condition").withColumn("one", F.lit(1)).join(usable, "one", "left").drop("one")
+    return quality.join(limit, "condition").withColumn("one", F.lit(1)).join(F.broadcast(usable), "one", "left").drop("one")
 
 
 def match_controls(targets: DataFrame, pool: DataFrame, tolerance: float, seed: int = 0, max_rounds: int = 200) -> DataFrame:

@@ -33,7 +33,7 @@ def vote_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     """Votes and counts per (image, bit), with the share of ones (0.5 for an unread bit)."""
     folded = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("slot"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
-    read = folded.join(schedule, ["slot", "carrier"]).groupBy("image_id", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n"))
+    read = folded.join(F.broadcast(schedule), ["slot", "carrier"])  # 64 slots.groupBy("image_id", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n"))
     every = blocks.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))).alias("bit"))
     full = every.join(read, ["image_id", "bit"], "left")
     votes, n = F.coalesce("votes", F.lit(0)), F.coalesce("n", F.lit(0))
@@ -57,7 +57,7 @@ def phase_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
     phases = cells.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
     row = F.floor(F.col("cell") / TILE) + F.floor(F.col("phase") / TILE)
-    read = phases.withColumn("slot", _slot(row, F.col("cell") % TILE + F.col("phase") % TILE)).join(schedule, ["slot", "carrier"])
+    read = phases.withColumn("slot", _slot(row, F.col("cell") % TILE + F.col("phase") % TILE)).join(F.broadcast(schedule), ["slot", "carrier"])
     return read.groupBy("image_id", "phase", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n")).withColumn(
         "ratio", F.col("votes") / F.col("n"))
 
@@ -154,7 +154,7 @@ def mark_blocks(coefficients: DataFrame, payloads: DataFrame, schedule: DataFram
     """
     capacity = coefficients.groupBy("image_id").agg(F.count("*").alias("blocks"))
     bits = payloads.select("image_id", F.posexplode(message_bits(F.col("code"))).alias("bit", "one"))
-    slots = bits.join(schedule, "bit").select("image_id", "slot", "one")
+    slots = bits.join(F.broadcast(schedule), "bit").select("image_id", "slot", "one")
     placed = coefficients.withColumn("slot", _slot(F.col("row"), F.col("col"))).join(slots, ["image_id", "slot"], "left").join(capacity, "image_id")
     mean, half = (F.col("first") + F.col("second")) / 2.0, F.when(F.col("one") == 1, margin / 2.0).otherwise(-margin / 2.0)
     fits = (F.col("blocks") >= MIN_BLOCKS) & F.col("one").isNotNull()

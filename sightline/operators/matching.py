@@ -221,7 +221,7 @@ def skipped_identities(probes: DataFrame, references: DataFrame) -> DataFrame:
     everyone = references.agg(F.count_distinct("user_id").alias("enrolled"))
     dims = probes.groupBy("dim").agg(F.count("*").alias("probes"))
     joined = dims.join(per_dim, "dim", "left").withColumn("one", F.lit(1))
-    return (joined.join(everyone.withColumn("one", F.lit(1)), "one")
+    return (joined.join(F.broadcast(everyone.withColumn("one", F.lit(1))), "one")
             .select("dim", "probes", (F.col("enrolled") - F.coalesce("same", F.lit(0))).alias("skipped")))
 
 

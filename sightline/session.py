@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sightline", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_ROWS = 50_000
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcasting once it is known to be small; a larger one is joined by shuffle.
+
+    Meant for tables that are cheap to count (checkpointed, or a handful of groups).
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recompute.
 

@@ -48,10 +48,10 @@ def clip_inventory(paths: DataFrame, methods: Sequence[str], ranks: Mapping[str,
     A video file outranks a folder of its frames, then the compression rank, then the path decides.
     """
     parts = F.split(F.col("path"), "/")
-    kind = F.element_at(F.filter(parts, lambda p: p.isin(list(methods))), 1)
+    kind = F.get(F.filter(parts, lambda p: p.isin(list(methods))), 0)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
     is_video = F.lower("path").rlike(r"\.(mp4|avi|mov|mkv|webm|m4v)$")
-    video_id = F.when(is_video, stem).otherwise(F.element_at(parts, -2))
+    video_id = F.when(is_video, stem).otherwise(F.get(parts, F.size(parts) - 2))
     order = F.lit(len(ranks))
     for name, rank in ranks.items():
         order = F.when(F.array_contains(parts, name), F.lit(rank)).otherwise(order)

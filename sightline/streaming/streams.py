@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,11 +47,11 @@ def scan_batches(items: DataFrame, assets: DataFrame, out: str, checkpoint: str,
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["sha256"])
-        jvm = spark._jvm.org.apache.hadoop.fs
-        root = jvm.Path(out)
-        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        try:
             seen = spark.read.parquet(out).where(F.col("batch") < batch_id).select("sha256")
-            new = new.join(seen, "sha256", "left_anti")
+        except AnalysisException:  # nothing written yet
+            seen = None
+        new = new if seen is None else new.join(seen, "sha256", "left_anti")
         attribute_source(new, assets).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
