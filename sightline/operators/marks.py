@@ -33,7 +33,7 @@ def vote_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     """Votes and counts per (image, bit), with the share of ones (0.5 for an unread bit)."""
     folded = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("slot"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
-    read = folded.join(F.broadcast(schedule), ["slot", "carrier"])  # 64 slots.groupBy("image_id", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n"))
+    read = folded.join(F.broadcast(schedule), ["slot", "carrier"]).groupBy("image_id", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n"))
     every = blocks.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))).alias("bit"))
     full = every.join(read, ["image_id", "bit"], "left")
     votes, n = F.coalesce("votes", F.lit(0)), F.coalesce("n", F.lit(0))
