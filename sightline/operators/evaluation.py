@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.hashes import bind
 from sightline.functions.intervals import clopper_pearson_upper
 from sightline.operators import calibration as C
 from sightline.operators.blocks import block_join, group_bounds, stripes, unit_matrix
@@ -345,8 +346,8 @@ def robustness_table(images: DataFrame, measurements: DataFrame, transformations
 
 def _argmax(values: str) -> Column:
     """Position and value of the first maximum of an array column."""
-    top = F.array_max(values)
-    return F.struct((F.array_position(values, top) - 1).cast("int").alias("code"), top.alias("top"))
+    return bind(F.col(values), lambda v: bind(F.array_max(v), lambda top: F.struct(
+        (F.array_position(v, top) - 1).cast("int").alias("code"), top.alias("top"))))
 
 
 def layered_readings(rows: DataFrame, calibration: DataFrame) -> DataFrame:

@@ -51,15 +51,15 @@ def phase_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     """Tallies under all 64 tile alignments: blocks fold to their 64 cells once, cells fan out to phases.
 
     A cell is read as the slot it has under the alignment, so the fan-out works on 64 rows per image
-    and carrier however large the picture is.
+    and carrier however large the picture is. Cells and bits are permutations of each other and a slot
+    has one carrier, hence every (phase, bit) comes from one folded row and needs no further shuffle.
     """
     cells = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("cell"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
     phases = cells.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
     row = F.floor(F.col("cell") / TILE) + F.floor(F.col("phase") / TILE)
     read = phases.withColumn("slot", _slot(row, F.col("cell") % TILE + F.col("phase") % TILE)).join(F.broadcast(schedule), ["slot", "carrier"])
-    return read.groupBy("image_id", "phase", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n")).withColumn(
-        "ratio", F.col("votes") / F.col("n"))
+    return read.select("image_id", "phase", "bit", F.col("ones").alias("votes"), "n", (F.col("ones") / F.col("n")).alias("ratio"))
 
 
 def rank_grids(candidates: DataFrame, schedule: DataFrame, budget: int = 2048, keep: int = 4) -> DataFrame:

@@ -24,8 +24,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], su
     The ranges are checkpointed because both passes must see the same boundaries. The local window
     is partitioned by range and group, so no window partition exceeds one range.
     """
-    count = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut_lineage(df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
+    size = [partitions] if partitions else []  # left open, AQE merges neighbouring small ranges
+    ranged = cut_lineage(df.repartitionByRange(*size, *[F.col(k) for k in keys], *order)
                          .withColumn("__range", F.spark_partition_id()))
     group = Window.partitionBy(*keys)
     before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
