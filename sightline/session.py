@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,20 @@ def build_session(app: str = "sightline", master: str | None = None, **conf: str
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, wherever they run and whatever folder they start in."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "sightline"), "zip", home, "sightline"))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
