@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.base import Shelf
 from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
+from sightline.llm.language import learn_languages, predict_languages
+from sightline.llm.packing import packed_sequences
+from sightline.llm.passages import repeated_passages
+from sightline.llm.token_files import token_documents, write_token_files
 from sightline.session import table
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as fetched content."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), F.col("text").alias("content"))
 
 
+def held_out() -> Column:
+    """Documents that no model learns from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    model = learn_languages(rows.where(~held_out()).select(F.col("text").alias("content"), F.col("lang").alias("language")))
+    return predict_languages(documents(spark, sf_dir), model).withColumnRenamed("uri", "doc_id").select(
+        "doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir)).select(
         F.col("uri").alias("doc_id"), F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("fingerprint"),
@@ -27,11 +47,37 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sha256").alias("text_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_exact_dedup": op6_exact_dedup}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Shelf(spark, "ids").path("files")
+    write_token_files(documents(spark, sf_dir), path, WORD_VOCABULARY)
+    return token_documents(spark, path).withColumnRenamed("uri", "doc_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(documents(spark, sf_dir), WORD_VOCABULARY).withColumnRenamed("uri", "doc_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir)).select(
+        F.col("uri").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_simhash": op3_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
+           "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES = {
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256 FROM t""",
+    "op10_substring_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+             w AS (SELECT r, unnest(range(1, len(words) - 33)) AS i, words FROM d WHERE len(words) >= 35),
+             c AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(words[i:i + 34], ' ')) AS n FROM w),
+             gone AS (SELECT DISTINCT r, i + j AS p FROM c, (SELECT unnest(range(0, 35)) AS j) WHERE n > 1),
+             g AS (SELECT r, count(*) AS n, list(p) AS places FROM gone GROUP BY r)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN n IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(
+                   list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(places, k)), lambda k: words[k]), ' ') END) AS kept_sha256
+        FROM d LEFT JOIN g USING (r)""",
 }
