@@ -10,6 +10,7 @@ from sightline.llm.base import Shelf
 from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
 from sightline.llm.language import learn_languages, predict_languages
+from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
 from sightline.llm.token_files import token_documents, write_token_files
@@ -35,6 +36,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("vector"))
+    return near_identity_vectors(rows).select(F.col("vec").alias("vec_id"), "n_links", F.col("group").alias("component_id"), "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir)).select(
         F.col("uri").alias("doc_id"), F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("fingerprint"),
@@ -62,10 +68,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("uri").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_simhash": op3_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
+QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
            "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+             p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id
+                   AND list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))),
+             r AS (SELECT vec_id, vec_id AS m FROM v UNION SELECT p.a, r.m FROM r JOIN p ON p.b = r.vec_id)
+        SELECT vec_id, (SELECT count(*) FROM p WHERE a = vec_id) AS n_links, min(m) AS component_id, vec_id = min(m) AS kept FROM r GROUP BY vec_id""",
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
