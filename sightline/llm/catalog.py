@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.archives import read_archives, write_archives
 from sightline.llm.base import Shelf
 from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
@@ -47,6 +48,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("group").alias("component_id"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Shelf(spark, "captures").path("archives")
+    write_archives(table(spark, sf_dir, "pages").select(F.col("page_id").alias("uri"), "url", "html"), path)
+    return read_archives(spark, path).select(
+        F.col("uri").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_copies(documents(spark, sf_dir)).select(
         F.col("uri").alias("doc_id"), F.col("kept_uri").alias("keep_id"), F.col("copies").alias("group_size"), "kept",
@@ -68,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("uri").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
+QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
            "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES = {
@@ -78,6 +86,14 @@ ORACLES = {
                    AND list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))),
              r AS (SELECT vec_id, vec_id AS m FROM v UNION SELECT p.a, r.m FROM r JOIN p ON p.b = r.vec_id)
         SELECT vec_id, (SELECT count(*) FROM p WHERE a = vec_id) AS n_links, min(m) AS component_id, vec_id = min(m) AS kept FROM r GROUP BY vec_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS leader FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, ((i * 5) // 4 + 1)::INT, 2))::INT >> (3 - (i * 5) % 4)::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> leader THEN leader END AS refers_to FROM d""",
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
