@@ -1,18 +1,78 @@
-"""From raw documents to packed training sequences: five stages, each written before the next reads it."""
+"""From raw documents to packed training sequences: five stages, each written before the next reads it.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that it keeps, with the columns of ``documents``;
+the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.base import Shelf
 from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
+from sightline.llm.language import UNKNOWN, learn_languages, predict_languages
+from sightline.llm.packing import packed_sequences
+from sightline.llm.passages import repeated_passages
 from sightline.session import ship_package, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """Documents as fetched content."""
+    return docs.select(F.col("doc_id").alias("uri"), F.col("text").alias("content"))
+
+
+def kept(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The documents but for the identifiers in ``lost(doc_id)``; a document without identifier stays."""
+    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without a letter, and those that no learned language claims, go.
+
+    The model learns from the stage's own labelled documents; a label is never an input of a decision.
+    """
+    model = learn_languages(docs.select(F.col("text").alias("content"), F.col("lang").alias("language")))
+    answers = predict_languages(contents(docs), model)
+    return kept(docs, answers.where((F.col("language") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("uri").alias("doc_id")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts: the one with the smallest identifier."""
+    return kept(docs, byte_copies(contents(docs)).where("NOT kept").select(F.col("uri").alias("doc_id")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one that names the group."""
+    return kept(docs, near_copies(contents(docs)).where("uri <> group").select(F.col("uri").alias("doc_id")))
+
+
+def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that recur; a document without any keeps its text to the letter."""
+    shelf = Shelf(spark, "recurring")
+    answers = repeated_passages(contents(docs)).where("n_removed > 0").select(F.col("uri").alias("doc_id"), F.col("content").alias("left_text"))
+    answers = shelf.keep(answers.distinct(), "answers")
+    changed = docs.select(*COLUMNS).join(answers, "doc_id", "left")
+    return changed.select("doc_id", F.coalesce("left_text", "text").alias("text"), "lang", "source",
+                          F.when(F.col("left_text").isNotNull(), F.length("left_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document with their places in training sequences."""
+    return packed_sequences(contents(docs), WORD_VOCABULARY).withColumnRenamed("uri", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_duplicates),
+    ("substring_dedup", recurring_passages), ("packing", packing)]
 ORACLE_SQL = None  # language scores, fingerprints and token ids have no SQL form; tests check each stage by brute force
 
 
