@@ -14,6 +14,7 @@ from sightline.llm.language import learn_languages, predict_languages
 from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
+from sightline.llm.token_counts import edit_trees, plant_trees, redactions
 from sightline.llm.token_files import token_documents, write_token_files
 from sightline.session import table
 
@@ -67,6 +68,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(spark, path).withColumnRenamed("uri", "doc_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    return edit_trees(plant_trees(rows, WORD_VOCABULARY), redactions(rows), WORD_VOCABULARY).select(
+        F.col("uri").alias("doc_id"), "n_edits", "n_tokens_before", "n_tokens", "n_words", "n_words_encoded")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(documents(spark, sf_dir), WORD_VOCABULARY).withColumnRenamed("uri", "doc_id")
 
@@ -77,7 +84,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
-           "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
+           "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES = {
     "op2_embedding_dedup": """

@@ -25,7 +25,10 @@ from sightline.llm.words import with_end, word_encoder
 from sightline.operators.prefix import ordered_rank
 
 CAPACITY = 4096
-ROUNDS = 160
+ROUNDS = 400
+CLASSES = 96
+STEP = 0.1  # share of a demand that one round may cover
+RATES = (1.0, 0.3, 0.1, 0.03)  # steep prices spread the cover fast, gentle ones fit closer
 
 
 def cut_pieces(pages: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -53,45 +56,31 @@ def cut_pieces(pages: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
 
 
 def dearest(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest price: a knapsack over the capacity by dynamic programming, at most ``limits`` of a length."""
+    """The configuration of greatest price, as position -> number: a knapsack by dynamic programming over the capacity."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
+        n = fits[room]
         values = prices[:n] + best[room - lengths[:n]]
         i = int(values.argmax())
-        if values[i] > best[room - 1]:
+        if values[i] > best[room - 1] + 1e-12:
             best[room], last[room] = values[i], i
         else:
             best[room] = best[room - 1]
     config: Counter[int] = Counter()
     room = capacity
     while room > 0:
-        if last[room] < 0 or best[room] == best[room - 1]:
+        i = int(last[room])
+        if i < 0:
             room -= 1
             continue
-        i = int(last[room])
-        if config[int(lengths[i])] < limits[i]:
-            config[int(lengths[i])] += 1
+        if config[i] < limits[i]:
+            config[i] += 1
         room -= int(lengths[i])
     return dict(config)
 
 
-def filled(config: dict[int, int], lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """A configuration with its spare room used by the longest lengths that still fit and exist."""
-    out = dict(config)
-    room = capacity - sum(n * k for n, k in out.items())
-    at = int(np.searchsorted(lengths, room, side="right")) - 1
-    while room > 0 and at >= 0:
-        length = int(lengths[at])
-        more = min(int(left[at]) - out.get(length, 0), room // length)
-        if more > 0:
-            out[length] = out.get(length, 0) + more
-            room -= more * length
-        at = min(at - 1, int(np.searchsorted(lengths, room, side="right")) - 1)
-    return out
-
-
 @dataclass
 class Plan:
     """Configurations with the number of sequences that follow each."""
@@ -103,28 +92,26 @@ class Plan:
         return sum(times for _, times in self.configs)
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, over a histogram: equal lengths meet equal gaps in one step."""
-    gaps: dict[int, list[list]] = {}  # room left -> [configuration, times]
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, opened: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, over a histogram and behind ``opened`` sequences: equal lengths meet equal gaps in one step."""
+    gaps: dict[int, list[tuple[dict[int, int], int]]] = {}  # room left -> [(configuration, times)]
     rooms: list[int] = []
 
     def put(room: int, config: dict[int, int], times: int) -> None:
         if room not in gaps:
             gaps[room] = []
             bisect.insort(rooms, room)
-        gaps[room].append([config, times])
+        gaps[room].append((config, times))
 
+    for config, times in opened:
+        put(capacity - sum(n * k for n, k in config.items()), config, times)
     for length, count in zip(lengths[::-1].tolist(), left[::-1].tolist()):
         while count > 0:
             at = bisect.bisect_left(rooms, length)
             if at == len(rooms):
-                each = capacity // length
-                if count >= each:
-                    put(capacity - each * length, {length: each}, count // each)
-                    count -= count // each * each
-                else:
-                    put(capacity - count * length, {length: count}, 1)
-                    count = 0
+                each = min(capacity // length, count)
+                put(capacity - each * length, {length: each}, count // each)
+                count -= count // each * each
                 continue
             room = rooms[at]
             config, times = gaps[room].pop()
@@ -140,44 +127,87 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return [(config, times) for held in gaps.values() for config, times in held]
 
 
+def classes_of(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Class of each length: the length itself, or where there are more than ``CLASSES``, neighbours of about equal total."""
+    if len(lengths) <= CLASSES:
+        return np.arange(len(lengths))
+    total = np.cumsum(lengths * counts)
+    return np.unique(np.minimum((total - 1) * CLASSES // total[-1], CLASSES - 1), return_inverse=True)[1]
+
+
+def fractional(tops: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> Counter:
+    """Configurations of classes with their weights: the covering program by multiplicative weights.
+
+    A class starts at the price of its length. Each round covers a small share of the scarcest class of the dearest
+    configuration, and prices fall exponentially with the share that is covered, by ``rate`` for a round's share.
+    """
+    share = np.zeros(len(tops))
+    weights: Counter[tuple[tuple[int, int], ...]] = Counter()
+    for _ in range(rounds):
+        prices = tops / capacity * np.exp(-(share - share.min()) * rate / STEP)
+        config = dearest(tops, prices, demand, capacity)
+        step = STEP * min(demand[i] / k for i, k in config.items())
+        for i, k in config.items():
+            share[i] += step * k / demand[i]
+        weights[tuple(sorted(config.items()))] += step
+        if share.min() >= 1:
+            break
+    over = max(1.0, float((share * tops * demand).sum() / (tops * demand).sum()))
+    return Counter({config: weight / over for config, weight in weights.items()})
+
+
+def rounded_plan(lengths: np.ndarray, counts: np.ndarray, large: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], int]]:
+    """One solution of the program, rounded down and completed."""
+    long, left = lengths[large], counts[large].copy()
+    of = classes_of(long, left)
+    tops = np.array([long[of == c].max() for c in range(of.max() + 1)])
+    demand = np.bincount(of, weights=left).astype(np.int64)
+    waiting = [list(np.flatnonzero(of == c)) for c in range(len(tops))]  # ascending, so the longest is taken first
+    opened: list[tuple[dict[int, int], int]] = []
+    for config, weight in sorted(fractional(tops, demand, capacity, rounds, rate).items(), key=lambda x: -x[1]):
+        times = min([int(weight + 1e-9), *(int(demand[c]) // k for c, k in config)])
+        while times > 0:
+            held: Counter[int] = Counter()
+            for c, k in config:
+                need = k
+                for i in reversed(waiting[c]):
+                    take = min(need, int(left[i]))
+                    held[int(i)] += take
+                    need -= take
+                    if not need:
+                        break
+            some = min([times, *(int(left[i]) // k for i, k in held.items())])
+            for i, k in held.items():
+                left[i] -= k * some
+            for c, k in config:
+                demand[c] -= k * some
+                while waiting[c] and not left[waiting[c][-1]]:
+                    waiting[c].pop()
+            opened.append(({int(long[i]): k for i, k in held.items()}, some))
+            times -= some
+    rest = counts.copy()
+    rest[large] = left
+    return best_fit(lengths[rest > 0], rest[rest > 0], capacity, opened)
+
+
 def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """The sequences that hold every piece of ``histogram`` (length -> count).
 
-    Multiplicative weights: each round prices a length by how far its demand is from being covered, takes the
-    dearest configuration as often as its scarcest length allows, and lowers the prices of what it covered. The
-    rounds' configurations, as often as the whole histogram allows, are the rounded solution; best fit completes
-    it. Where best fit over everything needs fewer sequences, that plan is the answer.
+    The program covers the lengths above an eighth of the capacity, in at most ``CLASSES`` classes by their longest
+    member. Its weights are rounded down, each class slot takes the longest members still waiting, and best fit puts
+    what remains, and all short pieces, into the gaps and into further sequences. Where best fit from the start
+    needs fewer sequences, that plan is the answer. The number of rounds bears on the quality only.
     """
     if not histogram:
         return Plan([])
     lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    found: Counter[tuple] = Counter()
-    rate = 1.0
-    for _ in range(rounds):
-        share = covered / demand
-        prices = np.exp(-rate * (share - share.min())) / demand * lengths.clip(1)
-        prices = prices / prices.max() + lengths / capacity * 1e-6
-        config = filled(dearest(lengths, prices, demand, capacity), lengths, demand, capacity)
-        step = min(demand[at[n]] / k for n, k in config.items())
-        for n, k in config.items():
-            covered[at[n]] += step * k
-        found[tuple(sorted(config.items()))] += step
-        rate = min(40.0, rate * 1.03)
-    scale = 1 / max(1.0, float(np.median(covered / demand)))
-    left = demand.copy()
-    chosen: list[tuple[dict[int, int], int]] = []
-    for config, weight in sorted(found.items(), key=lambda x: -x[1]):
-        times = min([int(weight * scale), *(int(left[at[n]]) // k for n, k in config)])
-        if times > 0:
-            chosen.append((dict(config), times))
-            for n, k in config:
-                left[at[n]] -= k * times
-    rounded = chosen + best_fit(lengths[left > 0], left[left > 0], capacity)
-    plain = best_fit(lengths, demand, capacity)
-    return Plan(min((rounded, plain), key=lambda c: sum(times for _, times in c)))
+    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    plain = best_fit(lengths, counts, capacity)
+    large = lengths > capacity // 8
+    if not large.any():
+        return Plan(plain)
+    plans = [plain, *(rounded_plan(lengths, counts, large, capacity, rounds, rate) for rate in RATES)]
+    return Plan(min(plans, key=lambda plan: sum(times for _, times in plan)))
 
 
 def slots(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
