@@ -14,11 +14,13 @@ from sightline.llm.language import learn_languages, predict_languages
 from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
+from sightline.llm.segmentations import sample_segmentations
 from sightline.llm.token_counts import edit_trees, plant_trees, redactions
 from sightline.llm.token_files import token_documents, write_token_files
 from sightline.session import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("group").alias("component_id"))
 
 
+def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(documents(spark, sf_dir), PIECE_VOCABULARY).select(
+        F.col("uri").alias("doc_id"), "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Shelf(spark, "captures").path("archives")
     write_archives(table(spark, sf_dir, "pages").select(F.col("page_id").alias("uri"), "url", "html"), path)
@@ -83,7 +90,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("uri").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
+QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_segmentations": op4_segmentations, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
            "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES = {
