@@ -30,7 +30,31 @@ def vote_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phase_tally(spark: SparkSession, sf: str) -> DataFrame:
-    return K.phase_tally(blocks(spark, sf), K.plain_schedule(spark)).select("image_id", "phase", "bit", "votes", "n")
+    return K.phase_tally(blocks(spark, sf), K.plain_schedule(spark)).select("image_id", "phase", "bit", "votes", "n", r6("ratio"))
+
+
+def phase_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as pictures whose tile starts anywhere: every alignment is tallied, and the valid codes decide."""
+    key, phase = F.col("s_suppkey"), F.col("image_id") % 64
+    bits = table(spark, sf, "supplier").select(key.alias("image_id"), F.posexplode(
+        message_bits(F.lower(F.lpad(F.hex(key * 2654435 + 97), 8, "0")))).alias("bit", "one"))
+    cells = bits.select("image_id", ((F.floor(F.col("bit") / 8) + 8 - F.floor(phase / 8)) % 8).alias("row"), ((F.col("bit") % 8 + 8 - phase % 8) % 8).alias("col"),
+                        F.lit(0).alias("carrier"), F.when(F.col("one") == 1, 1.0).otherwise(-1.0).alias("reading"))
+    read = K.phase_tally(cells, K.plain_schedule(spark)).withColumns({"grid": F.lit(0), "grid_confidence": F.lit(1.0)})
+    return K.decode_candidates(read)
+
+
+def keyed_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers as pictures, marked by spread carriers under a key; read with the key and without."""
+    lines = table(spark, sf, "lineitem")
+    image = F.col("l_linenumber")
+    payloads = lines.select(image.alias("image_id"), F.lower(F.lpad(F.hex(image * 77777 + 5), 8, "0")).alias("code")).distinct()
+    schedule = K.keyed_schedule(spark, "secret")
+    blocks_ = lines.select(image.alias("image_id"), F.col("l_partkey").alias("row"), F.col("l_orderkey").alias("col"), (F.col("l_quantity") - 25.5).alias("reading"))
+    marked = K.mark_spread(blocks_, payloads, schedule, 12.0, 6)
+    with_key = K.detect_marks(K.vote_tally(marked, schedule), width=0).select("image_id", "detected", "code", r6("confidence"))
+    blind = K.detect_marks(K.vote_tally(marked.withColumn("carrier", F.lit(0)), K.plain_schedule(spark)), width=0)
+    return with_key.join(blind.select("image_id", F.col("detected").alias("without_key")), "image_id")
 
 
 def grid_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +125,7 @@ def closed_set_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vote_tally, vote_agreement, phase_tally, grid_ranking, chase_decode, mark_bit_accuracy, marked_blocks, codebook_top1, closed_set_top1)}
+    vote_tally, vote_agreement, phase_tally, phase_decode, keyed_marks, grid_ranking, chase_decode, mark_bit_accuracy, marked_blocks, codebook_top1, closed_set_top1)}
 
 _VOTES = """v AS (SELECT l_suppkey AS image_id, (l_partkey % 8) * 8 + (l_orderkey + l_linenumber) % 8 AS bit, count(*) AS n,
     count(*) FILTER (WHERE l_quantity > 25.5) AS votes FROM lineitem GROUP BY ALL),
@@ -123,10 +147,16 @@ ORACLES = {
       round(least(1, greatest(0, (avg(greatest(ratio, 1 - ratio)) - 0.5) * 2)), 9) AS confidence FROM t GROUP BY 1""",
     "phase_tally": """WITH b AS (SELECT l_suppkey AS image_id, l_partkey % 8 AS r, (l_orderkey + l_linenumber) % 8 AS c,
       count(*) FILTER (WHERE l_quantity > 25.5) AS votes, count(*) AS n FROM lineitem GROUP BY ALL)
-      SELECT image_id, phase, ((r + phase // 8) % 8) * 8 + (c + phase % 8) % 8 AS bit, votes, n FROM b, range(64) p(phase)""",
+      SELECT i.image_id, phase, bit, coalesce(votes, 0)::BIGINT AS votes, coalesce(n, 0)::BIGINT AS n, round(coalesce(votes / n, 0.5), 6) AS ratio
+      FROM (SELECT DISTINCT l_suppkey AS image_id FROM lineitem) i CROSS JOIN range(64) p(phase) CROSS JOIN range(64) q(bit)
+      LEFT JOIN b ON b.image_id = i.image_id AND ((r + phase // 8) % 8) * 8 + (c + phase % 8) % 8 = bit""",
+    "phase_decode": """SELECT s_suppkey AS image_id, true AS detected, lower(lpad(to_hex(s_suppkey * 2654435 + 97), 8, '0')) AS code, 0::INT AS flips,
+      1.0::DOUBLE AS confidence, 1::BIGINT AS valid_codes FROM supplier""",
+    "keyed_marks": """SELECT DISTINCT l_linenumber AS image_id, true AS detected, lower(lpad(to_hex(l_linenumber * 77777 + 5), 8, '0')) AS code,
+      1.0::DOUBLE AS confidence, false AS without_key FROM lineitem""",
     "grid_ranking": """WITH b AS (SELECT l_suppkey AS image_id, ascii(l_returnflag) * 2 + (l_linestatus = 'O')::INT AS grid, l_partkey % 60 AS r,
       l_orderkey % 40 AS c, l_quantity > 25.5 AS up FROM lineitem), v AS (SELECT image_id, grid, (r % 8) * 8 + c % 8 AS bit,
-      count(*) FILTER (WHERE up) / count(*) AS q FROM b WHERE r * 40 + c < 2048 GROUP BY ALL),
+      count(*) FILTER (WHERE up) / count(*) AS q FROM b GROUP BY ALL),
       a AS (SELECT image_id, grid, (sum(greatest(q, 1 - q)) + 0.5 * (64 - count(*))) / 64 AS agreement FROM v GROUP BY ALL),
       k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(agreement, 12) DESC, grid) AS rank FROM a)
       SELECT image_id, grid, rank, round(agreement, 9) AS agreement FROM k WHERE rank <= 4""",

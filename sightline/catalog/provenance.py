@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sightline.functions.codes import code_collisions, issue_codes
 from sightline.operators import attribution as A
 from sightline.operators import lineage as L
 from sightline.operators.matching import enroll_refusals
-from sightline.session import table
+from sightline.session import shared_folder, table
 from sightline.sources import manifests, registry
 from sightline.sources.media import content_digest
 
@@ -120,6 +122,26 @@ def lineage_chain(spark: SparkSession, sf: str) -> DataFrame:
     return L.lineage_chain(nodes, leaves)
 
 
+def deep_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as versions of one another, in chains of two thousand."""
+    key = F.col("o_orderkey")
+    nodes = table(spark, sf, "orders").select(key.alias("asset_id"), F.when(key % 2000 > 0, key - 1).alias("parent_asset"))
+    leaves = nodes.select("asset_id").join(nodes.select(F.col("parent_asset").alias("asset_id")), "asset_id", "left_anti")
+    return L.lineage_chain(nodes, leaves)
+
+
+def provenance_log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Two appends of different size, the smaller one last: the newer line wins wherever its file sorts."""
+    path = f"{shared_folder(spark)}/provenance-{uuid.uuid4().hex}"
+    orders, none = table(spark, sf, "orders"), F.lit(None).cast("string")
+    node = lambda mark: [F.col("o_custkey").cast("string").alias("asset_id"), F.lit(mark).alias("sha256"), F.col("o_orderdate").cast("string").alias("created_at"),
+                         none.alias("parent_asset"), none.alias("watermark_id")]
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("o_orderdate"))
+    registry.append_provenance(first.select(*node("first")), path)
+    registry.append_provenance(first.where("o_custkey % 5 = 0").select(*node("second")), path)
+    return registry.read_provenance(spark, path).select("asset_id", "sha256")
+
+
 def identity_components(spark: SparkSession, sf: str) -> DataFrame:
     """Documents joined by equal text, or by equal language and length."""
     docs = table(spark, sf, "documents")
@@ -165,7 +187,7 @@ def enrollment_refusals(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     exact_duplicates, also_at, grid_hashes, fingerprint_comparison, perceptual_matches, closest_assets, source_attribution,
     restore_sizes, provenance_latest, provenance_lines, provenance_register, code_collision_report, lineage_roots,
-    lineage_chain, identity_components, leakage_check, genuine_dedupe, clip_inventory, enrollment_refusals)}
+    lineage_chain, deep_lineage, provenance_log_files, identity_components, leakage_check, genuine_dedupe, clip_inventory, enrollment_refusals)}
 
 _NIBBLES = """hexed AS (SELECT vec_id, name, i // 4 AS j, sum(bit::INT * (8 >> (i % 4)::INT))::INT AS n FROM marked GROUP BY ALL),
   digits AS (SELECT vec_id, name, string_agg(format('{:x}', n), '' ORDER BY j) AS code FROM hexed GROUP BY ALL)"""
@@ -222,6 +244,9 @@ ORACLES = {
       walk AS (SELECT conv_id, turn AS start_turn, turn, 0 AS depth FROM leaves UNION ALL
       SELECT w.conv_id, w.start_turn, c.turn, depth + 1 FROM walk w JOIN conversations c ON c.conv_id = w.conv_id
       AND c.turn = w.turn - 1) SELECT conv_id || ':' || start_turn AS start, depth, conv_id || ':' || turn AS asset_id FROM walk""",
+    "deep_lineage": """WITH c AS (SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_orderkey // 2000) AS start FROM orders)
+      SELECT start, (start - o_orderkey)::INT AS depth, o_orderkey AS asset_id FROM c""",
+    "provenance_log_files": """SELECT DISTINCT o_custkey::VARCHAR AS asset_id, CASE WHEN o_custkey % 5 = 0 THEN 'second' ELSE 'first' END AS sha256 FROM orders""",
     "identity_components": """WITH RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION
       SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, n_chars) FROM documents),
       s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,15 +12,14 @@ from pyspark.sql import functions as F
 from sightline.catalog import verdicts as VQ
 from sightline.functions import plugins
 from sightline.plans import verdicts as V
-from sightline.session import table
+from sightline.session import shared_folder, table
 from sightline.settings import SamplingRules, TrackingRules
 from sightline.streaming import streams as S
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint directory (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint directory."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _drain(spark: SparkSession, name: str, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:

@@ -67,6 +67,11 @@ def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ruled.select("content_id", V.summarize().alias("summary"))
 
 
+def verdict_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    ruled = V.assess(evidence(spark, sf))
+    return ruled.select("content_id", F.array_join("explanation", "; ").alias("explanation"), F.array_join("limitations", " ").alias("limitations"))
+
+
 def verdict_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = V.assess(evidence(spark, sf)).withColumn("situation", F.coalesce("asset_match_basis", F.lit("none")))
     expected = spark.sql("""SELECT * FROM VALUES ('exact', array('own_copy')), ('code', array('own_copy', 'own_unverified')),
@@ -157,7 +162,7 @@ def image_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    verdicts, evidence_summary, verdict_scorecard, scan_findings, scan_report, registered_face_check, copy_face_classes,
+    verdicts, evidence_summary, verdict_explanations, verdict_scorecard, scan_findings, scan_report, registered_face_check, copy_face_classes,
     nearest_by_centre, image_evidence)}
 
 _EVIDENCE = f"""{_MAX}, {HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id AS asset_id, bit_count(xor(a.bits, b.bits)) AS dist
@@ -202,12 +207,19 @@ _EVIDENCE = f"""{_MAX}, {HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id
       WHEN dec = 'high_confidence' THEN CASE WHEN cal AND fake >= 0.5 THEN 'face_synthetic' ELSE 'face_high' END
       WHEN dec = 'ambiguous' THEN 'face_ambiguous' WHEN dec = 'candidate' THEN 'face_candidate'
       WHEN px < 80 THEN 'face_small' ELSE 'face_none' END AS rule FROM ev),
-  named(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, (v, _) in V.RULES.items())}),
-  levels(verdict, level) AS (VALUES {", ".join(f"('{v}', '{lv}')" for v, lv in V.VERDICT_LEVELS.items())}),
+  named(rule, verdict) AS (VALUES ('own_exact', 'own_copy'), ('own_regenerated', 'own_altered'), ('own_face_high', 'own_copy'), ('shield_no_face', 'own_unverified'),
+    ('shield_not_compared', 'own_unverified'), ('shield_replaced_small', 'own_unverified'), ('shield_replaced', 'own_altered'), ('shield_kept', 'own_copy'),
+    ('shield_degraded', 'own_unverified'), ('shield_weak', 'own_unverified'), ('own_not_enrolled', 'own_unverified'), ('own_never_shown', 'own_copy'),
+    ('own_no_face', 'own_unverified'), ('file_owner_kept', 'own_copy'), ('file_replaced_small', 'own_unverified'), ('file_replaced', 'own_altered'),
+    ('file_replaced_unsettled', 'own_unverified'), ('file_degraded', 'own_unverified'), ('file_weak', 'own_unverified'), ('file_cropped', 'own_unverified'),
+    ('file_unsettled', 'own_unverified'), ('own_weak', 'own_unverified'), ('own_small', 'own_unverified'), ('own_other_face', 'own_altered'),
+    ('own_no_match', 'own_unverified'), ('nobody_enrolled', 'inconclusive'), ('no_face', 'unrelated'), ('face_synthetic', 'synthetic_suspected'),
+    ('face_high', 'identity_match'), ('face_ambiguous', 'review'), ('face_candidate', 'review'), ('face_small', 'unrelated'),
+    ('face_none', 'unrelated')),
+  levels(verdict, level) AS (VALUES ('inconclusive', 'low'), ('unrelated', 'low'), ('review', 'low'), ('own_copy', 'low'), ('identity_match', 'medium'), ('own_unverified', 'medium'), ('own_altered', 'high'), ('synthetic_suspected', 'high')),
   final AS (SELECT r.*, n.verdict, CASE WHEN n.verdict = 'synthetic_suspected' AND fake >= 0.8 THEN 'critical' ELSE l.level END AS level
     FROM ruled r JOIN named n USING (rule) JOIN levels l ON l.verdict = n.verdict)"""
-_HEADS = ", ".join(f"('{v}', '{t}')" for v, t in V.HEADLINES.items())
-_SCAN = f"""names(i, verdict, level) AS (VALUES {", ".join(f"({i}, '{v}', '{lv}')" for i, (v, lv) in enumerate(V.VERDICT_LEVELS.items()))}),
+_SCAN = """names(i, verdict, level) AS (VALUES (0, 'inconclusive', 'low'), (1, 'unrelated', 'low'), (2, 'review', 'low'), (3, 'own_copy', 'low'), (4, 'identity_match', 'medium'), (5, 'own_unverified', 'medium'), (6, 'own_altered', 'high'), (7, 'synthetic_suspected', 'high')),
   items AS (SELECT sha256(text) AS sha256, doc_id, source, n_chars, CASE WHEN doc_id % 10 <> 9 THEN 'image' END AS kind,
     n_chars % 23 <> 0 AS ok FROM documents),
   firsts AS (SELECT sha256, min(doc_id) AS ord, arg_min(source, doc_id) AS found_on, count(*) AS places, any_value(n_chars) AS n
@@ -237,15 +249,19 @@ _NEAR = """boxes AS (SELECT vec_id, vec_id // 2 AS content_id, (vec_id * 7) % 60
 ORACLES = {
     "verdicts": f"""WITH {_EVIDENCE} SELECT c AS content_id, 'user-' || subject AS subject_user_id, dec AS identity_decision, rule,
       verdict, level FROM final""",
-    "evidence_summary": f"""WITH {_EVIDENCE}, heads(verdict, txt) AS (VALUES {_HEADS})
-      SELECT c AS content_id, concat_ws(' ', replace(txt, '{{}}', coalesce('user-' || subject, 'an enrolled identity')),
-      CASE WHEN NOT dem AND bs >= 0.47 THEN format('Best similarity {{:.3f}} to user-{{}}, above the confidence threshold.', bs, best)
-      WHEN bd = 'ambiguous' THEN format('A face scored {{:.3f}} against two identities too close to tell apart.', bs)
-      WHEN bd = 'candidate' THEN format('A face reached {{:.3f}}: worth a review, not a match.', bs)
-      ELSE format('No identity reached the threshold (best similarity {{:.3f}}).', bs) END,
-      CASE WHEN fake IS NOT NULL THEN format('The synthetic-media detector scored it {{:.3f}}, a likelihood.', fake) END,
-      CASE WHEN c % 4 = 1 THEN format('Mark {{:08x}} was recovered.', c * 7919 + 65536)
-      ELSE 'No mark was recovered, which says nothing on its own.' END) AS summary FROM final JOIN heads USING (verdict)""",
+    "evidence_summary": f"""WITH {_EVIDENCE}
+      SELECT c AS content_id, concat_ws('; ', 'image ' || verdict || ' ' || coalesce('user-' || subject, 'nobody'),
+      format('best={{:.3f}}', bs) || CASE WHEN NOT dem AND bs >= 0.47 THEN ' user-' || best ELSE '' END, 'decision=' || bd,
+      CASE WHEN fake IS NOT NULL THEN format('synthetic={{:.3f}}', fake) END,
+      CASE WHEN c % 4 = 1 THEN format('mark={{:08x}}', c * 7919 + 65536) ELSE 'mark=none' END) AS summary FROM final""",
+    "verdict_explanations": f"""WITH {_EVIDENCE}, x AS (SELECT *, round((160 + (c % 2) * 8) / (200 + (asset % 5) * 40), 4) AS scale FROM final)
+      SELECT c AS content_id, concat_ws('; ', 'rule=' || rule, 'asset=' || asset, 'owner=user-' || owner, 'basis=' || basis, 'channel=channel-' || asset % 3,
+      format('similarity={{:.3f}}', mine), 'decision=' || dec, format('face_pixels={{:.0f}}', px::DOUBLE), format('replaced_pixels={{:.0f}}', repl::DOUBLE),
+      format('copy_scale={{:.2f}}', scale), format('synthetic={{:.3f}} ', fake) || CASE WHEN cal THEN 'calibrated' ELSE 'uncalibrated' END) AS explanation,
+      concat_ws(' ', 'similarity-is-evidence unknown-is-not-no', CASE WHEN rule IN ('own_small', 'face_small', 'file_replaced_small', 'shield_replaced_small')
+      THEN 'small-face' END, CASE WHEN rule IN ('own_weak', 'own_small', 'own_no_match', 'own_no_face') AND orig IS NULL THEN 'registered-file-unchecked' END,
+      CASE WHEN rule = 'own_not_enrolled' THEN 'owner-not-enrolled' END, CASE WHEN rule = 'shield_not_compared' THEN 'shielded-file-missing' END,
+      CASE WHEN fake IS NOT NULL AND NOT cal THEN 'score-uncalibrated' END) AS limitations FROM x""",
     "verdict_scorecard": f"""WITH {_EVIDENCE}, s AS (SELECT coalesce(basis, 'none') AS situation, verdict, level FROM final)
       SELECT situation, count(*) AS cases, count(*) FILTER (WHERE (situation, verdict) IN (('exact', 'own_copy'), ('code', 'own_copy'),
       ('code', 'own_unverified'), ('perceptual', 'own_unverified'), ('none', 'unrelated'), ('none', 'review'))) AS as_expected,

@@ -13,7 +13,6 @@ from sightline.session import table
 from sightline.settings import SamplingRules, TrackingRules
 
 r6 = lambda name: F.round(name, 6).alias(name)
-SHORT = SamplingRules(max_frames=40)
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,11 +29,12 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def uniform_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sample_uniform(frames(spark, sf), videos(spark, sf), SHORT).select("video_id", "frame_number", "step", r6("ts"), "value")
+    return S.sample_uniform(frames(spark, sf), videos(spark, sf)).select("video_id", "frame_number", "step", r6("ts"), "value")
 
 
 def scene_change_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sample_scene_change(frames(spark, sf), SHORT).select(
+    """No cap: every frame that differs enough is kept."""
+    return S.sample_scene_change(frames(spark, sf), SamplingRules(max_frames=1 << 40)).select(
         "video_id", "frame_number", "kept")
 
 
@@ -111,13 +111,13 @@ def spread_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    samples = S.sample_uniform(frames(spark, sf), videos(spark, sf), SHORT)
+    samples = S.sample_uniform(frames(spark, sf), videos(spark, sf))
     spans = videos(spark, sf).select("video_id", F.posexplode(F.array(F.lit(0.0), F.lit(2.5), F.lit(6.0))).alias("span_ix", "start_ts"))
     return S.span_coverage(samples, spans.withColumn("end_ts", F.col("start_ts") + 3.0))
 
 
 def coverage_notes(spark: SparkSession, sf: str) -> DataFrame:
-    samples = S.sample_uniform(frames(spark, sf), videos(spark, sf), SHORT)
+    samples = S.sample_uniform(frames(spark, sf), videos(spark, sf))
     return S.coverage_notes(samples, videos(spark, sf)).select("video_id", "sampled", F.array_join("limitations", " ").alias("limitations"))
 
 
@@ -148,9 +148,9 @@ _FRAMES = """f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY u
     FROM events GROUP BY 1),
   m AS (SELECT *, CASE WHEN fps > 0 THEN fps ELSE 25.0 END::DOUBLE AS rate, greatest(1, round_even((CASE WHEN fps > 0 THEN fps ELSE 25.0 END)
     / 2.0, 0))::BIGINT AS s0 FROM v),
-  st AS (SELECT *, CASE WHEN ceil(frame_count / s0) > 40 THEN ceil(frame_count / 40)::BIGINT ELSE s0 END AS stride FROM m),
+  st AS (SELECT *, CASE WHEN ceil(frame_count / s0) > 600 THEN ceil(frame_count / 600)::BIGINT ELSE s0 END AS stride FROM m),
   samples AS (SELECT f.*, frame_number // stride AS step, frame_number / rate AS ts FROM f JOIN st USING (video_id)
-    WHERE frame_number % stride = 0 AND frame_number // stride < 40)"""
+    WHERE frame_number % stride = 0 AND frame_number // stride < 600)"""
 _TRACKS = """f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value,
     (props->>'$.k')::INT AS k FROM events),
   t AS (SELECT video_id, k % 4 AS track_id, step, step / 2.0 AS ts, 'user-' || (k % 3) AS user_id, value / 200.0 AS similarity,
@@ -171,7 +171,7 @@ ORACLES = {
       FROM f a JOIN f b ON a.video_id = b.video_id AND b.frame_number > a.frame_number AND abs(b.value - a.value) >= 12 GROUP BY ALL),
       kept AS (SELECT video_id, 0::BIGINT AS frame_number, 1::BIGINT AS kept FROM v UNION ALL
       SELECT k.video_id, n.following, k.kept + 1 FROM kept k JOIN nxt n ON n.video_id = k.video_id AND n.frame_number = k.frame_number)
-      SELECT video_id, frame_number, kept FROM kept WHERE kept <= 40""",
+      SELECT video_id, frame_number, kept FROM kept""",
     "scene_cuts": f"""WITH {_FRAMES}, j AS (SELECT video_id, frame_number AS step, abs(value - lag(value) OVER (PARTITION BY video_id
       ORDER BY frame_number)) AS jump FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY jump DESC, step) AS rn
       FROM j WHERE jump >= 12) SELECT video_id, step, round(jump, 6) AS jump FROM r WHERE rn = 1""",

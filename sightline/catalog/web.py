@@ -22,8 +22,18 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
         U.url_path(url).alias("path"), U.media_kind(url, mime).alias("kind"))
 
 
-def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page as the start of a small crawl; pages link two others each, anchors serve as media."""
+def media_page_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with pictures, videos and linked files made of the page number, after their own anchors are cut away."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<html><base href="http://media.example/"><img src="a'), n, F.lit('.jpg" srcset="b'), n, F.lit('.jpg 300w, c'), n,
+                    F.lit('.jpg 900w"><img src="tiny'), n, F.lit('.png" width="20"><picture><source srcset="d'), n, F.lit('.webp 2x"><img src="e'), n,
+                    F.lit('.png"></picture><video src="f'), n, F.lit('.mp4" poster="g'), n, F.lit('.jpg"></video><img src="icon.svg"><a href="d'), n,
+                    F.lit('.webp">seen</a><a href="h'), n, F.lit('.gif">file</a><a href="/p'), n, F.lit('">page</a><meta property="og:image" content="i'), n, F.lit('.jpg">'))
+    return W.page_edges(table(spark, sf, "pages").select("url", html.alias("html"))).select("page_url", "target_url", "edge", "kind", "pos")
+
+
+def _crawl(spark: SparkSession, sf: str, **bounds) -> DataFrame:
+    """Every page as the start of a crawl; pages link two others each, anchors serve as media."""
     pages = table(spark, sf, "pages").select("page_id", U.url_normalise(F.col("url")).alias("url"), "html")
     n = pages.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     found = W.page_edges(pages)
@@ -33,7 +43,15 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("page_id") * 2 + 1) % F.col("n"), (F.col("page_id") * 3 + 2) % F.col("n"))).alias("pos", "page_id"))
     links = to.join(numbered, "page_id").select("page_url", "target_url", F.lit("page").alias("edge"), F.lit(None).cast("string").alias("kind"), "pos")
     edges = W.cut_lineage(media.unionByName(links))
-    return W.crawl_frontier(edges, pages, pages.select(F.col("url").alias("seed")), max_depth=2, max_pages=5, max_media=12, same_host=False)
+    return W.crawl_frontier(edges, pages, pages.select(F.col("url").alias("seed")), max_depth=2, same_host=False, **bounds)
+
+
+def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl(spark, sf, max_pages=5, max_media=12)
+
+
+def crawl_unbounded(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl(spark, sf)
 
 
 def url_policy(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +67,7 @@ def url_policy(spark: SparkSession, sf: str) -> DataFrame:
     return W.url_policy_gate(pages.select("url"), robots, addresses)
 
 
-QUERIES = {f.__name__: f for f in (page_edges, url_parts, crawl_frontier, url_policy)}
+QUERIES = {f.__name__: f for f in (page_edges, media_page_edges, url_parts, crawl_frontier, crawl_unbounded, url_policy)}
 
 _PARTS = """p AS (SELECT page_id, url, html, regexp_replace(url, '#.*$', '') AS clean, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) AS origin,
   lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)"""
@@ -57,6 +75,10 @@ ORACLES = {
     "page_edges": f"""WITH {_PARTS}, a AS (SELECT url, origin, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM p),
       e AS (SELECT url, origin, unnest(hrefs) AS href, unnest(range(len(hrefs)))::INT AS pos FROM a)
       SELECT url AS page_url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href AS target_url, 'page' AS edge, NULL::VARCHAR AS kind, pos FROM e""",
+    "media_page_edges": """WITH t(pos, name, ending, edge, kind) AS (VALUES (0, 'c', '.jpg', 'shown', 'image'), (1, 'd', '.webp', 'shown', 'image'),
+      (2, 'f', '.mp4', 'shown', 'video'), (3, 'g', '.jpg', 'shown', 'image'), (6, 'h', '.gif', 'linked', 'image'), (7, 'p', '', 'page', NULL),
+      (8, 'i', '.jpg', 'shown', 'image'))
+      SELECT url AS page_url, 'http://media.example/' || name || page_id || ending AS target_url, edge, kind, pos::INT AS pos FROM pages, t""",
     "url_parts": f"""WITH {_PARTS} SELECT page_id, clean, origin, host, path,
       CASE WHEN page_id % 3 = 1 THEN 'image' END AS kind FROM p""",
     "url_policy": f"""WITH {_PARTS}, f AS (SELECT origin, min(page_id) AS p FROM p GROUP BY 1), h AS (SELECT host, min(page_id) AS hp FROM p GROUP BY 1),

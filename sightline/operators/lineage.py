@@ -38,36 +38,31 @@ def lineage_roots(nodes: DataFrame) -> DataFrame:
     return done.unionByName(lost)
 
 
-def lineage_chain(nodes: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Chain from each start (leaf) to its root: ``(start, depth, asset_id)``; a cycle is cut.
+def lineage_chain(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """Chain from each start (leaf) to its root: ``(start, depth, asset_id)``; a cycle is cut where it closes.
 
-    The walked path travels with the frontier row, one row per start.
+    Jumps double: a round adds to every start the ancestors twice as far away, so the number of rounds is the logarithm
+    of the longest chain, without a cap. A node reached twice keeps its first depth; the walk ends when no start
+    reaches a new node.
     """
-    parents = nodes.select("asset_id", "parent_asset")
-    frontier = starts.select(F.col("asset_id").alias("start"), "asset_id").join(
-        nodes.select("asset_id"), "asset_id", "left_semi").select(
-        "start", "asset_id", F.array("asset_id").alias("path"))
-    frontier = cut_lineage(frontier)
-    ended = []
-    for round_no in range(max_rounds):
-        stepped = frontier.join(parents, "asset_id", "left")
-        exists = nodes.select(F.col("asset_id").alias("parent_asset"), F.lit(True).alias("known"))
-        stepped = stepped.join(exists, "parent_asset", "left")
-        goes_on = F.col("known").isNotNull() & ~F.array_contains("path", F.col("parent_asset"))
-        stepped = cut_lineage(stepped.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))))
-        ended.append(stepped.where("NOT goes_on").select("start", "path"))
-        frontier = stepped.where("goes_on").select(
-            "start", F.col("parent_asset").alias("asset_id"),
-            F.concat("path", F.array("parent_asset")).alias("path"))
-        if frontier.isEmpty():
-            break
-    out = ended[0]
-    for more in ended[1:]:
-        out = out.unionByName(more)
-    return out.select("start", F.posexplode("path").alias("depth", "asset_id"))
+    ids = nodes.select(F.col("asset_id").alias("parent_asset"))
+    jumps = cut_lineage(nodes.where("parent_asset IS NOT NULL").join(ids, "parent_asset", "left_semi").select(
+        F.col("asset_id").alias("at"), F.col("parent_asset").alias("to")))
+    reached = cut_lineage(starts.select("asset_id").join(nodes.select("asset_id"), "asset_id", "left_semi").select(
+        F.col("asset_id").alias("start"), "asset_id", F.lit(0).cast("bigint").alias("depth")))
+    count, leap = reached.count(), 1
+    while True:
+        further = reached.join(jumps, reached["asset_id"] == jumps["at"]).select("start", F.col("to").alias("asset_id"), (F.col("depth") + leap).alias("depth"))
+        reached = cut_lineage(reached.unionByName(further).groupBy("start", "asset_id").agg(F.min("depth").alias("depth")))
+        now = reached.count()
+        if now == count:
+            return reached.select("start", F.col("depth").cast("int").alias("depth"), "asset_id")
+        count, leap = now, 2 * leap
+        onward = jumps.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        jumps = cut_lineage(jumps.join(onward, "to").select("at", F.col("next").alias("to")))
 
 
-def identity_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def identity_groups(pairs: DataFrame) -> DataFrame:
     """Connected components of ``pairs(a, b)``: ``(id, group)`` with the smallest member as group.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a minimum per
@@ -77,7 +72,7 @@ def identity_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .where("u <> v").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -90,7 +85,5 @@ def identity_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         if mark == (now["n"], now["h"]):
             break
         mark = (now["n"], now["h"])
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     joined = vertices.join(edges.select(F.col("u").alias("id"), F.col("v").alias("g")), "id", "left")
     return joined.groupBy("id").agg(F.coalesce(F.min("g"), F.first("id")).alias("group"))

@@ -25,6 +25,18 @@ def plain_schedule(spark: SparkSession) -> DataFrame:
     return spark.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.col("id").cast("int").alias("bit"), F.lit(0).alias("carrier"))
 
 
+def keyed_schedule(spark: SparkSession, key: str, carriers: int = 5) -> DataFrame:
+    """Layout from a secret: which bit each slot carries, and on which of ``carriers`` carriers, by SHA-256 of key and slot.
+
+    Bits follow the slots' digests in order, so the layout is a permutation. It is this library's own keyed layout: what
+    was marked with another one needs that one's table.
+    """
+    digest = lambda purpose: F.sha2(F.concat(F.lit(f"{key}|{purpose}|"), F.col("id")), 256)
+    slots = spark.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("slot"), digest("bit").alias("d"), digest("carrier").alias("c"))
+    carrier = (F.conv(F.substring("c", 1, 8), 16, 10).cast("bigint") % carriers).cast("int")
+    return slots.select("slot", (F.row_number().over(Window.orderBy("d")) - 1).cast("int").alias("bit"), carrier.alias("carrier"))
+
+
 def _slot(row: Column, col: Column) -> Column:
     return (row % TILE * TILE + col % TILE).cast("int")
 
@@ -34,7 +46,7 @@ def vote_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     folded = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("slot"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
     read = folded.join(F.broadcast(schedule), ["slot", "carrier"]).groupBy("image_id", "bit").agg(F.sum("ones").alias("votes"), F.sum("n").alias("n"))
-    every = blocks.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))).alias("bit"))
+    every = folded.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))).alias("bit"))
     full = every.join(read, ["image_id", "bit"], "left")
     votes, n = F.coalesce("votes", F.lit(0)), F.coalesce("n", F.lit(0))
     return full.select("image_id", "bit", votes.alias("votes"), n.alias("n"), F.when(n > 0, votes / n).otherwise(0.5).alias("ratio"))
@@ -48,47 +60,50 @@ def agreement(tally: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def phase_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Tallies under all 64 tile alignments: blocks fold to their 64 cells once, cells fan out to phases.
+    """Tallies under all 64 tile alignments, one row per (image, phase, bit), also where no block voted (ratio 0.5).
 
-    A cell is read as the slot it has under the alignment, so the fan-out works on 64 rows per image
-    and carrier however large the picture is. Cells and bits are permutations of each other and a slot
-    has one carrier, hence every (phase, bit) comes from one folded row and needs no further shuffle.
+    Blocks fold to their 64 cells once, and an image's cells (at most 64 per carrier) become one map. An alignment reads
+    a slot from the cell that lies under it, so all 4,096 rows of an image come out of its one row without a shuffle.
     """
     cells = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("cell"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
-    phases = cells.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    row = F.floor(F.col("cell") / TILE) + F.floor(F.col("phase") / TILE)
-    read = phases.withColumn("slot", _slot(row, F.col("cell") % TILE + F.col("phase") % TILE)).join(F.broadcast(schedule), ["slot", "carrier"])
-    return read.select("image_id", "phase", "bit", F.col("ones").alias("votes"), "n", (F.col("ones") / F.col("n")).alias("ratio"))
-
-
-def rank_grids(candidates: DataFrame, schedule: DataFrame, budget: int = 2048, keep: int = 4) -> DataFrame:
+    vote = F.struct(F.col("ones"), F.col("n"))
+    maps = cells.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct(F.col("cell"), F.col("carrier").cast("int").alias("carrier")), vote))).alias("cells"))
+    layout = schedule.groupBy().agg(F.collect_list(F.struct(F.col("bit").cast("int").alias("bit"), F.col("slot").cast("int").alias("slot"),
+                                                            F.col("carrier").cast("int").alias("carrier"))).alias("layout"))  # 64 slots, one row
+    read = maps.withColumn("one", F.lit(1)).join(F.broadcast(layout.withColumn("one", F.lit(1))), "one")
+    read = read.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))))
+    under = lambda s: _slot(F.floor(s["slot"] / TILE) + TILE - F.floor(F.col("phase") / TILE), s["slot"] % TILE + TILE - F.col("phase") % TILE)
+    votes = F.transform(F.filter("layout", lambda s: s["bit"] == F.col("bit")),
+                        lambda s: F.try_element_at("cells", F.struct(under(s).alias("cell"), s["carrier"].alias("carrier"))))
+    total = lambda field: F.aggregate(votes, F.lit(0).cast("bigint"), lambda acc, v: acc + F.coalesce(v[field], F.lit(0)))
+    counted = read.select("image_id", "phase", "bit", total("ones").alias("votes"), total("n").alias("n"))
+    return counted.withColumn("ratio", F.when(F.col("n") > 0, F.col("votes") / F.col("n")).otherwise(0.5))
+
+
+def rank_grids(candidates: DataFrame, schedule: DataFrame, keep: int = 4) -> DataFrame:
     """Best reading grids per image by vote agreement.
 
     ``candidates(image_id, grid, cols, rows, row, col, carrier, reading)`` are readings under candidate
-    scales and offsets, ``grid`` their order. Grids with fewer than 192 blocks are not read; agreement is
-    taken on the first ``budget`` blocks, a bounded estimate that only ranks.
+    scales and offsets, ``grid`` their order. Grids with fewer than 192 blocks are not read; all blocks of the others are.
     """
-    enough = candidates.where((F.col("rows") * F.col("cols") >= MIN_BLOCKS) & (F.col("row") * F.col("cols") + F.col("col") < budget))
+    enough = candidates.where(F.col("rows") * F.col("cols") >= MIN_BLOCKS)
     keyed = enough.withColumn("image_id", F.struct("image_id", "grid"))
     scored = agreement(vote_tally(keyed, schedule), ["image_id"]).select("image_id.*", "agreement", "confidence")
     order = Window.partitionBy("image_id").orderBy(F.round("agreement", 12).desc(), "grid")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def _word(bits: Column, start: int) -> Column:
-    return F.aggregate(F.slice(bits, start + 1, 32), F.lit(0).cast("bigint"), lambda acc, b: acc * 2 + b)
-
-
 def message_words(tally: DataFrame, keys: list[str]) -> DataFrame:
-    """Hard decision of each reading as code and checksum words, plus its bits by rising reliability."""
-    entry = F.struct("bit", "ratio")
-    gathered = tally.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("bits"))
-    hard = F.transform("bits", lambda e: (e["ratio"] > 0.5).cast("bigint"))
-    weak = F.transform(F.sort_array(F.transform("bits", lambda e: F.struct(F.abs(e["ratio"] - 0.5).alias("sure"), e["bit"].alias("bit")))),
-                       lambda e: e["bit"])
-    words = gathered.select(*keys, hard.alias("hard"), weak.alias("weak"))
-    return words.select(*keys, _word(F.col("hard"), 0).alias("code_word"), _word(F.col("hard"), 32).alias("check_word"), "weak")
+    """Hard decision of each reading as code and checksum words, plus its bits by rising reliability.
+
+    A word is the sum of its bits' values, so an unread bit is a zero at its own place and moves no other.
+    """
+    value = lambda low: F.sum(F.when((F.col("ratio") > 0.5) & F.col("bit").between(low, low + 31), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), (F.lit(low + 31) - F.col("bit")).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    sure = F.sort_array(F.collect_list(F.struct(F.abs(F.col("ratio") - 0.5).alias("sure"), "bit")))
+    return tally.groupBy(*keys).agg(value(0).alias("code_word"), value(32).alias("check_word"), F.transform(sure, lambda e: e["bit"]).alias("weak"))
 
 
 def chase_decode(tally: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -169,6 +184,20 @@ def spread_shift(reading: Column, one: Column, margin: float, carrier_size: int)
     return (target - reading) / F.lit(float(carrier_size))
 
 
+def mark_spread(blocks: DataFrame, payloads: DataFrame, schedule: DataFrame, margin: float, carrier_size: int) -> DataFrame:
+    """Mark ``blocks(image_id, row, col, reading)`` with ``payloads(image_id, code)`` along spread carriers.
+
+    Adds each block's ``carrier``, the ``shift`` of its coefficients, and the ``reading`` they give then. Images without a payload
+    stay as they are.
+    """
+    bits = payloads.select("image_id", F.posexplode(message_bits(F.col("code"))).alias("bit", "one"))
+    slots = bits.join(F.broadcast(schedule), "bit").select("image_id", "slot", "one")
+    placed = blocks.withColumn("slot", _slot(F.col("row"), F.col("col"))).join(F.broadcast(schedule.select("slot", "carrier")), "slot").join(slots, ["image_id", "slot"], "left")
+    shift = F.coalesce(spread_shift(F.col("reading"), F.col("one"), margin, carrier_size), F.lit(0.0))
+    return placed.withColumn("shift", F.when(F.col("one").isNotNull(), shift).otherwise(0.0)).select(
+        "image_id", "row", "col", "carrier", "shift", (F.col("reading") + F.col("shift") * carrier_size).alias("reading"))
+
+
 def bit_accuracy(tally: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of message bits read right; ``truth(image_id, code)``."""
     bits = truth.select("image_id", F.posexplode(message_bits(F.col("code"))).alias("bit", "one"))

@@ -21,7 +21,6 @@ CHUNK_FRAMES = 4096
 MIN_STILL_SIDE = 64
 MAX_ASSETS_READ = 3
 MAX_SCORED_FACES = 8
-MAX_FACES = 20  # per frame, the detector limit
 
 
 def sampling_stride(fps: Column, frame_count: Column, rules: SamplingRules = SamplingRules()) -> Column:

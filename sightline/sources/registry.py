@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +28,24 @@ def parse_provenance(lines: DataFrame) -> DataFrame:
 
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only JSONL log; the line order of each file is its write order."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
-    return latest_entries(parse_provenance(lines))
+    """Append-only JSONL log, the latest line per asset, in write order.
+
+    Lines of ``append_provenance`` carry their batch and row. Other logs are ordered by the time of their file, then by
+    its name and their place in it. ``position`` is a struct that sorts by first writing.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start",
+                                         F.monotonically_increasing_id().alias("n"))
+    written = F.from_json("value", "batch BIGINT, row BIGINT")
+    order = F.struct(F.coalesce(written["batch"], F.unix_micros("file_modification_time") * 1000).alias("batch"), F.coalesce(written["row"], F.lit(-1).cast("bigint")).alias("row"),
+                     F.when(written["row"].isNull(), F.struct("file_path", "file_block_start", "n")).alias("place"))
+    return latest_entries(parse_provenance(lines.select(order.alias("ord"), F.col("value").alias("line"))))
 
 
 def append_provenance(nodes: DataFrame, path: str) -> None:
-    """Append nodes as JSON lines."""
+    """Append nodes as JSON lines; each says when its batch was written and which row of it it is."""
     fields = [c.split()[0] for c in PROVENANCE_SCHEMA.split(", ")]
-    nodes.select(F.to_json(F.struct(*fields)).alias("value")).write.mode("append").text(path)
+    numbered = nodes.select(*fields, F.lit(time.time_ns()).alias("batch"), F.monotonically_increasing_id().alias("row"))
+    numbered.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
 def assets_table(spark: SparkSession, path: str, user_id: str | None = None) -> DataFrame:
@@ -70,9 +80,11 @@ def load_identities(spark: SparkSession, path: str, require: Sequence[str] = ())
     orphan = identities.join(vectors.select("user_id").distinct(), "user_id", "left_anti").select("user_id").first()
     if orphan is not None:
         raise ValueError(f"identity without vectors: {orphan['user_id']}")
-    for user in require:
-        if identities.where(F.col("user_id") == user).isEmpty():
-            raise ValueError(f"identity not enrolled: {user}")
+    if require:
+        there = {r["user_id"] for r in identities.where(F.col("user_id").isin(*require)).select("user_id").distinct().collect()}
+        for user in require:
+            if user not in there:
+                raise ValueError(f"identity not enrolled: {user}")
     return identities.orderBy("user_id"), vectors
 
 

@@ -245,17 +245,18 @@ def test_separable_margin(spark):
 
 
 def test_exact_bound():
-    assert intervals.upper_bound(0, 100, 0.95) == pytest.approx(1 - 0.025 ** 0.01)
-    assert intervals.upper_bound(5, 100, 0.95) == pytest.approx(0.112835, abs=1e-5)
-    assert intervals.upper_bound(7, 7, 0.95) == 1.0
+    got = intervals.upper_bounds([0, 5, 7, 1, 499_999], [100, 100, 7, 10**6, 10**6], 0.95)
+    assert got[:3] == pytest.approx([1 - 0.025 ** 0.01, 0.112835, 1.0], abs=1e-5)
+    assert got[3] == pytest.approx(5.5716e-6, rel=1e-3) and got[4] == pytest.approx(0.50098, abs=1e-4)
+    assert intervals.upper_bounds([3], [50], 0.95)[0] == pytest.approx(0.16548, abs=1e-5)
     with pytest.raises(ValueError):
-        intervals.upper_bound(3, 2, 0.95)
+        intervals.upper_bounds([3], [2], 0.95)
 
 
 def test_bound_column(spark):
     frame = spark.createDataFrame([(0, 50), (3, 50), (50, 50)], "k long, n long")
     got = [r["u"] for r in frame.select(intervals.clopper_pearson_upper(F.col("k"), F.col("n")).alias("u")).collect()]
-    assert got == pytest.approx([intervals.upper_bound(k, 50, 0.95) for k in (0, 3, 50)])
+    assert got == pytest.approx(intervals.upper_bounds([0, 3, 50], [50] * 3, 0.95))
 
 
 def test_quantiles_interpolate(spark):
