@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.base import Shelf, raw
+from sightline.llm.base import Shelf
 from sightline.llm.words import with_end, word_encoder
 from sightline.operators.prefix import ordered_rank
 
@@ -37,8 +37,8 @@ def cut_pieces(pages: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
         encoder = word_encoder(vocabulary)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(raw(batch.column(1))):
-                data = with_end(encoder.ids(text))
+            for i, ids in enumerate(ids for portion in encoder.encoded(batch.column(1)) for ids in portion.each()):
+                data = with_end(ids)
                 for n, begin in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[begin:begin + 4 * capacity]
                     at.append(i)

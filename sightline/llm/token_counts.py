@@ -20,7 +20,7 @@ from sightline.llm.base import raw
 from sightline.llm.words import WordEncoder, word_encoder
 
 LEAF_WORDS = 16
-LEAF = re.compile(r"(?:[^\x20\x09-\x0D]*[\x20\x09-\x0D]+){1,%d}|[^\x20\x09-\x0D]+" % LEAF_WORDS)
+LEAF = re.compile(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){1,%d}[\x20\x09-\x0D]*|[\x20\x09-\x0D]+" % LEAF_WORDS)
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -36,6 +36,18 @@ def summed(leaves: np.ndarray) -> np.ndarray:
     return tree
 
 
+def planted_forms(texts: pa.Array, encoder: WordEncoder) -> Iterator[tuple[int, bytes]]:
+    """Tokens in all, and the stored form of the tree, of each text."""
+    for portion in encoder.encoded(texts):
+        filled = portion.word_ids > 0  # every word has an id, so what has none is white space at an end
+        bounds = np.r_[0, np.cumsum(filled)][portion.word_bounds]
+        counts = portion.word_ids[filled]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            leaves = np.add.reduceat(counts[a:b], np.arange(0, b - a, LEAF_WORDS)) if b > a else np.zeros(1, np.int64)
+            tree = summed(leaves)
+            yield int(tree[1]), tree.astype("<i4").tobytes()
+
+
 class PreTokenTree:
     """A page's leaves with sums of characters and tokens."""
 
@@ -45,12 +57,7 @@ class PreTokenTree:
 
     @classmethod
     def planted(cls, text: str, encoder: WordEncoder) -> PreTokenTree:
-        leaves = LEAF.findall(text)
-        counts = np.array([len(w) for w in encoder.word_ids([w for leaf in leaves for w in leaf.encode().split()])], dtype=np.int64) // 4
-        ends = np.cumsum([len(leaf.encode().split()) for leaf in leaves], dtype=np.int64)
-        sums = np.r_[0, np.cumsum(counts)]
-        return cls(leaves, summed(sums[ends] - sums[np.r_[0, ends[:-1]].astype(int)] if len(ends) else np.zeros(1, np.int64)),
-                   summed(np.array([len(leaf) for leaf in leaves], dtype=np.int64)))
+        return cls.stored(text, next(planted_forms(pa.array([text]), encoder))[1])
 
     @classmethod
     def stored(cls, text: str, tree: bytes) -> PreTokenTree:
@@ -129,9 +136,8 @@ def plant_trees(pages: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
         for batch in batches:
-            trees = [PreTokenTree.planted(t or "", encoder) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.total for t in trees], pa.int64()), pa.array([t.stored_form() for t in trees], pa.binary())],
-                                             ["uri", "content", "n_tokens", "tree"])
+            totals, trees = zip(*planted_forms(batch.column(1), encoder)) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(totals, pa.int64()), pa.array(trees, pa.binary())], ["uri", "content", "n_tokens", "tree"])
 
     kind = pages.schema["uri"].dataType.simpleString()
     return pages.select("uri", F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).mapInArrow(

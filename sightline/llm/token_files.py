@@ -21,11 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.base import Shelf, raw
+from sightline.llm.base import Shelf
 from sightline.llm.words import with_end, word_encoder
 
-FRAME_BYTES = 1 << 20
-FILE_BYTES = 8 << 20
+FRAME_BYTES = 1 << 19
+FILE_BYTES = 4 << 20
 # The format's skippable frame without content, the magic of skippable frames, and ours.
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 SKIPPABLE = 0x184D2A5E
@@ -114,8 +114,8 @@ def write_token_files(pages: DataFrame, path: str, vocabulary: str) -> DataFrame
         encoder, partition = word_encoder(vocabulary), TaskContext.get().partitionId()
         writer, uris, number = FileWriter(partition, 0), [], 0
         for batch in batches:
-            for uri, text in zip(batch.column(0), raw(batch.column(1))):
-                writer.add(with_end(encoder.ids(text)))
+            for uri, ids in zip(batch.column(0).to_pylist(), (ids for portion in encoder.encoded(batch.column(1)) for ids in portion.each())):
+                writer.add(with_end(ids))
                 uris.append(uri)
                 if len(writer.body) >= FILE_BYTES:
                     yield done(writer, uris)
@@ -125,7 +125,7 @@ def write_token_files(pages: DataFrame, path: str, vocabulary: str) -> DataFrame
             yield done(writer, uris)
 
     def done(writer: FileWriter, uris: list) -> pa.RecordBatch:
-        names = pa.array([u.as_py() for u in uris], kind_of[0])
+        names = pa.array(uris, kind_of[0])
         names = pa.ListArray.from_arrays(pa.array([0, len(uris)], pa.int32()), names)
         return pa.RecordBatch.from_arrays([pa.array([writer.place[1]]), pa.array([writer.place[0]]), pa.array([writer.content()], pa.binary()), names],
                                           ["partition", "file", "content", "uris"])

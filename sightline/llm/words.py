@@ -1,24 +1,40 @@
 """Token ids of whole texts, encoded word by word.
 
 The tokenizer drops white space and never forms a token across it, so a text's ids are its words' ids in a row.
-Each worker keeps the ids of words it has met; only new words go through the ``tokenizers`` library, many at a
-time. The result equals encoding the whole text, whatever the memory holds.
+Each worker keeps the ids of words it has met; only new words go through the ``tokenizers`` library. The result equals
+encoding the whole text, whatever the memory holds.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-WORDS_KEPT = 400_000  # per worker; a full memory is emptied, which costs time and changes nothing
-AT_ONCE = 2_000
+from sightline.llm.base import portions
+
+WORDS_KEPT = 400_000  # per worker; beyond that, words are encoded anew, which costs time and changes nothing
+BYTES_AT_ONCE = 4 << 20
 END_ID = 1
+# Fixed value: the tokenizer's pattern, for lower-case ASCII.
+PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -27,58 +43,87 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer, self.letters = self.tokenizer.model, self.tokenizer.normalizer, byte_letters()
         self.known: dict[bytes, bytes] = {}
-        # Between two words of one call stands a word of one character that no word to be encoded holds.
-        self.mark = "\x00"
-        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        fresh = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known.clear()
-        plain = [w for w in fresh if b"\x00" not in w]
-        for at in range(0, len(plain), AT_ONCE):
-            some = plain[at:at + AT_ONCE]
-            ids = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id[0]) if len(self.mark_id) == 1 else np.empty(0, np.int64)
-            if len(cuts) != len(some) - 1:  # a word that means the mark itself: one by one
-                for w in some:
-                    self.known[w] = self.alone(w)
-                continue
-            data, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-            start = 0
-            for w, end in zip(some, ends):
-                self.known[w] = data[start:end]
-                start = end + 4
-        for w in fresh:
-            if b"\x00" in w:
-                self.known[w] = self.alone(w)
-
-    def alone(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word."""
-        known = self.known
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            out: list[bytes] = []
-            for at in range(0, len(words), WORDS_KEPT // 4):
-                some = words[at:at + WORDS_KEPT // 4]
-                self.learn(w for w in some if w not in known)
-                if any(w not in known for w in some):  # the memory was emptied for the new words
-                    self.learn(some)
-                out.extend(map(known.__getitem__, some))
-            return out
+
+    def fresh(self, word: bytes) -> bytes:
+        """The ids of one word.
+
+        Plain ASCII falls into pre-tokens by the tokenizer's own pattern, and a word of Latin letters is one pre-token;
+        they go to the model at once, and pre-tokens are remembered like words. Everything else goes the whole way.
+        """
+        if word.isalpha():
+            low = word.lower()
+            return self.pieces(low.decode()) if low == word else self.word(low)
+        if word.isascii() and b"<|" not in word and min(word) > 32 and max(word) < 127:
+            parts = PRE_TOKENS.findall(word.lower())
+            return b"".join(map(self.word, parts)) if len(parts) > 1 else self.pieces(parts[0].decode())
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250":
+            text = self.normalizer.normalize_str(text)
+            if text.isalpha():
+                return self.pieces(text.encode().decode("latin-1").translate(self.letters))
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, token: str) -> bytes:
+        return packed([piece.id for piece in self.model.tokenize(token)])
+
+    def word(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.fresh(word) if word else b""
+            if len(self.known) < WORDS_KEPT:
+                self.known[word] = ids
+        return ids
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids of a text; null counts as empty."""
-        if not text:
-            return b""
-        # Lower case is the tokenizer's own rule; for plain ASCII it can be applied first, so that fewer words are new.
-        return b"".join(self.word_ids((text.lower() if text.isascii() else text).split()))
+        return b"".join(map(self.word, (text or b"").split()))
+
+    def encoded(self, texts: pa.Array) -> Iterator[Encoded]:
+        """The ids of many texts, in portions: different words are looked up once, and columns do the rest."""
+        texts = texts.fill_null("")
+        for some in portions(pc.binary_length(texts).to_pylist(), BYTES_AT_ONCE):
+            lists = pc.ascii_split_whitespace(texts[some])
+            held = lists.flatten().dictionary_encode()
+            words = held.dictionary.cast(pa.binary()).to_pylist()
+            ids = list(map(self.known.get, words))
+            for i, (word, of_word) in enumerate(zip(words, ids)):
+                if of_word is None:
+                    ids[i] = self.word(word)
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            starts = np.cumsum(sizes) - sizes
+            place = held.indices.to_numpy(zero_copy_only=False)
+            counts = sizes[place]
+            ends = np.cumsum(counts)
+            total = int(ends[-1]) if len(ends) else 0
+            order = np.arange(total) + np.repeat(starts[place] - (ends - counts), counts)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            bounds = bounds - bounds[0]
+            yield Encoded(some, np.frombuffer(b"".join(ids), dtype="<u4")[order], counts, bounds, np.r_[0, ends][bounds])
+
+
+@dataclass
+class Encoded:
+    """A portion of texts: all ids in a row, ids per word, and each text's bounds among words and ids.
+
+    White space at a text's ends may count as an empty word, which has no id.
+    """
+
+    texts: slice
+    ids: np.ndarray
+    word_ids: np.ndarray
+    word_bounds: np.ndarray
+    bounds: np.ndarray
+
+    def each(self) -> Iterator[bytes]:
+        """The ids of each text as bytes."""
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            yield self.ids[a:b].tobytes()
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_encoder(path: str) -> WordEncoder:
