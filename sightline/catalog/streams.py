@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog import verdicts as VQ
+from sightline.catalog.inputs import HASHES, assets, copies
+from sightline.catalog.video import two_face_detections
 from sightline.functions import plugins
 from sightline.plans import verdicts as V
 from sightline.session import shared_folder, table
@@ -22,47 +24,53 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _drain(spark: SparkSession, name: str, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def _drain(spark: SparkSession, name: str, rows: DataFrame, order: str, job, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run ``job`` over ``rows`` arriving in several micro-batches."""
     folder = _folder(spark, name)
-    return S.drain(stream, f"{folder}/out", f"{folder}/state", mode, keys)
+    return S.drain(job(S.table_stream(rows, folder, order)), f"{folder}/out", f"{folder}/state", mode, keys)
 
 
-def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
-    shape = lambda docs: docs.select(
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
         F.sha2("text", 256).alias("sha256"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("uri"), F.col("doc_id").alias("ord"),
         F.when(F.col("doc_id") % 10 != 9, "image").alias("kind"), (F.col("n_chars") % 23 != 0).alias("ok"))
-    items = S.table_stream(spark, sf, "documents", shape)
+
+
+def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     _, ruled = VQ._scan_items(spark, sf)
-    return _drain(spark, "scan", S.stream_findings(items, ruled), "update", ["sha256"])
+    return _drain(spark, "scan", _items(spark, sf), "ord", lambda items: S.stream_findings(items, ruled), "update", ["sha256"])
 
 
 def stream_failures(spark: SparkSession, sf: str) -> DataFrame:
-    shape = lambda docs: docs.select(
-        F.sha2("text", 256).alias("sha256"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("uri"), F.col("doc_id").alias("ord"),
-        F.when(F.col("doc_id") % 10 != 9, "image").alias("kind"), (F.col("n_chars") % 23 != 0).alias("ok"))
-    return _drain(spark, "failures", S.stream_failures(S.table_stream(spark, sf, "documents", shape)), "append")
+    return _drain(spark, "failures", _items(spark, sf), "ord", S.stream_failures, "append")
+
+
+def stream_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies of registered assets, each arriving three times; every hash is attributed once."""
+    content = copies(spark, sf).drop("plane", "label").withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    content = content.withColumn("arrival", F.col("content_id") % 97 + F.col("turn") * 50)
+    folder = _folder(spark, "attribution")
+    stream = S.table_stream(content, folder, "arrival").drop("arrival", "turn")
+    S.scan_batches(stream, assets(spark, sf).drop("plane", "label"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("content_id", F.col("asset_id"), "basis")
 
 
 def stream_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    shape = lambda o: o.select(F.col("o_orderkey").alias("seq"), F.to_json(F.struct(
+    lines = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.to_json(F.struct(
         F.col("o_custkey").cast("string").alias("asset_id"), F.col("o_orderstatus").alias("sha256"),
         F.col("o_orderpriority").alias("watermark_id"))).alias("line"))
-    out = _drain(spark, "provenance", S.stream_provenance(S.table_stream(spark, sf, "orders", shape)), "update", ["asset_id"])
-    return out.select("asset_id", "sha256", "watermark_id", "position")
+    return _drain(spark, "provenance", lines, "seq", S.stream_provenance, "update", ["asset_id"]).select("asset_id", "sha256", "watermark_id", "position")
 
 
 def stream_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event is a detection of its user's video, ten minutes a step."""
-    step = F.floor(F.unix_timestamp("ts") / 600).cast("bigint")
-    k = F.get_json_object("props", "$.k").cast("int")
-    shape = lambda e: e.select(F.col("user_id").alias("video_id"), step.alias("step"), F.col("event_id").alias("det_ix"), (k % 7 * 4).cast("double").alias("x1"),
-                               F.lit(0.0).alias("y1"), (k % 7 * 4 + 30).cast("double").alias("x2"), F.lit(30.0).alias("y2"))
-    return _drain(spark, "tracks", S.stream_tracks(S.table_stream(spark, sf, "events", shape), TrackingRules(max_gap=60)), "append")
+    """Two faces per sampled frame in the same place, told apart by their descriptors; equal to tracking them in one go."""
+    rows = two_face_detections(spark, sf)
+    return _drain(spark, "tracks", rows, "step", lambda d: S.stream_tracks(d, TrackingRules(iou=0.6)), "append")
 
 
 def stream_scene_samples(spark: SparkSession, sf: str) -> DataFrame:
-    shape = lambda e: e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_number"), F.array("value").alias("plane"))
-    return _drain(spark, "scenes", S.stream_scene_sample(S.table_stream(spark, sf, "events", shape), SamplingRules(max_frames=1_000_000)), "append")
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_number"), F.array("value").alias("plane"))
+    return _drain(spark, "scenes", rows, "frame_number", lambda f: S.stream_scene_sample(f, SamplingRules(max_frames=1 << 40)), "append")
 
 
 def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,12 +95,18 @@ def embedded_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_scan, stream_failures, stream_provenance, stream_tracks, stream_scene_samples, scored_documents, embedded_documents)}
+    stream_scan, stream_failures, stream_attribution, stream_provenance, stream_tracks, stream_scene_samples, scored_documents, embedded_documents)}
 
 ORACLES = {
     "stream_scan": f"""WITH {VQ._SCAN} SELECT sha256, verdict, level, similarity, 'doc/' || ord AS uri, places FROM found
       WHERE verdict NOT IN ('unrelated', 'inconclusive')""",
     "stream_failures": """SELECT sha256(text) AS sha256, 'doc/' || doc_id AS uri, doc_id AS ord FROM documents WHERE doc_id % 10 <> 9 AND n_chars % 23 = 0""",
+    "stream_attribution": f"""WITH {HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id AS asset_id, bit_count(xor(a.bits, b.bits)) AS dist
+      FROM h a JOIN h b ON a.kind = 'copy' AND b.kind = 'asset'),
+      near AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY dist, asset_id) AS rk FROM d)
+      SELECT content_id, CASE WHEN content_id % 4 < 2 THEN content_id WHEN 1.0 - dist / 64 >= 0.8125 THEN asset_id END AS asset_id,
+      CASE content_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'code' ELSE CASE WHEN 1.0 - dist / 64 >= 0.8125 THEN 'perceptual' END END AS basis
+      FROM near WHERE rk = 1""",
     "stream_provenance": """SELECT o_custkey::VARCHAR AS asset_id, arg_max(o_orderstatus, o_orderkey) AS sha256,
       arg_max(o_orderpriority, o_orderkey) AS watermark_id, min(o_orderkey) AS position FROM orders GROUP BY 1""",
     "stream_scene_samples": """WITH RECURSIVE n AS (SELECT a.user_id, a.event_id, min(b.event_id) AS following FROM events a JOIN events b

@@ -51,6 +51,19 @@ def _detections(spark: SparkSession, sf: str) -> DataFrame:
                           "value", "k").where("k % 10 > 0")
 
 
+def two_face_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """Two faces of different people at one place of every sampled frame; which comes first changes with the step."""
+    one = _detections(spark, sf).select("video_id", "step", "x1", "y1", "x2", "y2")
+    look = lambda who: F.array(*[F.when(F.lit(i) == who, 1.0).otherwise(0.0) for i in range(2)])
+    return one.withColumn("det_ix", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>"))).withColumn(
+        "descriptor", look((F.col("det_ix") + F.col("step")) % 2)).select("video_id", "step", "det_ix", "x1", "y1", "x2", "y2", "descriptor")
+
+
+def paired_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.track_faces(two_face_detections(spark, sf), TrackingRules(iou=0.6))
+    return out.select("video_id", "segment", "step", "det_ix", "track_id")
+
+
 def face_tracks(spark: SparkSession, sf: str) -> DataFrame:
     out = S.track_faces(_detections(spark, sf), TrackingRules(iou=0.6))
     return out.select("video_id", "segment", "step", "det_ix", "track_id")
@@ -139,7 +152,7 @@ def video_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    uniform_samples, scene_change_samples, scene_cuts, face_tracks, track_evidence, video_identity, track_representatives,
+    uniform_samples, scene_change_samples, scene_cuts, face_tracks, paired_tracks, track_evidence, video_identity, track_representatives,
     scoring_budget, frame_trimmed_mean, still_sightings, still_evidence, spread_positions, span_coverage, coverage_notes, video_evidence)}
 
 _FRAMES = """f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_number,

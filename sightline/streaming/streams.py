@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,21 +39,13 @@ def stream_failures(items: DataFrame) -> DataFrame:
 def scan_batches(items: DataFrame, assets: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """Attribute arriving content against the registry, each hash once; returns the started query.
 
-    Every micro-batch writes its own ``batch=`` folder and ignores hashes of earlier batches, so a
-    repeated batch overwrites exactly what it wrote before.
+    The stream's own state knows the hashes of earlier batches, so no batch reads what others wrote. Every micro-batch
+    writes its own ``batch=`` folder; a repeated batch overwrites exactly what it wrote before.
     """
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["sha256"])
-        try:
-            seen = spark.read.parquet(out).where(F.col("batch") < batch_id).select("sha256")
-        except AnalysisException:  # nothing written yet
-            seen = None
-        new = new if seen is None else new.join(seen, "sha256", "left_anti")
-        attribute_source(new, assets).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    writer = items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        attribute_source(batch, assets).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = items.dropDuplicates(["sha256"]).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -73,13 +64,17 @@ def _idle(state: GroupState, idle_ms: int | None) -> None:
 
 
 def stream_tracks(detections: DataFrame, rules: TrackingRules = TrackingRules(), idle_ms: int | None = None) -> DataFrame:
-    """Track ids for arriving detections of many videos; steps of a video must arrive in order.
+    """Track ids for arriving ``detections(video_id, step, det_ix, x1, y1, x2, y2[, descriptor])`` of many videos.
 
-    State per video: the open tracks (bounded by the detector's face limit and the gap), segment and ids.
+    State per video: the open tracks with their boxes and descriptors (bounded by the faces in view and the gap), segment and
+    ids. Steps of a video must arrive in order; a detection at or before a step that an earlier batch has closed comes too late to
+    be placed, and is passed on with a NULL track.
     """
+    has_look = "descriptor" in detections.columns
     video_type = dict(detections.dtypes)["video_id"]
     output = f"video_id {video_type}, segment bigint, step bigint, det_ix bigint, track_id bigint"
-    state_schema = "segment bigint, next_id bigint, last_step bigint, ids array<bigint>, seen array<bigint>, boxes array<array<double>>"
+    state_schema = ("segment bigint, next_id bigint, last_step bigint, ids array<bigint>, seen array<bigint>, boxes array<array<double>>, "
+                    "looks array<array<double>>")
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -87,23 +82,28 @@ def stream_tracks(detections: DataFrame, rules: TrackingRules = TrackingRules(),
             return
         segment, next_id, last, tracks = 0, 0, None, []
         if state.exists:
-            segment, next_id, last, ids, seen, boxes = state.get
-            tracks = [{"id": i, "seen": s, "box": tuple(b), "look": None} for i, s, b in zip(ids, seen, boxes)]
-        open_ = OpenTracks(rules, next_id, tracks)
+            segment, next_id, last, ids, seen, boxes, looks = state.get
+            tracks = [{"id": i, "seen": s, "box": tuple(b), "look": None if k is None else np.asarray(k)} for i, s, b, k in zip(ids, seen, boxes, looks)]
+        open_, closed = OpenTracks(rules, next_id, tracks), last
         rows = pd.concat(list(batches)).sort_values(["step", "det_ix"])
         out = []
         for step, part in rows.groupby("step", sort=True):
             step = int(step)
+            if closed is not None and step <= closed:
+                out.extend((key[0], None, step, int(det), None) for det in part["det_ix"])
+                continue
             if last is not None and step - last > rules.max_gap:
                 segment, open_ = segment + 1, OpenTracks(rules)
             boxes = list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-            for det, track in zip(part["det_ix"], open_.step(step, boxes, [None] * len(part))):
+            seen_as = list(part["descriptor"]) if has_look else [None] * len(part)
+            for det, track in zip(part["det_ix"], open_.step(step, boxes, seen_as)):
                 out.append((key[0], segment, step, int(det), track))
             last = step
         state.update((segment, open_.next_id, last, [t["id"] for t in open_.tracks], [t["seen"] for t in open_.tracks],
-                      [[float(v) for v in t["box"]] for t in open_.tracks]))
+                      [[float(v) for v in t["box"]] for t in open_.tracks],
+                      [None if t["look"] is None else [float(v) for v in t["look"]] for t in open_.tracks]))
         _idle(state, idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "segment", "step", "det_ix", "track_id"])
+        yield pd.DataFrame(out, columns=["video_id", "segment", "step", "det_ix", "track_id"]).astype({"segment": "Int64", "track_id": "Int64"})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return detections.groupBy("video_id").applyInPandasWithState(follow, output, state_schema, "append", timeout)
@@ -153,7 +153,16 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str, keys: list[st
     return written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*keys, "r.*")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A given table as a file stream, shaped by ``shape``."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return shape(spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+def table_stream(df: DataFrame, folder: str, order: str, batches: int = 4) -> DataFrame:
+    """A table as a file stream of several micro-batches, in rising ``order``: state has to be carried from one to the next.
+
+    The table is cut at quantiles of ``order`` and written to ``folder``, one part after the other.
+    """
+    spark, path = df.sparkSession, f"{folder}/arrivals"
+    cuts = df.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01)
+    low = None
+    for high in [*sorted(set(cuts)), None]:
+        part = df if low is None else df.where(F.col(order) > low)
+        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
+        low = high
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -307,3 +307,35 @@ def test_stream_updates_latest_node(spark, tmp_path):
     stream = _file_stream(spark, tmp_path, frame, ["seq < 2", "seq >= 2"])
     got = ST.drain(ST.stream_provenance(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update", ["asset_id"])
     assert {r["asset_id"]: (r["sha256"], r["position"]) for r in got.collect()} == {"a": ("3", 0), "b": ("2", 1)}
+
+
+def test_streamed_tracks_equal_batch_tracks(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for video in range(3):
+        for step in range(40):
+            for face in range(2):  # the same place, told apart by looks alone
+                look = [1.0, 0.0] if face == (step % 2) else [0.0, 1.0]
+                x = rng.randrange(0, 8)
+                rows.append((video, step + (20 if step > 25 else 0), face, float(x), 0.0, x + 40.0, 40.0, look))
+    frame = spark.createDataFrame(rows, "video_id int, step long, det_ix long, x1 double, y1 double, x2 double, y2 double, descriptor array<double>")
+    stream = _file_stream(spark, tmp_path, frame, ["step < 13", "step >= 13 AND step < 30", "step >= 30"])
+    got = ST.drain(ST.stream_tracks(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    as_set = lambda df: {(r["video_id"], r["segment"], r["step"], r["det_ix"], r["track_id"]) for r in df.collect()}
+    assert as_set(got) == as_set(S.track_faces(frame)) and len({r[4] for r in as_set(got) if r[1] == 0}) == 2
+
+
+def test_late_detections_are_passed_on_without_a_track(spark, tmp_path):
+    rows = [(1, 5, 0, 0.0, 0.0, 9.0, 9.0), (1, 3, 0, 0.0, 0.0, 9.0, 9.0), (1, 6, 0, 0.0, 0.0, 9.0, 9.0)]
+    frame = spark.createDataFrame(rows, "video_id int, step long, det_ix long, x1 double, y1 double, x2 double, y2 double")
+    stream = _file_stream(spark, tmp_path, frame, ["step = 5", "step = 3 OR step = 6"])
+    got = ST.drain(ST.stream_tracks(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    assert sorted((r["step"], r["track_id"]) for r in got.collect()) == [(3, None), (5, 0), (6, 0)]
+
+
+def test_pages_are_parsed_once(spark):
+    from sightline.sources.web import page_edges
+
+    pages = spark.createDataFrame([("http://h/", "<a href='x.jpg'>x</a><img src='x.jpg'>")], "url string, html string")
+    plan = page_edges(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
