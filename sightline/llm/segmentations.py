@@ -29,7 +29,7 @@ SAMPLES = 2
 SEED = 11
 SHARPNESS = 1.0
 BYTE_COST = 12.0  # minus log-weight of a byte that stands for part of an unknown character
-CHARACTERS_AT_ONCE = 1 << 20
+CHARACTERS_AT_ONCE = 3 << 18
 GRAIN = 2.0 ** 30
 
 _models: dict[tuple, PieceModel] = {}
@@ -65,15 +65,54 @@ class PieceModel:
             for c in map(ord, piece):
                 state = states.setdefault((state, c), len(states) + 1)
             ends[state] = i
-        moves = sorted((s << 21 | c, t) for (s, c), t in states.items())
-        self.keys = np.array([m[0] for m in moves], dtype=np.int64)
-        self.targets = np.array([m[1] for m in moves], dtype=np.int64)
+        self._hash_moves(states)
+        self.openers = np.zeros(1 << 16, dtype=np.int64)  # state after a first character of the basic plane, 0: none
+        for (s, c), t in states.items():
+            if s == 0 and c < len(self.openers):
+                self.openers[c] = t
         self.ends = np.full(len(states) + 1, -1, dtype=np.int64)
         self.ends[list(ends)] = list(ends.values())
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces.values())
         breaks = "" if inner or any("\n" in p for p in pieces.values()) else "\n"
         self.unit = re.compile("[\\s\\S]+" if inner else f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + ("|\n" if breaks else ""))
 
+    def _hash_moves(self, states: dict[tuple[int, int], int]) -> None:
+        """The trie's moves in an open hash table of a fixed few probes, kept at a quarter full at most."""
+        keys = np.array([s << 21 | c for s, c in states], dtype=np.int64)
+        targets = np.array(list(states.values()), dtype=np.int64)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.targets = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        waiting, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(waiting):
+            free = self.keys[slot] == -1
+            taken, once = np.unique(slot[free], return_index=True)
+            rows = np.flatnonzero(free)[once]
+            self.keys[taken], self.targets[taken] = keys[waiting[rows]], targets[waiting[rows]]
+            rest = np.ones(len(waiting), dtype=bool)
+            rest[rows] = False
+            waiting, slot = waiting[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def move(self, states: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The state that each state and character lead to, 0 where there is none."""
+        keys = states << 21 | points
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.targets[slot], 0)
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there, wanted = self.keys[slot], keys[open_]
+            hit = there == wanted
+            out[open_[hit]] = self.targets[slot[hit]]
+            going = ~hit & (there != -1)
+            open_, slot = open_[going], slot[going]
+        return out
+
     def units(self, text: str) -> list[str]:
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -120,10 +159,14 @@ class Lattices:
         state, at, depth = np.zeros(len(points), dtype=np.int64), char, 0
         single = np.zeros(len(points), dtype=bool)
         while len(at):
-            key = state << 21 | points[at + depth]
-            place = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-            match = model.keys[place] == key
-            at, state = at[match], model.targets[place[match]]
+            if depth == 0 and int(points.max()) < len(model.openers):
+                state = model.openers[points]
+                match = state > 0
+                at, state = at[match], state[match]
+            else:
+                state = model.move(state, points[at + depth])
+                match = state > 0
+                at, state = at[match], state[match]
             depth += 1
             ends = model.ends[state]
             found = ends >= 0
@@ -206,6 +249,50 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+COLUMNS = ("origin", "reach", "piece", "log_chance", "chance", "upto")
+EDGES_KEPT = 3_000_000  # of a worker's known words; a full store is emptied, which costs time and changes nothing
+
+
+class LatticeStore(Lattices):
+    """Lattices of all words that a worker has met; only new words are built."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model, self.known = model, {}
+        self.nodes = self.edges = 0
+        self.room: dict[str, np.ndarray] = {}
+
+    def add(self, units: list[str]) -> None:
+        """Make sure that every word is known."""
+        fresh = list(set(units).difference(self.known))
+        if not fresh:
+            return
+        if self.edges > EDGES_KEPT:
+            self.known, self.nodes, self.edges = {}, 0, 0
+            fresh = list(set(units))
+        more = Lattices(fresh, self.model)
+        starts = more.starts + self.nodes
+        for name, shift in (("origin", self.nodes), ("reach", self.nodes), ("first", self.edges)):
+            setattr(more, name, getattr(more, name) + np.int32(shift))
+        for name in COLUMNS:
+            self._put(name, self.edges, getattr(more, name))
+        for name in ("first", "degree"):
+            self._put(name, self.nodes, getattr(more, name))
+        self.nodes += len(more.first)
+        self.edges += len(more.piece)
+        self.known.update(zip(fresh, starts.tolist()))
+        for name, column in self.room.items():
+            setattr(self, name, column[:self.edges if name in COLUMNS else self.nodes])
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = self.room.get(name)
+        if held is None or len(held) < at + len(values):
+            grown = np.empty(5 * (at + len(values)) // 4, dtype=values.dtype)
+            if held is not None:
+                grown[:at] = held[:at]
+            self.room[name] = held = grown
+        held[at:at + len(values)] = values
+
+
 @dataclass
 class Paths:
     """One path for each of some texts: flat edges with their words, and the bounds of the nodes that branch off."""
@@ -240,21 +327,21 @@ def new_paths(lattices: Lattices, texts, counts, edges, words, keys, turn, value
         full = (closed[own] >= 0).sum(axis=1) >= lattices.degree[lattices.origin[edges[at[own]]]]
         rest[at[own][full]] = 0.0
     rest[(lattices.degree[lattices.origin[edges]] == 1) | (step < np.repeat(branch, counts))] = 0.0
-    with np.errstate(divide="ignore"):
-        mass = before + np.log(np.maximum(rest, 0.0))
-        noise = -np.log(-np.log(uniform(streams(np.repeat(keys, counts), 2, turn, step))))
-        bounds = -np.logaddexp(-np.repeat(value, counts), -(mass + noise))
+    bounds = np.full(len(edges), -np.inf)
+    open_ = np.flatnonzero(rest > 0)
+    owner = np.repeat(np.arange(len(counts)), counts)[open_]
+    noise = -np.log(-np.log(uniform(streams(keys[owner], 2, turn, step[open_]))))
+    bounds[open_] = -np.logaddexp(-value[owner], -(before[open_] + np.log(rest[open_]) + noise))
     return Paths(texts, begins, counts, edges, words, before, bounds, before[begins + counts - 1] + logs[begins + counts - 1], value, branch, closed)
 
 
-def sampled_paths(unit_lists: list[list[str]], keys: np.ndarray, model: PieceModel, samples: int) -> tuple[Lattices, list[Paths], np.ndarray]:
+def sampled_paths(unit_lists: list[list[str]], keys: np.ndarray, lattices: LatticeStore, samples: int) -> tuple[list[Paths], np.ndarray]:
     """For texts with at least one word: one ``Paths`` per sample, and each text's next perturbed value (minus infinity: no more path)."""
-    ids: dict[str, int] = {}
-    flat = np.array([ids.setdefault(u, len(ids)) for units in unit_lists for u in units], dtype=np.int64)
-    lattices = Lattices(list(ids), model)
+    flat = [u for units in unit_lists for u in units]
+    lattices.add(flat)
+    starts = np.fromiter(map(lattices.known.__getitem__, flat), dtype=np.int64, count=len(flat))
     sizes = np.array([len(units) for units in unit_lists], dtype=np.int64)
     opens = np.cumsum(sizes) - sizes
-    starts = lattices.starts[flat]
     n = len(sizes)
     word = ranges(np.zeros(n, np.int64), sizes)
     edges, steps = lattices.walk(starts, streams(np.repeat(keys, sizes), 1, 0, word))
@@ -273,10 +360,10 @@ def sampled_paths(unit_lists: list[list[str]], keys: np.ndarray, model: PieceMod
             who = paths.texts[better]
             best[who], source[who], place[who] = top[better], i, spot[better]
         if turn == samples:
-            return lattices, found, best
+            return found, best
         texts = np.flatnonzero(best > -np.inf)
         if not len(texts):
-            return lattices, found, best
+            return found, best
         m = len(texts)
         branch, node_edge, closed, prefix_from, cut_word = (np.zeros(m, np.int64) for _ in range(5))
         closed = np.full((m, samples + 1), -1)
@@ -332,7 +419,7 @@ def sampled_paths(unit_lists: list[list[str]], keys: np.ndarray, model: PieceMod
         target = ranges(begins + branch + 1, tail_counts)
         edges[target], words[target] = more, np.repeat(numbers, steps)
         found.append(new_paths(lattices, texts, counts, edges, words, keys[texts], turn, best[texts], branch, closed))
-    return lattices, found, best
+    return found, best
 
 
 def piece_ids(lattices: Lattices, paths: Paths, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +452,7 @@ def sample_segmentations(pages: DataFrame, vocabulary: str, samples: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(vocabulary, sharpness)
+        lattices = LatticeStore(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(2).to_numpy().view(np.uint64)
@@ -376,7 +464,7 @@ def sample_segmentations(pages: DataFrame, vocabulary: str, samples: int = SAMPL
                     yield rows(batch, np.array([i]), 0, np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.ones(1))
                 if not full.any():
                     continue
-                lattices, found, following = sampled_paths([u for u in units if u], keys[at[full]], model, samples)
+                found, following = sampled_paths([u for u in units if u], keys[at[full]], lattices, samples)
                 for number, paths in enumerate(found):
                     ids, counts = piece_ids(lattices, paths, model)
                     inclusion = -np.expm1(-np.exp(np.minimum(paths.log_chance - following[paths.texts], 50.0)))
