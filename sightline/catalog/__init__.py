@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "web", "planes", "marks", "evaluation", "streams"]
+TOPICS = ["identity", "calibration", "provenance", "verdicts", "video", "web", "planes", "marks", "evaluation", "streams", "records"]
 
 # Counters whose integer width differs between the engines: the oracle is cast to the query's type.
 WIDTHS = {
