@@ -88,8 +88,9 @@ def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int
     cells = block_join(_distinct_hashes(content), registered, ["phash"], ["phash"], _closest(k, below),
                        f"phash string, asset_phash string, distance int, first_id {id_type}", same=["digits"],
                        counted=(content, assets))
-    near = F.slice(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))), 1, k)
-    return cells.groupBy("phash").agg(near.alias("near"))
+    order = Window.partitionBy("phash").orderBy("distance", "first_id", "asset_phash")
+    top = cells.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)  # cut to k per task before the shuffle
+    return top.groupBy("phash").agg(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))).alias("near"))
 
 
 def similarity_of(distance: Column, phash: Column) -> Column:

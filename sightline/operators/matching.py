@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sightline.functions import vectors as V
 from sightline.functions.quality import effective_thresholds
 from sightline.operators.blocks import BLOCK_ROWS, block_join, group_bounds, stripes, unit_matrix
+from sightline.session import cut_lineage
 from sightline.settings import DECISION_ORDER, EnrollmentRules, FaceThresholds
 
 
@@ -38,9 +39,9 @@ def build_templates(references: DataFrame, decimals: int | None = None) -> DataF
 def _top_scores(k: int, exclude_self: bool):
     """Reducer: best ``k`` similarities per (probe, identity); identities that cannot win are left out.
 
-    An identity wholly inside the cell competes there and only the best two survive; the rest of an
-    identity split over several blocks may still add up, so its partial lists are always kept when
-    ``k`` > 1. For ``k`` = 1 a partial maximum behaves like a whole one.
+    An identity wholly inside the cell competes there and only the best two survive. Only an identity too
+    large for one block is split over several when ``k`` > 1; its parts may still add up, so they are kept.
+    For ``k`` = 1 a partial maximum behaves like a whole one.
     """
 
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -55,7 +56,7 @@ def _top_scores(k: int, exclude_self: bool):
         raw_b = np.vstack(right["vector"].to_numpy()).astype(np.float64)
         names = left["probe_id"].to_numpy()
         refs = right["ref_name"].to_numpy() if exclude_self else None
-        out: list[tuple] = []
+        out: list[pd.DataFrame] = []
         for part in stripes(len(left)):
             scores = a[part] @ b.T
             squares = ((raw_a[part] ** 2).sum(1)[:, None] + (raw_b ** 2).sum(1)[None, :]
@@ -73,7 +74,7 @@ def _top_scores(k: int, exclude_self: bool):
                 tops = np.full((scores.shape[0], len(users), k), -np.inf)
                 for i, (s, e) in enumerate(zip(bounds, ends)):
                     take = min(k, e - s)
-                    tops[:, i, :take] = -np.sort(-scores[:, s:e], axis=1)[:, :take]
+                    tops[:, i, :take] = -np.sort(np.partition(-scores[:, s:e], take - 1, axis=1)[:, :take], axis=1)
                 finite = np.isfinite(tops)
                 level = np.where(finite, tops, 0.0).sum(2) / np.maximum(finite.sum(2), 1)
                 level = np.where(finite.any(2), level, -np.inf)
@@ -87,11 +88,11 @@ def _top_scores(k: int, exclude_self: bool):
                 keep[rows, chosen] |= np.isfinite(contest[rows, chosen])
             if "claim" in left.columns:
                 keep |= (left["claim"].to_numpy()[part][:, None] == users[None, :]) & np.isfinite(best)
-            for r, u in zip(*np.nonzero(keep)):
-                values = tops[r, u]
-                out.append((names[part][r], users[u], values[np.isfinite(values)].tolist(),
-                            float(np.sqrt(max(nearest[r, u], 0.0)))))
-        return pd.DataFrame(out, columns=["probe_id", "user_id", "tops", "distance"])
+            r, u = np.nonzero(keep)
+            lists = [values[np.isfinite(values)] for values in tops[r, u]]
+            out.append(pd.DataFrame({"probe_id": names[part][r], "user_id": users[u], "tops": lists,
+                                     "distance": np.sqrt(np.maximum(nearest[r, u], 0.0))}))
+        return pd.concat(out)
 
     return reduce
 
@@ -116,11 +117,15 @@ def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "m
     if depth > 1:
         counts = refs.groupBy("user_id", "dim").agg(F.count("*").alias("ref_count"))
         refs = refs.join(counts, ["user_id", "dim"])
+        # An identity that fits a block stays together in one.
+        spread = F.when(F.col("ref_count") > BLOCK_ROWS // 4, F.xxhash64("ref_ix")).otherwise(F.lit(0).cast("bigint"))
     else:
         refs = refs.withColumn("ref_count", F.lit(1).cast("bigint"))
+        spread = F.xxhash64("ref_ix")
+    refs = refs.withColumn("spread", spread)
     partial = block_join(
         probes.select("probe_id", "vector", "dim", *[c for c in ("claim",) if c in probes.columns]), refs,
-        ["probe_id"], ["user_id", "ref_ix"], _top_scores(depth, exclude_self),
+        ["probe_id"], ["user_id", "spread"], _top_scores(depth, exclude_self),
         f"probe_id {id_type}, user_id {user_type}, tops array<double>, distance double", same=["dim"])
     if depth == 1:
         merged = partial.groupBy("probe_id", "user_id").agg(
@@ -133,8 +138,29 @@ def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "m
                          "euclidean")
 
 
+def _nearest_wanted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Least Euclidean distance of each probe to the references of the identities it asks for."""
+    users, codes = np.unique(right["user_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    b = np.vstack(right["vector"].to_numpy()[order]).astype(np.float64)
+    bounds = group_bounds(codes[order])
+    a, names = np.vstack(left["vector"].to_numpy()).astype(np.float64), left["probe_id"].to_numpy()
+    wanted = left["wanted"].to_numpy()
+    out = []
+    for part in stripes(len(left)):
+        squares = (a[part] ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a[part] @ b.T
+        nearest = np.sqrt(np.maximum(np.minimum.reduceat(squares, bounds, axis=1), 0.0))
+        asked = np.vstack([np.isin(users, list(w)) for w in wanted[part]])
+        r, u = np.nonzero(asked)
+        out.append(pd.DataFrame({"probe_id": names[part][r], "user_id": users[u], "euclidean": nearest[r, u]}))
+    return pd.concat(out)
+
+
 def _scores_to_template(probes: DataFrame, refs: DataFrame, strategy: str) -> DataFrame:
-    """Mean and centroid need one vector per identity: the mean cosine is a product with the mean."""
+    """Mean and centroid need one vector per identity: the mean cosine is a product with the mean.
+
+    A second pass measures the least distance to the references themselves, for the identities that are left.
+    """
     parts = (refs.select("user_id", "dim", F.posexplode(V.l2_normalize(F.col("vector"))).alias("pos", "x"))
              .groupBy("user_id", "dim", "pos").agg(F.avg("x").alias("m"))
              .groupBy("user_id", "dim").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
@@ -144,35 +170,43 @@ def _scores_to_template(probes: DataFrame, refs: DataFrame, strategy: str) -> Da
 
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("user_id")
+        users = right["user_id"].to_numpy()
         mean = np.vstack(right["vector"].to_numpy())
         lengths = np.linalg.norm(mean, axis=1) if scale_back else np.ones(len(mean))
         scores = unit_matrix(left["vector"]) @ unit_matrix(right["vector"]).T * lengths[None, :]
-        lead = np.argsort(-scores, axis=1, kind="stable")[:, :2]
-        rows = np.repeat(np.arange(len(left)), lead.shape[1])
-        flat = lead.ravel()
-        return pd.DataFrame({"probe_id": left["probe_id"].to_numpy()[rows],
-                             "user_id": right["user_id"].to_numpy()[flat],
-                             "similarity": scores[rows, flat], "euclidean": np.nan})
-
-    out = block_join(probes.select("probe_id", "vector", "dim"), parts, ["probe_id"], ["user_id"], reduce,
-                     f"probe_id {id_type}, user_id {user_type}, similarity double, euclidean double",
-                     same=["dim"])
-    return out.withColumn("euclidean", F.lit(None).cast("double"))
+        keep = np.zeros(scores.shape, dtype=bool)
+        np.put_along_axis(keep, np.argsort(-scores, axis=1, kind="stable")[:, :2], True, axis=1)
+        if "claim" in left.columns:
+            keep |= left["claim"].to_numpy()[:, None] == users[None, :]
+        r, u = np.nonzero(keep)
+        return pd.DataFrame({"probe_id": left["probe_id"].to_numpy()[r], "user_id": users[u], "similarity": scores[r, u]})
+
+    claims = [c for c in ("claim",) if c in probes.columns]
+    found = cut_lineage(block_join(probes.select("probe_id", "vector", "dim", *claims), parts, ["probe_id"], ["user_id"], reduce,
+                                   f"probe_id {id_type}, user_id {user_type}, similarity double", same=["dim"]))
+    asked = found.groupBy("probe_id").agg(F.collect_set("user_id").alias("wanted"))  # two per block of identities, and the claim
+    near = block_join(probes.select("probe_id", "vector", "dim").join(asked, "probe_id"), refs.select("user_id", "ref_ix", "vector", "dim"),
+                      ["probe_id"], ["user_id", "ref_ix"], _nearest_wanted, f"probe_id {id_type}, user_id {user_type}, euclidean double", same=["dim"],
+                      counted=(probes, refs))
+    near = near.groupBy("probe_id", "user_id").agg(F.min("euclidean").alias("euclidean"))
+    return found.join(near, ["probe_id", "user_id"], "left")
 
 
 def rank_identities(scores: DataFrame, limits: FaceThresholds = FaceThresholds(),
                     quality: Column | None = None) -> DataFrame:
     """Best identity per probe with runner-up, margin and decision.
 
-    The two leaders are kept by ordered aggregation, not by a window over the probe's identities.
+    The two leaders are the first rows of an ordered window, which Spark cuts to two per task before the shuffle.
     A margin strictly below ``min_margin`` demotes the leader: never high confidence, ``ambiguous``
     while it is still a candidate. A single identity has no margin and is not demoted.
     """
-    extra = [F.first(quality).alias("quality")] if quality is not None else []
-    entry = F.struct((-F.col("similarity")).alias("loss"), "user_id", "euclidean")
-    leaders = scores.groupBy("probe_id").agg(
-        F.slice(F.sort_array(F.collect_list(entry)), 1, 2).alias("top"), *extra)
-    best, second = F.get("top", 0), F.get("top", 1)
+    order = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "user_id", "euclidean")
+    fields = ["probe_id", "user_id", "similarity", "euclidean", *([quality.alias("quality")] if quality is not None else [])]
+    top = scores.select(*fields).withColumn("turn", F.row_number().over(order)).where("turn <= 2")
+    at = lambda turn: F.max(F.when(F.col("turn") == turn, F.struct((-F.col("similarity")).alias("loss"), "user_id", "euclidean")))
+    extra = [F.max(F.when(F.col("turn") == 1, F.col("quality"))).alias("quality")] if quality is not None else []
+    leaders = top.groupBy("probe_id").agg(at(1).alias("best"), at(2).alias("second"), *extra)
+    best, second = F.col("best"), F.col("second")
     q = F.col("quality") if quality is not None else F.lit(None).cast("double")
     candidate_at, high_at = effective_thresholds(q, limits)
     ranked = leaders.select(

@@ -504,3 +504,19 @@ def test_logistic_separates(spark):
     assert quality_["auc"] > 0.9 and quality_["usable"] and model["weights"][0] > 0
 
 
+
+
+@pytest.mark.parametrize("strategy", ["mean", "centroid", "topk_mean"])
+def test_every_strategy_keeps_claims_and_distance(spark, strategy):
+    rng = np.random.default_rng(4)
+    refs = [(u, i, [float(x) for x in rng.standard_normal(6)], 6) for u in range(12) for i in range(5)]
+    asked = [(p, [float(x) for x in rng.standard_normal(6)], 6, p % 12) for p in range(20)]
+    got = M.identity_scores(spark.createDataFrame(asked, "probe_id int, vector array<double>, dim int, claim int"),
+                            spark.createDataFrame(refs, "user_id int, ref_ix int, vector array<double>, dim int"), strategy).collect()
+    table = {(r["probe_id"], r["user_id"]): r["euclidean"] for r in got}
+    for p, v, _, claim in asked:
+        assert (p, claim) in table
+    for (p, u), distance in table.items():
+        want = min(np.linalg.norm(np.array(v) - np.array(asked[p][1])) for user, _, v, _ in refs if user == u)
+        assert distance == pytest.approx(want)
+    assert len(got) <= 20 * 3
