@@ -31,9 +31,17 @@ def build_session(app: str = "sightline", master: str | None = None, **conf: str
 _shipped: set[str] = set()
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, wherever they run and whatever folder they start in."""
+    """Give the Python workers this package, wherever they run and whatever folder they start in.
+
+    Rows may hold whole texts or pages, so a batch to a worker is bounded by bytes; a session's own bound stays.
+    """
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES, "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(ARROW_BYTES, "4m")
     if context.applicationId not in _shipped:
         home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "sightline"), "zip", home, "sightline"))
