@@ -40,24 +40,24 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("detector", "item", both).select("detector", "item", "v.*")
 
 
-def _reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
     halved = cut_lineage(E.split_half(items(spark, sf), 0.5, 7))
-    return E.evaluate_detector(halved, _scores(spark, sf))
+    return E.judged_scores(halved, _scores(spark, sf))
 
 
 def detector_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf)[0].select("detector", "degradation", r6("threshold"), "test_photos", "false_positives", "undetected", r6("rate"))
+    return E.genuine_report(_judged(spark, sf)).select("detector", "degradation", r6("threshold"), "test_photos", "false_positives", "undetected", r6("rate"), r6("upper_95"))
 
 
 def detector_families(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf)[1].select("detector", "degradation", "family", r6("separation_auc"), "test_fakes", r6("recall"))
+    return E.family_report(_judged(spark, sf)).select("detector", "degradation", "family", r6("separation_auc"), "test_fakes", r6("recall"))
 
 
 def detector_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The gate with its exact bounds; the second detector is taken to have seen an evaluated manifest."""
-    report, families = _reports(spark, sf)
+    judged = _judged(spark, sf)
     leaked = _scores(spark, sf).where("detector = 'numbers'").select("detector").distinct()
-    return E.detector_gate(report, families, leaked).select("detector", "passes", F.array_join("reasons", "; ").alias("reasons"))
+    return E.detector_gate(E.genuine_report(judged), E.family_report(judged), leaked).select("detector", "passes", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def condition_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,6 +249,14 @@ _SC = f"""{_ITEMS}, d0 AS (SELECT item, 'lengths' AS detector, (n_chars % 997) /
   lim AS (SELECT detector, quantile_cont(score, 0.995) AS threshold FROM sc JOIN halved USING (item) WHERE degradation = 'clean'
     AND half = 'calibration' AND label = 'genuine' GROUP BY 1),
   j AS (SELECT * FROM sc JOIN halved USING (item) JOIN lim USING (detector))"""
+# The exact bound is where the binomial distribution function falls to 2.5 %; found by bisection.
+_BOUND = """rep AS (SELECT detector, degradation, any_value(threshold) AS threshold, count(score) AS test_photos, count(*) FILTER (WHERE score >= threshold) AS false_positives,
+    count(*) FILTER (WHERE score IS NULL) AS undetected FROM j WHERE half = 'test' AND label = 'genuine' GROUP BY ALL),
+  bis(k, n, lo, hi, turn) AS (SELECT DISTINCT false_positives, test_photos, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM rep WHERE test_photos > 0 UNION ALL
+    SELECT k, n, CASE WHEN below > 0.025 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below > 0.025 THEN hi ELSE (lo + hi) / 2 END, turn + 1
+    FROM (SELECT *, list_sum(list_transform(range(0, k + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln((lo + hi) / 2)
+      + (n - x) * ln(1 - (lo + hi) / 2)))) AS below FROM bis WHERE turn < 60) z),
+  bounded AS (SELECT rep.*, CASE WHEN false_positives = test_photos THEN 1.0 ELSE lo END AS upper_95 FROM rep LEFT JOIN bis ON k = false_positives AND n = test_photos AND turn = 60)"""
 _LAYER = """r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'original' WHEN 'N' THEN 'dct_then_learned' ELSE 'learned' END AS config,
     ['none', 'jpeg@50', 'crop@20', 'noise@5', 'none', 'jpeg@30', 'erase@1'][l_linenumber] AS attack, l_orderkey AS ix, l_orderkey % 8 AS truth,
     (l_orderkey + 1) % 8 AS victim, CASE WHEN l_quantity::INT % 3 > 0 THEN l_suppkey % 8 END AS dct,
@@ -264,9 +272,16 @@ _LAYER = """r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'original' WHEN 'N' THE
 
 ORACLES = {
     "split_halves": f"WITH {_ITEMS} SELECT item, half FROM halved",
-    "detector_report": f"""WITH {_SC} SELECT detector, degradation, round(any_value(threshold), 6) AS threshold, count(score) AS test_photos,
-      count(*) FILTER (WHERE score >= threshold) AS false_positives, count(*) FILTER (WHERE score IS NULL) AS undetected,
-      round(count(*) FILTER (WHERE score >= threshold) / greatest(count(score), 1), 6) AS rate FROM j WHERE half = 'test' AND label = 'genuine' GROUP BY ALL""",
+    "detector_report": f"""WITH RECURSIVE {_SC}, {_BOUND} SELECT detector, degradation, round(threshold, 6) AS threshold, test_photos, false_positives, undetected,
+      round(false_positives / greatest(test_photos, 1), 6) AS rate, round(upper_95, 6) AS upper_95 FROM bounded""",
+    "detector_gate": f"""WITH RECURSIVE {_SC}, {_BOUND}, fam AS (SELECT DISTINCT detector, family FROM sc, i WHERE label = 'fake'),
+      rc AS (SELECT detector, family, avg((score >= threshold)::INT) AS recall FROM j WHERE label = 'fake' AND half = 'test' AND degradation = 'clean'
+        AND score IS NOT NULL GROUP BY ALL),
+      why AS (SELECT detector, degradation || ': false-positive bound too high' AS reason FROM bounded WHERE upper_95 IS NULL OR upper_95 > 0.01 UNION
+        SELECT detector, family || ': recall too low' FROM fam LEFT JOIN rc USING (detector, family) WHERE coalesce(recall, 0) < 0.2 UNION
+        SELECT 'numbers', 'trained on an evaluated manifest')
+      SELECT d.detector, count(reason) = 0 AS passes, coalesce(string_agg(reason, '; ' ORDER BY reason), '') AS reasons
+      FROM (SELECT DISTINCT detector FROM bounded) d LEFT JOIN why ON why.detector = d.detector GROUP BY 1""",
     "detector_families": f"""WITH {_SC}, fam AS (SELECT DISTINCT family AS fam FROM i WHERE label = 'fake'),
       m AS (SELECT detector, degradation, fam, item, score, (label = 'fake')::INT AS y, half FROM j, fam WHERE score IS NOT NULL
       AND ((label = 'fake' AND family = fam) OR (label = 'genuine' AND shared))),

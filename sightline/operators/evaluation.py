@@ -14,7 +14,7 @@ from sightline.functions.hashes import bind
 from sightline.functions.intervals import clopper_pearson_upper
 from sightline.operators import calibration as C
 from sightline.operators.blocks import block_join, group_bounds, stripes, unit_matrix
-from sightline.operators.prefix import ordered_rank
+from sightline.operators.prefix import ordered_rank, running_sums
 from sightline.session import checked_broadcast, cut_lineage
 from sightline.settings import FaceThresholds, GateRules
 
@@ -58,38 +58,52 @@ def detector_threshold(items: DataFrame, scores: DataFrame, quantile: float) ->
     return C.weighted_quantiles(fit, ["detector"], {"threshold": quantile}).withColumnRenamed("n", "fitting")
 
 
-def evaluate_detector(items: DataFrame, scores: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame]:
-    """Genuine report per degradation and family report per (family, degradation), for every detector.
+def judged_scores(items: DataFrame, scores: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """``scores`` with their items and each detector's threshold, kept for the reports that follow.
 
-    ``items(item, ord, label, family, half, shared)``, ``scores(detector, item, degradation, score)``.
-    ``shared`` marks the genuine items every family is separated from.
+    ``items(item, ord, label, family, half, shared)``, ``scores(detector, item, degradation, score)``. ``shared`` marks
+    the genuine items every family is separated from.
     """
-    limit = cut_lineage(detector_threshold(items, scores, rules.quantile))
-    # one row per detector and one row of families; both sizes are checked or fixed
-    joined = scores.join(items, "item").join(checked_broadcast(limit), "detector")
-    seen, genuine, test = known(F.col("score")), F.col("label") != "fake", F.col("half") == "test"
-    report = joined.where(genuine & test).groupBy("detector", "degradation").agg(
+    limit = cut_lineage(detector_threshold(items, scores, rules.quantile))  # one row per detector
+    return cut_lineage(scores.join(items, "item").join(checked_broadcast(limit), "detector"))
+
+
+def genuine_report(judged: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """False positives on genuine test items per detector and degradation, with their exact upper bound."""
+    seen = known(F.col("score"))
+    report = judged.where((F.col("label") != "fake") & (F.col("half") == "test")).groupBy("detector", "degradation").agg(
         F.first("threshold").alias("threshold"), F.count_if(seen).alias("test_photos"),
         F.count_if(seen & (F.col("score") >= F.col("threshold"))).alias("false_positives"), F.count_if(~seen).alias("undetected"))
     photos, alarms = F.col("test_photos"), F.col("false_positives")
-    report = report.withColumns({
+    return report.withColumns({
         "rate": alarms / F.greatest(photos, F.lit(1)),
         "upper_95": F.when(photos > 0, clopper_pearson_upper(F.when(photos > 0, alarms), F.when(photos > 0, photos), rules.confidence))})
 
-    fakes = joined.where(~genuine & test & seen).groupBy("detector", "family", "degradation").agg(
-        F.count("*").alias("test_fakes"), F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
-    # Shared genuine items stand against every family; their scores are replicated per family name only.
-    families = items.where("label = 'fake'").select("family").distinct()
-    names = families.agg(F.collect_set("family").alias("families")).withColumn("one", F.lit(1))
-    own = joined.where(~genuine & seen).select("detector", "degradation", "family", "score", "ord", F.lit(1).alias("label"))
-    shared = (joined.where(genuine & seen & F.col("shared")).withColumn("one", F.lit(1)).join(F.broadcast(names), "one")
-              .select("detector", "degradation", F.explode("families").alias("family"), "score", "ord", F.lit(0).alias("label")))
+
+def family_report(judged: DataFrame) -> DataFrame:
+    """Separation and recall of every family of fakes per detector and degradation.
+
+    Shared genuine items stand against every family. They are counted along one order of all scores, and each fake reads how
+    many come after it, so no genuine row is copied per family.
+    """
     keys = ["detector", "degradation", "family"]
-    separation = C.auc_eer(C.roc_points(own.unionByName(shared), keys, "ord"), keys).select(*keys, F.col("auc").alias("separation_auc"))
-    grid = scores.select("detector", "degradation").distinct().withColumn("one", F.lit(1)).join(F.broadcast(names), "one").select(
-        "detector", "degradation", F.explode("families").alias("family"))
-    per_family = grid.join(separation, keys, "left").join(fakes, keys, "left").withColumn("test_fakes", F.coalesce("test_fakes", F.lit(0)))
-    return report, per_family
+    seen, fake = known(F.col("score")), F.col("label") == "fake"
+    line = judged.where(seen & (fake | F.col("shared"))).select(
+        "detector", "degradation", "family", "score", "ord", fake.alias("fake"), (~fake).cast("bigint").alias("genuine"))
+    placed = running_sums(line, ["detector", "degradation"], [F.col("score").desc(), F.col("ord").asc()], {"before": "genuine"}, {"all": "before"})
+    separation = placed.where("fake").groupBy(*keys).agg(
+        (F.sum(F.col("all") - F.col("before")) / F.sum(F.nullif("all", F.lit(0)))).alias("separation_auc"))
+    recall = judged.where(fake & seen & (F.col("half") == "test")).groupBy(*keys).agg(
+        F.count("*").alias("test_fakes"), F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
+    families = judged.where(fake).select("family").distinct().withColumn("one", F.lit(1))
+    grid = judged.select("detector", "degradation").distinct().withColumn("one", F.lit(1)).join(families, "one").drop("one")  # all three are names
+    return grid.join(separation, keys, "left").join(recall, keys, "left").withColumn("test_fakes", F.coalesce("test_fakes", F.lit(0)))
+
+
+def evaluate_detector(items: DataFrame, scores: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame]:
+    """Genuine report per degradation and family report per (family, degradation), for every detector."""
+    judged = judged_scores(items, scores, rules)
+    return genuine_report(judged, rules), family_report(judged)
 
 
 def detector_gate(report: DataFrame, families: DataFrame, leaked: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
@@ -358,21 +372,19 @@ def layered_readings(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     ``deployed`` rule, equally attacked ones for ``per_attack``. Test rows only.
     """
     attack = F.split_part("attack", F.lit("@"), F.lit(1))
-    peaks = rows.withColumns({"family": attack, "soft": _argmax("dct_soft"), "learnt": _argmax("learned")})
+    kept = ["config", "attack", "image_ix", "truth", "victim", "dct_code", "psnr_vs_marked"]
+    peaks = cut_lineage(rows.select(*kept, attack.alias("family"), _argmax("dct_soft").alias("soft"), _argmax("learned").alias("learnt")))
     held = calibration.select("image_ix").distinct()
     fit = cut_lineage(peaks.where("config = 'original'").join(held, "image_ix", "left_semi").groupBy("family").agg(
         F.max("soft.top").alias("soft_at"), F.max("learnt.top").alias("learnt_at")))
     deployed = fit.where("family = 'none'").select(F.lit(1).alias("one"), F.col("soft_at").alias("soft0"), F.col("learnt_at").alias("learnt0"))
     test = peaks.join(held, "image_ix", "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(deployed), "one", "left").join(checked_broadcast(fit), "family", "left")
     infinite = F.lit(float("inf"))
-    def named(part: str, at: Column) -> Column:
-        return F.when(F.col(f"{part}.top") > at, F.col(f"{part}.code"))
-    parts = []
-    for rule in ("deployed", "per_attack"):
-        limit = lambda base: F.coalesce(F.col(f"{base}_at") if rule == "per_attack" else F.lit(None).cast("double"), F.col(f"{base}0"), infinite)
-        parts.append(test.select(F.lit(rule).alias("rule"), "config", "attack", "image_ix", "truth", "victim", "dct_code", "psnr_vs_marked",
-                                 named("soft", limit("soft")).alias("soft_code"), named("learnt", limit("learnt")).alias("learned_code")))
-    return parts[0].unionByName(parts[1])
+    limits = lambda rule, soft, learnt: F.struct(F.lit(rule).alias("rule"), F.coalesce(*soft, infinite).alias("soft"), F.coalesce(*learnt, infinite).alias("learnt"))
+    both = F.explode(F.array(limits("deployed", ["soft0"], ["learnt0"]), limits("per_attack", ["soft_at", "soft0"], ["learnt_at", "learnt0"])))
+    named = lambda part: F.when(F.col(f"{part}.top") > F.col(f"limit.{part}"), F.col(f"{part}.code"))
+    return test.select(*kept, "soft", "learnt", both.alias("limit")).select(
+        F.col("limit.rule").alias("rule"), *kept, named("soft").alias("soft_code"), named("learnt").alias("learned_code"))
 
 
 def layered_mark_cells(readings: DataFrame, has_dct: Sequence[str], has_learned: Sequence[str]) -> DataFrame:
