@@ -23,7 +23,7 @@ from sightline.llm.base import Shelf, portions, raw
 WINDOW_WORDS = 35
 GROUP_WORDS = 8
 STRETCHES_PER_KEY = 8192  # a minimizer with more stretches is spread by whole windows
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 200_000
 WORDS_AT_ONCE = 400_000
 
 
@@ -309,7 +309,8 @@ def repeated_passages(media_content: DataFrame, window: int = WINDOW_WORDS, grou
     cut = shelf.keep(cut_stretches(keyed.join(of_text, KEY).select(*KEY, "content", "hits"), window), "cut")
     distinct = shelf.keep(cut.groupBy("route", "digest", "words").agg(F.count("*").alias("copies")), "distinct")
     words = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    answers = shelf.keep(shard_answers(distinct, max(1, words // (6 * shard_words)), window), "answers")
+    shards = max(words // (6 * shard_words), 4 * int(shelf.spark.conf.get("spark.sql.shuffle.partitions")) if words > shard_words else 1)
+    answers = shelf.keep(shard_answers(distinct, shards, window), "answers")
     recurring = answers.where(F.col("marks") != F.rpad(F.lit(b""), F.length("marks"), F.lit(b"\x00")))
     marked = cut.select(*KEY, "start", "windows", "digest").distinct().join(recurring, "digest")
     removals = shelf.keep(marked.groupBy(*KEY).agg(F.collect_set(F.struct("start", "windows", "marks")).alias("hits")), "removals")
