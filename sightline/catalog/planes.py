@@ -31,7 +31,10 @@ def psnr_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ssim_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return P.ssim(_pairs(spark, sf)).select("pair_id", r6("ssim"))
+    vec, side = F.col("vec_id"), F.lit(8)
+    scaled = planes(spark, sf).select("vec_id", F.transform("plane", lambda e: 128.0 + 300.0 * e).alias("a"))
+    moved = F.transform("a", lambda v, i: v + 4.0 * ((i * (vec + 3)) % 5) * (vec % 4))
+    return P.ssim_planes(scaled.select(vec.alias("pair_id"), side.alias("h"), side.alias("w"), "a", moved.alias("b"))).select("pair_id", r6("ssim"))
 
 
 def laplacian_sharpness(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +82,7 @@ def blending_features(spark: SparkSession, sf: str) -> DataFrame:
     pixels = t.select("image_id", F.lit(36).alias("h"), F.lit(36).alias("w"), "y", "x", v.alias("r"), (v * 0.9).alias("g"),
                       (v * 0.8 + F.col("y") % 3).alias("b"))
     out = P.blending_features(pixels)
-    return out.select("image_id", *[F.round(c, 5).alias(c) for c in out.columns if c != "image_id"])
+    return out.select("image_id", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("image_id", "reason")])
 
 
 def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
