@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,28 @@ SHARPNESS = 1.0
 BYTE_COST = 12.0  # minus log-weight of a byte that stands for part of an unknown character
 CHARACTERS_AT_ONCE = 3 << 18
 GRAIN = 2.0 ** 30
+NOISE_SPAN = 42.0  # Gumbel noise of 53 random bits lies between -3.7 and 37.5
+
+MARK = "\x01"
 
 _models: dict[tuple, PieceModel] = {}
 
 
+@dataclass
+class Words:
+    """The words of some texts: different words, the place of each text's words among them, and words per text."""
+
+    different: list[str]
+    place: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[list[str]]) -> Words:
+        ids: dict[str, int] = {}
+        place = np.array([ids.setdefault(u, len(ids)) for units in lists for u in units], dtype=np.int64)
+        return cls(list(ids), place, np.array([len(units) for units in lists], dtype=np.int64))
+
+
 class PieceModel:
     """The pieces of a SentencePiece file as a trie in sorted arrays, with log-weights.
 
@@ -74,6 +93,7 @@ class PieceModel:
         self.ends[list(ends)] = list(ends.values())
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces.values())
         breaks = "" if inner or any("\n" in p for p in pieces.values()) else "\n"
+        self.splits = not inner and bool(breaks)
         self.unit = re.compile("[\\s\\S]+" if inner else f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + ("|\n" if breaks else ""))
 
     def _hash_moves(self, states: dict[tuple[int, int], int]) -> None:
@@ -114,8 +134,26 @@ class PieceModel:
         return out
 
     def units(self, text: str) -> list[str]:
+        """The words of a text, each with the space before it; a line end is a word of its own."""
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def columns(self, texts: pa.Array) -> Words:
+        """The same for many texts, in columns: Arrow puts a mark at each cut, splits there and names different words."""
+        if not self.splits or pc.any(pc.match_substring(texts, MARK)).as_py():
+            return Words.of([self.units(t) for t in texts.to_pylist()])
+        spaced = pc.binary_join_element_wise(pa.scalar(SPACE), pc.replace_substring(texts, " ", SPACE), pa.scalar(""))
+        spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(""), spaced)
+        cut = pc.replace_substring(pc.replace_substring_regex(spaced, f"({SPACE}+)", f"{MARK}\\1"), "\n", f"{MARK}\n{MARK}")
+        lists = pc.split_pattern(cut, MARK)
+        held = lists.flatten().dictionary_encode()
+        place = held.indices.to_numpy(zero_copy_only=False)
+        words = held.dictionary.to_pylist()
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        if "" in words:  # between two marks, and before a first one
+            real = place != words.index("")
+            place, owner = place[real], owner[real]
+        return Words(words, place, np.bincount(owner, minlength=len(texts)))
+
 
 def piece_model(path: str, sharpness: float = SHARPNESS) -> PieceModel:
     if (path, sharpness) not in _models:
@@ -326,21 +364,32 @@ def new_paths(lattices: Lattices, texts, counts, edges, words, keys, turn, value
         # Where every edge of a node is excluded, rounding must not leave a rest.
         full = (closed[own] >= 0).sum(axis=1) >= lattices.degree[lattices.origin[edges[at[own]]]]
         rest[at[own][full]] = 0.0
-    rest[(lattices.degree[lattices.origin[edges]] == 1) | (step < np.repeat(branch, counts))] = 0.0
+    rest[step < np.repeat(branch, counts)] = 0.0  # a node's only edge has chance 1, so nothing is left there either
     bounds = np.full(len(edges), -np.inf)
     open_ = np.flatnonzero(rest > 0)
     owner = np.repeat(np.arange(len(counts)), counts)[open_]
+    mass = before[open_] + np.log(rest[open_])
+    # Noise of 53 bits lies within NOISE_SPAN, so a node that far below as many nodes as there will be samples is never
+    # opened, and needs no bound.
+    heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    lengths = np.diff(np.r_[heads, len(owner)])
+    early = ranges(heads, np.minimum(lengths, closed.shape[1]))
+    least = np.full(len(counts), -np.inf)
+    if len(heads):
+        taken = np.minimum(lengths, closed.shape[1])
+        least[owner[heads]] = np.where(lengths >= closed.shape[1], np.minimum.reduceat(mass[early], np.cumsum(taken) - taken), -np.inf)
+    near = np.flatnonzero(mass >= least[owner] - NOISE_SPAN)
+    open_, owner, mass = open_[near], owner[near], mass[near]
     noise = -np.log(-np.log(uniform(streams(keys[owner], 2, turn, step[open_]))))
-    bounds[open_] = -np.logaddexp(-value[owner], -(before[open_] + np.log(rest[open_]) + noise))
+    bounds[open_] = -np.logaddexp(-value[owner], -(mass + noise))
     return Paths(texts, begins, counts, edges, words, before, bounds, before[begins + counts - 1] + logs[begins + counts - 1], value, branch, closed)
 
 
-def sampled_paths(unit_lists: list[list[str]], keys: np.ndarray, lattices: LatticeStore, samples: int) -> tuple[list[Paths], np.ndarray]:
+def sampled_paths(words: Words, keys: np.ndarray, lattices: LatticeStore, samples: int) -> tuple[list[Paths], np.ndarray]:
     """For texts with at least one word: one ``Paths`` per sample, and each text's next perturbed value (minus infinity: no more path)."""
-    flat = [u for units in unit_lists for u in units]
-    lattices.add(flat)
-    starts = np.fromiter(map(lattices.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-    sizes = np.array([len(units) for units in unit_lists], dtype=np.int64)
+    lattices.add([w for w in words.different if w])
+    starts = np.array([lattices.known.get(w, -1) for w in words.different], dtype=np.int64)[words.place]
+    sizes = words.sizes
     opens = np.cumsum(sizes) - sizes
     n = len(sizes)
     word = ranges(np.zeros(n, np.int64), sizes)
@@ -454,17 +503,18 @@ def sample_segmentations(pages: DataFrame, vocabulary: str, samples: int = SAMPL
         model = piece_model(vocabulary, sharpness)
         lattices = LatticeStore(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).fill_null("")
             keys = batch.column(2).to_numpy().view(np.uint64)
-            for some in portions([len(t) for t in texts], CHARACTERS_AT_ONCE):
-                units = [model.units(t) for t in texts[some]]
+            for some in portions(pc.utf8_length(texts).to_pylist(), CHARACTERS_AT_ONCE):
+                words = model.columns(texts[some])
                 at = np.arange(some.start, some.stop)
-                full = np.array([bool(u) for u in units])
+                full = words.sizes > 0
+                words.sizes = words.sizes[full]
                 for i in at[~full]:
                     yield rows(batch, np.array([i]), 0, np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.ones(1))
                 if not full.any():
                     continue
-                found, following = sampled_paths([u for u in units if u], keys[at[full]], lattices, samples)
+                found, following = sampled_paths(words, keys[at[full]], lattices, samples)
                 for number, paths in enumerate(found):
                     ids, counts = piece_ids(lattices, paths, model)
                     inclusion = -np.expm1(-np.exp(np.minimum(paths.log_chance - following[paths.texts], 50.0)))

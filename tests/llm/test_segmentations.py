@@ -5,10 +5,11 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from sightline.llm import segmentations
-from sightline.llm.segmentations import LatticeStore, decode_pieces, piece_model, sample_segmentations, sampled_paths, piece_ids
+from sightline.llm.segmentations import LatticeStore, Words, decode_pieces, piece_model, sample_segmentations, sampled_paths, piece_ids
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = piece_model(PATH)
@@ -43,7 +44,7 @@ def drawn(text, copies, samples, offset=0):
     keys = np.arange(offset, offset + copies, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     lattices = LatticeStore(MODEL)
     lattices.add([MODEL.units("other words come first")[0], "▁the"])
-    found, following = sampled_paths([MODEL.units(text)] * copies, keys, lattices, samples)
+    found, following = sampled_paths(Words.of([MODEL.units(text)] * copies), keys, lattices, samples)
     out = [[] for _ in range(copies)]
     for paths in found:
         ids, counts = piece_ids(lattices, paths, MODEL)
@@ -82,14 +83,21 @@ def test_draws_follow_the_weights():
 def test_a_full_store_changes_nothing(monkeypatch):
     texts = [f"words {i} and the others {i * 7}" for i in range(30)]
     keys = np.arange(30, dtype=np.uint64)
-    whole = [p.edges.size for p in sampled_paths([MODEL.units(t) for t in texts], keys, LatticeStore(MODEL), 2)[0]]
+    whole = [p.edges.size for p in sampled_paths(Words.of([MODEL.units(t) for t in texts]), keys, LatticeStore(MODEL), 2)[0]]
     monkeypatch.setattr(segmentations, "EDGES_KEPT", 10)
     store, parts = LatticeStore(MODEL), []
     for t, k in zip(texts, keys):
-        parts.append([p.edges.size for p in sampled_paths([MODEL.units(t)], np.array([k]), store, 2)[0]])
+        parts.append([p.edges.size for p in sampled_paths(Words.of([MODEL.units(t)]), np.array([k]), store, 2)[0]])
     assert whole == [sum(p[i] for p in parts) for i in range(2)]
 
 
+@pytest.mark.parametrize("texts", [["a b  c", "", "\n\n x\n", " ", "▁ odd ▁▁", "tab\there\x0b", "🙂 é"], ["with a mark \x01 in it", "plain"], [""]])
+def test_columns_cut_like_the_pattern(texts):
+    got = MODEL.columns(pa.array(texts, pa.string()))
+    words = [got.different[i] for i in got.place]
+    assert words == [u for t in texts for u in MODEL.units(t)] and got.sizes.tolist() == [len(MODEL.units(t)) for t in texts]
+
+
 def test_table(spark):
     texts = ["hello wide world, this is a text", None, "", " leading  and\ttabs\n\n", "数据 🙂 naïve", "same", "same", "long " * 5000]
     rows = [(i if i != 6 else None, t, "x", 1) for i, t in enumerate(texts)]
