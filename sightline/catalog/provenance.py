@@ -173,9 +173,15 @@ def genuine_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clip_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Page URLs as download paths: language folder = method, host = compression folder."""
-    paths = table(spark, sf, "pages").select(F.regexp_replace("url", r"[?#].*$", "").alias("path"))
-    return manifests.clip_inventory(paths, ["en", "fr", "de", "es"], {"http:": 0, "https:": 1})
+    """Documents as files of a download: the language gives the method, the source the compression; some are frames, masks or strangers."""
+    n = F.col("doc_id")
+    method = F.element_at(F.create_map(*[F.lit(x) for p in {"en": "Deepfakes", "fr": "Face2Face", "de": "original_sequences", "es": "other"}.items() for x in p]), F.col("lang"))
+    level = F.element_at(F.array(F.lit("c23"), F.lit("raw"), F.lit("plain"), F.lit("c40")), (n % 4 + 1).cast("int"))
+    clip = F.lpad((n % 150).cast("string"), 3, "0")
+    path = F.when(n % 3 == 0, F.concat_ws("/", F.lit("mirror"), method, level, clip, F.concat(F.lit("f"), n, F.lit(".png")))).when(
+        n % 17 == 1, F.concat_ws("/", method, F.lit("masks"), F.concat(clip, F.lit(".mp4")))).otherwise(
+        F.concat_ws("/", F.lit("mirror"), method, level, F.concat(clip, F.lit("_"), F.lpad((n % 7).cast("string"), 3, "0"), F.lit(".mp4"))))
+    return manifests.clip_inventory(table(spark, sf, "documents").select(path.alias("path")))
 
 
 def enrollment_refusals(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,12 +266,14 @@ ORACLES = {
       CASE WHEN coalesce(toxic, 0) = 0 THEN 'genuine' ELSE 'fake' END AS label, substr(source, 4, 2)::INT AS manifest_ord
       FROM documents d LEFT JOIN labels l USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY label, text
       ORDER BY manifest_ord, item) AS rn FROM i) SELECT item, source_name, label, manifest_ord FROM r WHERE label = 'fake' OR rn = 1""",
-    "clip_inventory": """WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS path FROM pages),
-      k AS (SELECT path, string_split(path, '/') AS parts FROM p), n AS (SELECT path, parts,
-      list_filter(parts, lambda x: x IN ('en', 'fr', 'de', 'es'))[1] AS kind FROM k),
-      v AS (SELECT path, kind, parts[len(parts) - 1] AS video_id, CASE WHEN parts[1] = 'https:' THEN 1 ELSE 0 END AS rk FROM n
-      WHERE kind IS NOT NULL)
-      SELECT kind, video_id, arg_min(path, (rk, path)) AS path, false AS is_video FROM v GROUP BY ALL""",
+    "clip_inventory": """WITH d AS (SELECT doc_id AS n, lang, ['c23', 'raw', 'plain', 'c40'][doc_id % 4 + 1] AS level, lpad((doc_id % 150)::VARCHAR, 3, '0') AS clip,
+      CASE lang WHEN 'en' THEN 'Deepfakes' WHEN 'fr' THEN 'Face2Face' WHEN 'de' THEN 'original_sequences' END AS method,
+      CASE lang WHEN 'en' THEN 'deepfakes' WHEN 'fr' THEN 'face2face' WHEN 'de' THEN 'real' END AS kind FROM documents WHERE lang IN ('en', 'fr', 'de')),
+      c AS (SELECT kind, n % 3 > 0 AS is_video, CASE WHEN n % 3 = 0 THEN clip ELSE clip || '_' || lpad((n % 7)::VARCHAR, 3, '0') END AS video_id,
+        'mirror/' || method || '/' || level || '/' || CASE WHEN n % 3 = 0 THEN clip ELSE clip || '_' || lpad((n % 7)::VARCHAR, 3, '0') || '.mp4' END AS path,
+        CASE level WHEN 'c23' THEN 0 ELSE 4 END AS rank FROM d WHERE level IN ('c23', 'plain') AND (n % 3 = 0 OR n % 17 <> 1)),
+      g AS (SELECT kind, video_id, is_video, path, min(rank) AS rank, count(*) AS members FROM c GROUP BY ALL)
+      SELECT kind, video_id, arg_min(path, (NOT is_video, rank, path)) AS path, bool_or(is_video) AS is_video, arg_min(members, (NOT is_video, rank, path)) AS members FROM g GROUP BY 1, 2""",
     "enrollment_refusals": """SELECT vec_id AS image_id, CASE vec_id % 4 WHEN 0 THEN 'shielded file'
       ELSE 'mark of a shielded asset' END AS reason FROM embeddings WHERE vec_id % 11 = 0 AND vec_id % 4 < 2""",
 }

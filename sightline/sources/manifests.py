@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,26 +42,61 @@ def dedupe_genuine(items: DataFrame, ordinal: str = "manifest_ord") -> DataFrame
     return first.select("r.*").unionByName(items.where("label <> 'genuine'"))
 
 
-def clip_inventory(paths: DataFrame, methods: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
-    """One copy per clip of a download tree: ``(kind, video_id, path, is_video)``.
+# Names that a download of manipulated clips uses, normalised to letters and digits.
+CLIP_METHODS = ("deepfakedetection", "neuraltextures", "faceshifter", "face2face", "deepfakes", "faceswap")
+GENUINE_MARKERS = ("original", "real", "youtube")
+CLIP_COMPRESSIONS = ("c23", "c0", "raw", "c40")  # best first
+MASK_FOLDERS = ("mask", "masks")
+CLIP_ID = r"(?<![0-9])[0-9]{3}(?:_[0-9]{3})?(?![0-9])"
+CLIP_SUFFIX, FRAME_SUFFIX = r"\.(mp4|avi|mov|mkv)$", r"\.(png|jpe?g)$"
 
-    ``methods`` are the folder names that give the kind, ``ranks`` orders compression folder names.
-    A video file outranks a folder of its frames, then the compression rank, then the path decides.
+
+def classified_paths(paths: DataFrame, compression: str | None = "c23", methods: Sequence[str] = CLIP_METHODS, genuine: Sequence[str] = GENUINE_MARKERS,
+                     compressions: Sequence[str] = CLIP_COMPRESSIONS, id_pattern: str = CLIP_ID) -> DataFrame:
+    """``(path, kind, video_id, is_video, rank)`` of the clips and frames in a download's ``paths(path)``.
+
+    Any folder, or the file's own name, that starts with a method's name gives the kind; else one that starts with a genuine
+    marker gives ``real``. Masks are left out, and so is a path that names another compression than the one wanted (``None``: all); a
+    path that names none is taken. The identifier is found in a video's name, or in the name of a frame's folder and then of
+    the frame. ``rank`` orders compressions; unnamed ones come last.
+    """
+    raw = F.split(F.col("path"), "/")
+    parts = F.transform(raw, lambda part: F.regexp_replace(F.lower(part), "[^a-z0-9]", ""))
+    named = paths.select("path", raw.alias("raw"), parts.alias("parts"), F.lower("path").rlike(CLIP_SUFFIX).alias("is_video"))
+    named = named.where(F.col("is_video") | F.lower("path").rlike(FRAME_SUFFIX))
+    starts = lambda part, names: reduce(lambda found, name: F.coalesce(found, F.when(part.startswith(name), F.lit(name))), names[1:], F.when(part.startswith(names[0]), F.lit(names[0])))
+    method = F.get(F.array_compact(F.transform("parts", lambda part: starts(part, list(methods)))), 0)
+    real = F.exists("parts", lambda part: reduce(lambda a, b: a | b, [part.startswith(m) for m in genuine]))
+    level = lambda name: F.exists("parts", lambda part: part.endswith(name))
+    rank = F.lit(len(compressions))
+    for i, name in reversed(list(enumerate(compressions))):
+        rank = F.when(level(name), F.lit(i)).otherwise(rank)
+    masked = F.exists(F.slice("parts", F.lit(1), F.greatest(F.lit(0), F.size("parts") - 1)), lambda part: part.isin(*MASK_FOLDERS))
+    found = lambda text: F.nullif(F.regexp_extract(text, f"({id_pattern})", 1), F.lit(""))
+    stem, folder = F.regexp_replace(F.element_at("raw", -1), r"\.[^.]*$", ""), F.when(F.size("raw") > 1, F.element_at("raw", -2))
+    number = F.coalesce(F.when(~F.col("is_video"), found(folder)), found(stem))
+    kept = ~masked
+    if compression is not None:
+        kept = kept & (level(compression) | (rank == len(compressions)))
+    return named.where(kept).select("path", F.coalesce(method, F.when(real, "real")).alias("kind"), number.alias("video_id"), "is_video", rank.alias("rank")).where(
+        "kind IS NOT NULL AND video_id IS NOT NULL")
+
+
+def clip_inventory(paths: DataFrame, compression: str | None = "c23", wanted: Sequence[str] | None = None, **names) -> DataFrame:
+    """One copy per clip of a download tree: ``(kind, video_id, path, is_video, members)``.
+
+    A video outranks a folder of its frames, then the compression decides, then the path. ``path`` is the video, or the folder that
+    holds ``members`` frames. ``wanted`` names the methods to keep beside ``real`` (all without it); other names are those of
+    :func:`classified_paths`.
     """
-    parts = F.split(F.col("path"), "/")
-    kind = F.get(F.filter(parts, lambda p: p.isin(list(methods))), 0)
-    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
-    is_video = F.lower("path").rlike(r"\.(mp4|avi|mov|mkv|webm|m4v)$")
-    video_id = F.when(is_video, stem).otherwise(F.get(parts, F.size(parts) - 2))
-    order = F.lit(len(ranks))
-    for name, rank in ranks.items():
-        order = F.when(F.array_contains(parts, name), F.lit(rank)).otherwise(order)
-    named = paths.select("path", kind.alias("kind"), video_id.alias("video_id"), is_video.alias("is_video"),
-                         order.alias("rank"))
-    named = named.where("kind IS NOT NULL AND NOT lower(path) RLIKE '(^|/)masks?(/|$)'")
-    best = F.min(F.struct((~F.col("is_video")).alias("frames"), "rank", "path")).alias("b")
-    return named.groupBy("kind", "video_id").agg(best).select(
-        "kind", "video_id", F.col("b.path").alias("path"), (~F.col("b.frames")).alias("is_video"))
+    found = classified_paths(paths, compression, **names)
+    if wanted is not None:
+        found = found.where(F.col("kind").isin("real", *wanted))
+    place = F.when(F.col("is_video"), F.col("path")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    copies = found.withColumn("place", place).groupBy("kind", "video_id", "is_video", "place").agg(F.min("rank").alias("rank"), F.count("*").alias("members"))
+    best = F.min(F.struct((~F.col("is_video")).alias("frames"), "rank", "place", "members")).alias("b")
+    return copies.groupBy("kind", "video_id").agg(best).select(
+        "kind", "video_id", F.col("b.place").alias("path"), (~F.col("b.frames")).alias("is_video"), F.col("b.members").alias("members"))
 
 
 def inventory_counts(inventory: DataFrame) -> DataFrame:

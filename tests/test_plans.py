@@ -232,10 +232,17 @@ def test_files_and_results(spark, tmp_path):
     assert got["family"] == "facefam" and got["people"] == ["p", "q"]
 
 
-def test_clip_copies(spark):
-    names = ["d/manip/c40/videos/7.mp4", "d/manip/c23/videos/7.mp4", "d/manip/c0/frames/7/001.png", "d/manip/masks/7.mp4", "d/real/c23/frames/9/001.png", "d/other/1.mp4"]
-    got = manifests.clip_inventory(spark.createDataFrame([(n,) for n in names], "path string"), ["manip", "real"], {"c0": 0, "c23": 1, "c40": 2})
-    assert {(r["kind"], r["video_id"], r["path"]) for r in got.collect()} == {("manip", "7", names[1]), ("real", "9", names[4])}
+def test_clip_inventory(spark):
+    names = ["x/Deepfakes/c23/videos/003_007.mp4", "x/Deepfakes/raw/videos/003_007.mp4", "y/deepfakes_c23/003_007/0001.png", "y/deepfakes_c23/003_007/0002.png",
+             "original/c23/frames/011/0001.jpg", "original/c23/frames/011/0002.jpg", "DeepFakes/masks/003_007.mp4", "misc/c23/005.mp4", "Face2Face-c40-012_013.avi",
+             "FaceSwap/021_022.mov", "faceswap/c23/notes.txt", "Real/part/1234.mp4", "DeepFakeDetection/c23/031_032.mp4"]
+    frame = spark.createDataFrame([(n,) for n in names], "path string")
+    row = lambda r: (r["kind"], r["video_id"], r["path"], r["is_video"], r["members"])
+    got = {row(r) for r in manifests.clip_inventory(frame).collect()}
+    assert got == {("deepfakes", "003_007", names[0], True, 1), ("real", "011", "original/c23/frames/011", False, 2), ("faceswap", "021_022", names[9], True, 1),
+                   ("deepfakedetection", "031_032", names[12], True, 1), ("face2face", "012_013", names[8], True, 1)}
+    every = {row(r)[:2] for r in manifests.clip_inventory(frame, compression=None, wanted=["face2face"]).collect()}
+    assert every == {("face2face", "012_013"), ("real", "011")}
 
 
 def test_faces_of_a_copy(spark):
