@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.catalog.identity import _LOO, _MAX
@@ -230,10 +230,27 @@ def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
     return E.match_controls(c.where("c_nationkey % 3 = 0"), c.where("c_nationkey % 3 > 0"), 1.0)
 
 
+def matched_control_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What any right answer must satisfy: nobody twice, strata and tolerance kept, and nothing left that could still be matched."""
+    pairs = cut_lineage(matched_controls(spark, sf))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"), (F.col("c_acctbal") / 100).alias("attribute"), "c_nationkey")
+    side = lambda name: c.select(F.col("id").alias(name), F.col("stratum").alias(f"{name}_stratum"), F.col("attribute").alias(f"{name}_attribute"))
+    joined = pairs.join(side("target"), "target").join(side("control"), "control")
+    close = (F.col("target_stratum") == F.col("control_stratum")) & (F.abs(F.col("target_attribute") - F.col("control_attribute")) <= 1.0)
+    counts = joined.agg(F.count("*").alias("pairs"), (F.count("*") - F.count_distinct("target")).alias("targets_twice"),
+                        (F.count("*") - F.count_distinct("control")).alias("controls_twice"), F.count_if(~F.col("fallback") & ~close).alias("too_far"))
+    settled = pairs.where("NOT fallback")
+    free = c.join(settled.select(F.col("target").alias("id")).union(settled.select("control")), "id", "left_anti").withColumn("wants", F.col("c_nationkey") % 3 == 0)
+    line = Window.partitionBy("stratum").orderBy("attribute", "id")
+    left = free.withColumns({"before": F.lag("attribute").over(line), "other": F.lag("wants").over(line)}).where(
+        (F.col("wants") != F.col("other")) & (F.col("attribute") - F.col("before") <= 1.0)).agg(F.count("*").alias("still_matchable"))
+    return counts.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 QUERIES = {f.__name__: f for f in (
     split_halves, detector_report, detector_families, detector_gate, condition_bands, embedder_screen, quality_guard_cost, impostor_tail,
     identity_pair_peaks, top_identity_pairs, open_set_report, donor_report, cohort_thresholds, detection_spread, crowded_frames,
-    split_half_attribution, robustness_rates, robustness_table, layered_mark_cells, removal_cost, logistic_scores, matched_controls)}
+    split_half_attribution, robustness_rates, robustness_table, layered_mark_cells, removal_cost, logistic_scores, matched_controls, matched_control_checks)}
 
 _ITEMS = """i AS (SELECT d.doc_id AS item, CASE WHEN toxic = 1 THEN 'fake' ELSE 'genuine' END AS label, lang AS family, source,
     'src' || (d.doc_id % 23) AS second, coalesce(quality, 1) = 1 AS shared, n_chars FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -271,6 +288,8 @@ _LAYER = """r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'original' WHEN 'N' THE
     CASE WHEN config = 'dct_then_learned' THEN dct END AS own_dct FROM t WHERE config <> 'original')"""
 
 ORACLES = {
+    "matched_control_checks": """SELECT least(count(*) FILTER (WHERE c_nationkey % 3 = 0), count(*) FILTER (WHERE c_nationkey % 3 > 0)) AS pairs, 0::BIGINT AS targets_twice,
+      0::BIGINT AS controls_twice, 0::BIGINT AS too_far, 0::BIGINT AS still_matchable FROM customer""",
     "split_halves": f"WITH {_ITEMS} SELECT item, half FROM halved",
     "detector_report": f"""WITH RECURSIVE {_SC}, {_BOUND} SELECT detector, degradation, round(threshold, 6) AS threshold, test_photos, false_positives, undetected,
       round(false_positives / greatest(test_photos, 1), 6) AS rate, round(upper_95, 6) AS upper_95 FROM bounded""",

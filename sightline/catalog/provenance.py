@@ -104,6 +104,15 @@ def code_collision_report(spark: SparkSession, sf: str) -> DataFrame:
     return code_collisions(issue_codes(_customer_assets(spark, sf).drop("watermark_code"), bits=12))
 
 
+def code_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What issued codes must satisfy: eight hex digits each, the same asset always the same code, every one of them counted once."""
+    rows = _customer_assets(spark, sf).drop("watermark_code")
+    codes, again = issue_codes(rows), issue_codes(rows.repartition(5))
+    same = codes.select("asset_id", "watermark_code").join(again.select("asset_id", F.col("watermark_code").alias("again")), "asset_id")
+    return same.agg(F.count("*").alias("assets"), F.count_if(F.col("watermark_code").rlike("^[0-9a-f]{8}$")).alias("well_formed"),
+                    F.count_if(F.col("watermark_code") == F.col("again")).alias("stable"))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     node = lambda turn: F.concat(F.col("conv_id"), F.lit(":"), turn)
     return table(spark, sf, "conversations").select(
@@ -192,7 +201,7 @@ def enrollment_refusals(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     exact_duplicates, also_at, grid_hashes, fingerprint_comparison, perceptual_matches, closest_assets, source_attribution,
-    restore_sizes, provenance_latest, provenance_lines, provenance_register, code_collision_report, lineage_roots,
+    restore_sizes, provenance_latest, provenance_lines, provenance_register, code_collision_report, code_checks, lineage_roots,
     lineage_chain, deep_lineage, provenance_log_files, identity_components, leakage_check, genuine_dedupe, clip_inventory, enrollment_refusals)}
 
 _NIBBLES = """hexed AS (SELECT vec_id, name, i // 4 AS j, sum(bit::INT * (8 >> (i % 4)::INT))::INT AS n FROM marked GROUP BY ALL),
@@ -202,6 +211,7 @@ _MATCH = f"""{HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id AS asset_id
 _BEST = f"""{_MATCH}, best AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY dist, asset_id) AS rk FROM d)"""
 
 ORACLES = {
+    "code_checks": "SELECT count(*) AS assets, count(*) AS well_formed, count(*) AS stable FROM customer",
     "exact_duplicates": """SELECT sha256(text) AS sha256, arg_min('doc/' || doc_id, doc_id) AS uri, count(*) AS copies
       FROM documents GROUP BY 1""",
     "also_at": """WITH k AS (SELECT sha256(text) AS sha256, 'doc/' || doc_id AS uri, doc_id AS ord,
