@@ -147,8 +147,8 @@ def video_evidence(spark: SparkSession, sf: str) -> DataFrame:
     refs = references(spark, sf).select(F.concat(F.lit("user-"), F.col("user_id")).alias("user_id"), "ref_ix", "vector", "dim")
     nothing = assets(spark, sf).where("watermark_code IS NULL").select(F.col("asset_id").alias("video_id"), "asset_id", F.col("watermark_code").alias("code"))
     scorer = lambda gated: gated.select(*S.TRACK, "step", (F.col("value") % 100 / 100).alias("score"))
-    out = analyze_videos(samples, faces, nothing, assets(spark, sf), refs, scorer)
-    return out.select("video_id", "subject_user_id", "faces_detected", "gated_tracks", r6("deepfake_score"), "rule", "verdict", "level")
+    out = analyze_videos(samples, faces, nothing, assets(spark, sf), refs, scorer, videos=videos(spark, sf))
+    return out.select("video_id", "subject_user_id", "faces_detected", "gated_tracks", r6("deepfake_score"), "rule", "verdict", "level", F.array_join("limitations", " ").alias("limitations"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -217,8 +217,6 @@ ORACLES = {
       GROUP BY ALL""",
     "coverage_notes": f"""WITH {_FRAMES}, k AS (SELECT video_id, count(*) AS n, min(ts) AS t0, min(CASE WHEN step = 1 THEN ts END) AS t1,
       max(ts) AS last FROM samples GROUP BY 1)
-      SELECT video_id, n AS sampled, concat_ws(' ', CASE WHEN t1 IS NOT NULL THEN printf('%d of %d frames were sampled, one every %.2f s.',
-      n, frame_count, t1 - t0) ELSE printf('%d of %d frames were sampled.', n, frame_count) END,
-      CASE WHEN fps > 0 AND last + coalesce(t1 - t0, 0) < frame_count / fps THEN printf('Sampling stopped at %.1f s of %.1f s.', last,
-      frame_count / fps::DOUBLE) END) AS limitations FROM k JOIN v USING (video_id)""",
+      SELECT video_id, n AS sampled, concat_ws(' ', printf('sampled=%d/%d', n, frame_count) || CASE WHEN t1 IS NOT NULL THEN printf(' interval=%.2fs', t1 - t0) ELSE '' END,
+      CASE WHEN fps > 0 AND last + coalesce(t1 - t0, 0) < frame_count / fps THEN printf('unexamined=%.1fs-%.1fs', last, frame_count / fps::DOUBLE) END) AS limitations FROM k JOIN v USING (video_id)""",
 }

@@ -317,15 +317,12 @@ def span_coverage(samples: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def coverage_notes(samples: DataFrame, videos: DataFrame) -> DataFrame:
-    """What sampling left unexamined: interval between samples, and a tail beyond the budget."""
+    """What sampling left unexamined, as facts: how many frames of how many, at which interval, and a tail beyond the budget."""
     first_two = samples.groupBy("video_id").agg(
         F.count("*").alias("sampled"), F.min("ts").alias("t0"), F.min(F.when(F.col("step") == 1, F.col("ts"))).alias("t1"), F.max("ts").alias("last"))
     joined = videos.join(first_two, "video_id")
     interval = F.col("t1") - F.col("t0")
     duration = F.when(F.col("fps") > 0, F.col("frame_count") / F.col("fps"))
-    between = F.when(interval.isNotNull(), F.format_string(
-        "%d of %d frames were sampled, one every %.2f s.", "sampled", "frame_count", interval)).otherwise(
-        F.format_string("%d of %d frames were sampled.", "sampled", "frame_count"))
-    tail = F.when(F.col("last") + F.coalesce(interval, F.lit(0.0)) < duration, F.format_string(
-        "Sampling stopped at %.1f s of %.1f s.", "last", duration))
+    between = F.concat(F.format_string("sampled=%d/%d", "sampled", "frame_count"), F.coalesce(F.when(interval.isNotNull(), F.format_string(" interval=%.2fs", interval)), F.lit("")))
+    tail = F.when(F.col("last") + F.coalesce(interval, F.lit(0.0)) < duration, F.format_string("unexamined=%.1fs-%.1fs", "last", duration))
     return joined.select("video_id", "sampled", F.array_compact(F.array(between, tail)).alias("limitations"))

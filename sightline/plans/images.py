@@ -32,8 +32,8 @@ def best_faces(ranked: DataFrame) -> DataFrame:
 
 def analyze_images(content: DataFrame, faces: DataFrame, assets: DataFrame, registered_faces: DataFrame, references: DataFrame,
                    scorer: Callable[[DataFrame], DataFrame] | None = None, limits: FaceThresholds = FaceThresholds(),
-                   score_limits: ScoreThresholds = ScoreThresholds()) -> DataFrame:
-    """Evidence and verdict per content row.
+                   score_limits: ScoreThresholds = ScoreThresholds(), strategy: str = "max", k: int = 3) -> DataFrame:
+    """Evidence and verdict per content row. ``strategy`` and ``k`` are those of ``identity_scores``.
 
     ``content(content_id, sha256, code, phash, width, height)``, ``faces(content_id, face_ix, vector, dim, pixels,
     quality, bbox, change_ratio)``, ``registered_faces`` as in the face check plus ``user_id``. ``scorer`` turns the
@@ -47,7 +47,7 @@ def analyze_images(content: DataFrame, faces: DataFrame, assets: DataFrame, regi
     # One comparison of faces with identities serves ranking and the asset owner's claim alike.
     probes = faces.withColumn("probe_id", _face_id()).join(
         origin.select("content_id", F.col("asset_owner").alias("claim")), "content_id", "left")
-    scores = cut_lineage(identity_scores(probes, references))
+    scores = cut_lineage(identity_scores(probes, references, strategy, k))
     places = probes.select("probe_id", "content_id", "face_ix", "quality")
     ranked = rank_identities(scores.join(places.select("probe_id", "quality"), "probe_id"), limits, F.col("quality")).join(
         places.drop("quality"), "probe_id")
@@ -78,7 +78,7 @@ def analyze_images(content: DataFrame, faces: DataFrame, assets: DataFrame, regi
     doubtful = judged.join(open_cases, "content_id", "left_semi").join(sizes, "content_id")
     owners = registered_faces.withColumn("probe_id", F.concat_ws("#", "asset_id", "face_ix")).withColumn(
         "claim", F.when(~F.col("shielded"), F.col("user_id"))).where("claim IS NOT NULL")
-    own_reg = claimed_scores(identity_scores(owners, references), owners).select("probe_id", "own_score")
+    own_reg = claimed_scores(identity_scores(owners, references, strategy, k), owners).select("probe_id", "own_score")
     registered = registered_faces.withColumn("probe_id", F.concat_ws("#", "asset_id", "face_ix")).join(
         own_reg, "probe_id", "left")
     check = registered_face_check(doubtful, registered, limits).drop("asset_id")
