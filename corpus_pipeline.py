@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.base import Shelf
@@ -25,14 +25,19 @@ LEAST_SCORE = 0.5
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def row_name() -> Column:
+    """What names a row: its identifier first, and two hashes of its text, so that rows that share or lack an identifier are told apart."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+
 def contents(docs: DataFrame) -> DataFrame:
     """Documents as fetched content."""
-    return docs.select(F.col("doc_id").alias("uri"), F.col("text").alias("content"))
+    return docs.select(row_name().alias("uri"), F.col("text").alias("content"))
 
 
 def kept(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """The documents but for the identifiers in ``lost(doc_id)``; a document without identifier stays."""
-    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    """The documents but for the rows in ``lost(uri)``."""
+    return docs.withColumn("uri", row_name()).join(lost.select("uri").distinct(), "uri", "left_anti").select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,32 +47,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     model = learn_languages(docs.select(F.col("text").alias("content"), F.col("lang").alias("language")))
     answers = predict_languages(contents(docs), model)
-    return kept(docs, answers.where((F.col("language") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("uri").alias("doc_id")))
+    return kept(docs, answers.where((F.col("language") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts: the one with the smallest identifier."""
-    return kept(docs, byte_copies(contents(docs)).where("NOT kept").select(F.col("uri").alias("doc_id")))
+    return kept(docs, byte_copies(contents(docs)).where("NOT kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that names the group."""
-    return kept(docs, near_copies(contents(docs)).where("uri <> group").select(F.col("uri").alias("doc_id")))
+    return kept(docs, near_copies(contents(docs)).where("uri <> group"))
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that recur; a document without any keeps its text to the letter."""
     shelf = Shelf(spark, "recurring")
-    answers = repeated_passages(contents(docs)).where("n_removed > 0").select(F.col("uri").alias("doc_id"), F.col("content").alias("left_text"))
+    answers = repeated_passages(contents(docs)).where("n_removed > 0").select("uri", F.col("content").alias("left_text"))
     answers = shelf.keep(answers.distinct(), "answers")
-    changed = docs.select(*COLUMNS).join(answers, "doc_id", "left")
+    changed = docs.select(*COLUMNS).withColumn("uri", row_name()).join(answers, "uri", "left")
     return changed.select("doc_id", F.coalesce("left_text", "text").alias("text"), "lang", "source",
                           F.when(F.col("left_text").isNotNull(), F.length("left_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of every document with their places in training sequences."""
-    return packed_sequences(contents(docs), WORD_VOCABULARY).withColumnRenamed("uri", "doc_id")
+    return packed_sequences(docs.select(F.col("doc_id").alias("uri"), F.col("text").alias("content")), WORD_VOCABULARY).withColumnRenamed("uri", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
