@@ -84,6 +84,19 @@ def test_stages(spark, tmp_path, which):
     assert {r.doc_id for r in docs.collect()} == set(held)
 
 
+def test_shared_and_missing_identifiers(spark):
+    say = lambda word: " ".join(f"{word}{i} and" for i in range(30))
+    rows = [(5, say("apple")), (3, say("apple")), (5, say("pear")), (None, say("pear")), (None, say("plum")), (7, "12 34"), (7, say("fig")), (8, say("fig")), (8, say("fig"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    got = sorted([(str(r.doc_id), r.text.split()[0]) for r in docs.collect()])
+    assert got == [("3", "apple0"), ("5", "pear0"), ("7", "fig0"), ("None", "plum0")]
+    repeated = spark.createDataFrame([(1, "x " * 40, "en", "s", 80), (1, "y " * 40, "en", "s", 80), (None, "x " * 40, "en", "s", 80), (1, "x " * 40, "en", "s", 80)], docs.schema)
+    cleaned = corpus_pipeline.recurring_passages(spark, repeated, SF)
+    assert sorted(str(tuple(r)) for r in cleaned.collect()) == sorted(str((i, "", "en", "s", 0)) for i in (1, 1, None, 1))
+
+
 def test_stages_of_nothing(spark):
     docs = odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
