@@ -22,7 +22,7 @@ from sightline.llm.base import Shelf, portions, raw
 
 WINDOW_WORDS = 35
 GROUP_WORDS = 8
-STRETCHES_PER_KEY = 8192  # a minimizer with more stretches is spread by whole windows
+STRETCHES_PER_KEY = 2048  # a minimizer with more stretches is spread by whole windows
 SHARD_WORDS = 200_000
 WORDS_AT_ONCE = 400_000
 
