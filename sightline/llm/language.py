@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.base import portions
+from sightline.llm.base import Shelf, portions
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-MOST_LANGUAGES = 1_000  # proven before the model is gathered: the matrix stays below 1,000 x BUCKETS doubles
+MOST_LANGUAGES = 200  # checked before the model is gathered: it stays below 200 x BUCKETS doubles, 52 MB
 SMOOTHING = 0.5
 UNKNOWN = "und"
 CHARACTERS_AT_ONCE = 1 << 19
@@ -118,18 +118,19 @@ def learn_languages(pages: DataFrame, smoothing: float = SMOOTHING, buckets: int
 
     learned = pages.select(F.col("content").cast("string").alias("content"), F.col("language").cast("string").alias("language")).where("content IS NOT NULL AND language IS NOT NULL")
     rows = learned.mapInArrow(run, "language string, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    rows = rows.groupBy("language").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
+    counted = Shelf(pages.sparkSession, "languages").keep(rows, "counts")
+    texts = {r["language"]: r["n"] for r in counted.where("bucket < 0").limit(MOST_LANGUAGES + 1).collect()}
+    if len(texts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} different languages in the labels")
-    rows.sort(key=lambda r: r["language"])
-    counts, texts = np.full((buckets, len(rows)), smoothing), np.zeros(len(rows))
-    for j, row in enumerate(rows):
-        for bucket, n in row["counts"]:
-            if bucket < 0:
-                texts[j] = n
-            else:
-                counts[bucket, j] += n
-    return LanguageModel([r["language"] for r in rows], np.log(texts / max(1.0, texts.sum())), np.log(counts / counts.sum(axis=0)) if rows else counts)
+    languages = sorted(texts)
+    counts = np.full((buckets, len(languages)), smoothing)
+    held = counted.where("bucket >= 0").toArrow()
+    column = {language: j for j, language in enumerate(languages)}
+    names = held.column("language").combine_chunks().dictionary_encode()
+    places = np.array([column[n] for n in names.dictionary.to_pylist()], dtype=np.int64)[names.indices.to_numpy(zero_copy_only=False)]
+    counts[held.column("bucket").to_numpy(), places] += held.column("n").to_numpy()
+    share = np.array([texts[language] for language in languages], dtype=np.float64)
+    return LanguageModel(languages, np.log(share / max(1.0, share.sum())), np.log(counts / counts.sum(axis=0)) if languages else counts)
 
 
 def predict_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
