@@ -54,15 +54,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcasting once it is known to be small; a larger one is joined by shuffle.
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcasting once its rows and their bytes are known to be few; a larger one is joined by shuffle.
 
     Meant for tables that are cheap to count (checkpointed, or a handful of groups).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df
 
 
 def shared_folder(spark: SparkSession) -> str:
