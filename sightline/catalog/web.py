@@ -77,10 +77,10 @@ ORACLES = {
       e AS (SELECT url, origin, unnest(hrefs) AS href, unnest(range(len(hrefs)))::INT AS pos FROM a)
       SELECT url AS page_url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href AS target_url, 'page' AS edge, NULL::VARCHAR AS kind, pos FROM e""",
     "crawl_unbounded": f"""WITH {_PARTS}, n AS (SELECT count(*) AS n FROM pages),
-      link AS (SELECT page_id AS a, (page_id * 2 + 1) % n AS b FROM p, n UNION SELECT page_id, (page_id * 3 + 2) % n FROM p, n),
-      reach AS (SELECT page_id AS s, page_id AS node, 0 AS depth FROM p UNION SELECT a, b, 1 FROM link UNION SELECT x.a, y.b, 2 FROM link x JOIN link y ON x.b = y.a),
-      media AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) || '.jpg' AS target FROM p)
-      SELECT q.clean AS seed, target AS target_url, 'image' AS kind, min(depth)::INT AS depth FROM reach JOIN media ON media.page_id = node JOIN p q ON q.page_id = s GROUP BY ALL""",
+      link AS (SELECT p.clean AS a, q.clean AS b FROM p CROSS JOIN n JOIN p q ON q.page_id IN ((p.page_id * 2 + 1) % n, (p.page_id * 3 + 2) % n)),
+      reach AS (SELECT clean AS s, clean AS node, 0 AS depth FROM p UNION SELECT a, b, 1 FROM link UNION SELECT x.a, y.b, 2 FROM link x JOIN link y ON x.b = y.a),
+      media AS (SELECT clean, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) || '.jpg' AS target FROM p)
+      SELECT s AS seed, target AS target_url, 'image' AS kind, min(depth)::INT AS depth FROM reach JOIN media ON media.clean = node GROUP BY ALL""",
     "media_page_edges": """WITH t(pos, name, ending, edge, kind) AS (VALUES (0, 'c', '.jpg', 'shown', 'image'), (1, 'd', '.webp', 'shown', 'image'),
       (2, 'f', '.mp4', 'shown', 'video'), (3, 'g', '.jpg', 'shown', 'image'), (6, 'h', '.gif', 'linked', 'image'), (7, 'p', '', 'page', NULL),
       (8, 'i', '.jpg', 'shown', 'image'))
