@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.base import Shelf, raw
@@ -134,6 +134,13 @@ def bucket_links(key_bits: int):
             return None
         return pa.RecordBatch.from_arrays([owners.take(pa.array(np.concatenate(ups))), owners.take(pa.array(np.concatenate(downs)))], ["a", "b"])
 
+    def answer(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if whole is not None and whole.num_rows:
+            out = links_of(whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64), whole.column(2).combine_chunks())
+            if out is not None:
+                yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -141,35 +148,23 @@ def bucket_links(key_bits: int):
                 continue
             keys = batch.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            if cut or not held:
-                done, rest = batch.slice(0, cut), batch.slice(cut)
-                whole = pa.Table.from_batches([*held, done]).combine_chunks()
-                out = links_of(whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64), whole.column(2).combine_chunks()) if whole.num_rows else None
-                if out is not None:
-                    yield out
-                held = [rest]
-            elif held and held[0].column(0)[0].as_py() == int(keys[0]):
+            if not cut and held and held[0].column(0)[0].as_py() == int(keys[0]):
                 held.append(batch)
-            else:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                out = links_of(whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64), whole.column(2).combine_chunks())
-                if out is not None:
-                    yield out
-                held = [batch]
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            out = links_of(whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64), whole.column(2).combine_chunks())
-            if out is not None:
-                yield out
+                continue
+            yield from answer([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        yield from answer(held)
 
     return run
 
 
-def segment(start: int):
+def segment(start: int) -> Column:
+    """A ring segment of the fingerprint as a number."""
     return F.shiftrightunsigned("phash", OFFSETS[start % 5]).bitwiseAND(F.lit((1 << WIDTHS[start % 5]) - 1))
 
 
 def walked(rows: DataFrame, key_bits: int, kind: str) -> DataFrame:
+    """The links inside every bucket of ``rows(key, phash, owner)``."""
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_links(key_bits), f"a {kind}, b {kind}")
 
 
