@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.catalog.identity import _LOO, _MAX
 from sightline.catalog.inputs import UNIT, photos, probes, references
 from sightline.operators import calibration as C
+from sightline.functions.vectors import logistic_score
 from sightline.operators import evaluation as E
 from sightline.operators import matching as M
 from sightline.session import cut_lineage, table
@@ -215,15 +216,32 @@ def removal_cost(spark: SparkSession, sf: str) -> DataFrame:
         "config", "rung", "images", "removable", r6("median_psnr"))
 
 
-def logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out performance of a fitted detector on length, number and quality features."""
+def _detector_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Length, number and quality features of every item, clean and degraded."""
     base = items(spark, sf).select("item", F.col("source").alias("identity"), (F.col("label") == "fake").cast("int").alias("label"),
                                    (F.col("n_chars") % 997 / 997.0).alias("f1"), F.log1p("n_chars").alias("f2"), (F.col("item") * 7 % 101 / 101.0).alias("f3"))
-    rows = base.withColumn("condition", F.lit("clean")).unionByName(base.withColumn("condition", F.lit("jpeg50")).withColumn("f1", F.col("f1") * 0.9))
-    held, _ = E.fit_logistic(rows, ["f1", "f2", "f3"], 0.6, 11)
+    return base.withColumn("condition", F.lit("clean")).unionByName(base.withColumn("condition", F.lit("jpeg50")).withColumn("f1", F.col("f1") * 0.9))
+
+
+def logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out performance of a fitted detector."""
+    held, _ = E.fit_logistic(_detector_features(spark, sf), ["f1", "f2", "f3"], 0.6, 11)
     return E.usable_detector(cut_lineage(held), 0.5).select("condition", r6("auc"), r6("eer"), r6("threshold"), r6("precision"), "usable")
 
 
+def logistic_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the fitted model is where it should be: the gradient of its penalised loss over the fitting rows vanishes."""
+    rows, names = _detector_features(spark, sf), ["f1", "f2", "f3"]
+    _, model = E.fit_logistic(rows, names, 0.6, 11)
+    sides = E.split_people(rows.select(F.col("identity").alias("person")), 0.6, 11).where("calibrates").select(F.col("person").alias("identity"))
+    train = rows.where("condition = 'clean'").join(sides, "identity", "left_semi")
+    off = logistic_score(F.array(*names), model["mean"], model["scale"], model["weights"], model["bias"]) - F.col("label")
+    slopes = [F.avg(off * (F.col(c) - m) / sd) + F.lit(w) / F.count("*") for c, m, sd, w in zip(names, model["mean"], model["scale"], model["weights"])]
+    found = train.agg(F.array(*slopes, F.avg(off)).alias("g"))
+    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, [*names, "bias"])).alias("name"), F.col("g"))).alias("x")).select(
+        F.col("x.name").alias("name"), (F.abs(F.col("x.g")) < 1e-4).alias("settled"))
+
+
 def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of even nations look for controls among the others, by segment and balance."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"), (F.col("c_acctbal") / 100).alias("attribute"), "c_nationkey")
@@ -250,7 +268,7 @@ def matched_control_checks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     split_halves, detector_report, detector_families, detector_gate, condition_bands, embedder_screen, quality_guard_cost, impostor_tail,
     identity_pair_peaks, top_identity_pairs, open_set_report, donor_report, cohort_thresholds, detection_spread, crowded_frames,
-    split_half_attribution, robustness_rates, robustness_table, layered_mark_cells, removal_cost, logistic_scores, matched_controls, matched_control_checks)}
+    split_half_attribution, robustness_rates, robustness_table, layered_mark_cells, removal_cost, logistic_scores, logistic_checks, matched_controls, matched_control_checks)}
 
 _ITEMS = """i AS (SELECT d.doc_id AS item, CASE WHEN toxic = 1 THEN 'fake' ELSE 'genuine' END AS label, lang AS family, source,
     'src' || (d.doc_id % 23) AS second, coalesce(quality, 1) = 1 AS shared, n_chars FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -288,6 +306,7 @@ _LAYER = """r AS (SELECT CASE l_returnflag WHEN 'A' THEN 'original' WHEN 'N' THE
     CASE WHEN config = 'dct_then_learned' THEN dct END AS own_dct FROM t WHERE config <> 'original')"""
 
 ORACLES = {
+    "logistic_checks": "SELECT name, (SELECT count(*) FROM documents) > 0 AS settled FROM (VALUES ('f1'), ('f2'), ('f3'), ('bias')) t(name)",
     "matched_control_checks": """SELECT least(count(*) FILTER (WHERE c_nationkey % 3 = 0), count(*) FILTER (WHERE c_nationkey % 3 > 0)) AS pairs, 0::BIGINT AS targets_twice,
       0::BIGINT AS controls_twice, 0::BIGINT AS too_far, 0::BIGINT AS still_matchable FROM customer""",
     "split_halves": f"WITH {_ITEMS} SELECT item, half FROM halved",

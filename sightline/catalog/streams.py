@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.catalog import verdicts as VQ
 from sightline.catalog.inputs import HASHES, assets, copies
-from sightline.catalog.video import two_face_detections
+from sightline.catalog.video import _FRAMES, paired_tracks, two_face_detections
 from sightline.functions import plugins
 from sightline.plans import verdicts as V
 from sightline.session import shared_folder, table
@@ -68,6 +68,15 @@ def stream_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(spark, "tracks", rows, "step", lambda d: S.stream_tracks(d, TrackingRules(iou=0.6)), "append")
 
 
+def stream_track_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's answer beside tracking in one go: detections seen, and rows that only one of the two has."""
+    keys = ["video_id", "segment", "step", "det_ix", "track_id"]
+    streamed = stream_tracks(spark, sf).withColumn("s", F.lit(1))
+    at_once = paired_tracks(spark, sf).withColumn("b", F.lit(1))
+    both = streamed.join(at_once, keys, "full")
+    return both.agg(F.count("s").alias("detections"), F.count_if(F.col("s").isNull() | F.col("b").isNull()).alias("differing"))
+
+
 def stream_scene_samples(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_number"), F.array("value").alias("plane"))
     return _drain(spark, "scenes", rows, "frame_number", lambda f: S.stream_scene_sample(f, SamplingRules(max_frames=1 << 40)), "append")
@@ -95,7 +104,7 @@ def embedded_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_scan, stream_failures, stream_attribution, stream_provenance, stream_tracks, stream_scene_samples, scored_documents, embedded_documents)}
+    stream_scan, stream_failures, stream_attribution, stream_provenance, stream_tracks, stream_track_checks, stream_scene_samples, scored_documents, embedded_documents)}
 
 ORACLES = {
     "stream_scan": f"""WITH {VQ._SCAN} SELECT sha256, verdict, level, similarity, 'doc/' || ord AS uri, places FROM found
@@ -109,6 +118,7 @@ ORACLES = {
       FROM near WHERE rk = 1""",
     "stream_provenance": """SELECT o_custkey::VARCHAR AS asset_id, arg_max(o_orderstatus, o_orderkey) AS sha256,
       arg_max(o_orderpriority, o_orderkey) AS watermark_id, min(o_orderkey) AS position FROM orders GROUP BY 1""",
+    "stream_track_checks": f"WITH {_FRAMES} SELECT 2 * count(*) AS detections, 0::BIGINT AS differing FROM samples WHERE k % 10 > 0",
     "stream_scene_samples": """WITH RECURSIVE n AS (SELECT a.user_id, a.event_id, min(b.event_id) AS following FROM events a JOIN events b
       ON a.user_id = b.user_id AND b.event_id > a.event_id AND abs(b.value - a.value) >= 12 GROUP BY ALL),
       k AS (SELECT user_id, min(event_id) AS event_id, 1::BIGINT AS kept FROM events GROUP BY 1 UNION ALL
