@@ -156,9 +156,10 @@ def image_evidence(spark: SparkSession, sf: str) -> DataFrame:
         (vec % 11 == 0).alias("shielded"))
     refs = references(spark, sf).select(F.concat(F.lit("user-"), F.col("user_id")).alias("user_id"), "ref_ix", "vector", "dim")
     content = copies(spark, sf).drop("plane", "label")
-    out = images.analyze_images(content, face, assets(spark, sf).drop("plane", "label"), reg, refs)
+    scorer = lambda gated: gated.select("content_id", (F.col("content_id") % 100 / 100.0).alias("deepfake_score"))
+    out = images.analyze_images(content, face, assets(spark, sf).drop("plane", "label"), reg, refs, scorer)
     return out.select("content_id", "subject_user_id", "asset_match_basis", "subject_decision", "registered_faces_compared",
-                      "face_in_registered_file", "rule", "verdict", "level", "summary")
+                      "face_in_registered_file", "deepfake_score", "rule", "verdict", "level", "summary")
 
 
 QUERIES = {f.__name__: f for f in (
