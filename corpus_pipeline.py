@@ -46,8 +46,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the stage's own labelled documents; a label is never an input of a decision.
     """
     model = learn_languages(docs.select(F.col("text").alias("content"), F.col("lang").alias("language")))
-    answers = predict_languages(contents(docs), model)
-    return kept(docs, answers.where((F.col("language") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+    # The whole row travels as its own name, so nothing has to be joined back.
+    answers = predict_languages(docs.select(F.struct(*COLUMNS).alias("uri"), F.col("text").alias("content")), model)
+    return answers.where((F.col("language") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("uri.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
