@@ -17,7 +17,7 @@ BUCKETS = 1 << 15
 MOST_LANGUAGES = 200  # checked before the model is gathered: it stays below 200 x BUCKETS doubles, 52 MB
 SMOOTHING = 0.5
 UNKNOWN = "und"
-CHARACTERS_AT_ONCE = 1 << 19
+CHARACTERS_AT_ONCE = 1 << 17
 
 
 def codes(text: str) -> np.ndarray:
