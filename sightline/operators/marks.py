@@ -67,19 +67,30 @@ def phase_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     """
     cells = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("cell"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
-    vote = F.struct(F.col("ones"), F.col("n"))
-    maps = cells.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.struct(F.col("cell"), F.col("carrier").cast("int").alias("carrier")), vote))).alias("cells"))
-    layout = schedule.groupBy().agg(F.collect_list(F.struct(F.col("bit").cast("int").alias("bit"), F.col("slot").cast("int").alias("slot"),
-                                                            F.col("carrier").cast("int").alias("carrier"))).alias("layout"))  # 64 slots, one row
-    read = maps.withColumn("one", F.lit(1)).join(F.broadcast(layout.withColumn("one", F.lit(1))), "one")
-    read = read.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1))))
-    under = lambda s: _slot(F.floor(s["slot"] / TILE) + TILE - F.floor(F.col("phase") / TILE), s["slot"] % TILE + TILE - F.col("phase") % TILE)
-    votes = F.transform(F.filter("layout", lambda s: s["bit"] == F.col("bit")),
-                        lambda s: F.try_element_at("cells", F.struct(under(s).alias("cell"), s["carrier"].alias("carrier"))))
-    total = lambda field: F.aggregate(votes, F.lit(0).cast("bigint"), lambda acc, v: acc + F.coalesce(v[field], F.lit(0)))
-    counted = read.select("image_id", "phase", "bit", total("ones").alias("votes"), total("n").alias("n"))
-    return counted.withColumn("ratio", F.when(F.col("n") > 0, F.col("votes") / F.col("n")).otherwise(0.5))
+    place = (F.col("carrier") * SLOTS + F.col("cell")).cast("int")
+    held = cells.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), F.struct("ones", "n").alias("vote")))).alias("votes"))
+    # The layout is one row: for every bit its slots, with the carrier each is read on.
+    slots = F.collect_list(F.struct(F.col("bit").cast("int").alias("bit"), F.col("slot").cast("int").alias("slot"), F.col("carrier").cast("int").alias("carrier")))
+    layout = schedule.groupBy().agg(slots.alias("slots"), ((F.max("carrier") + 1) * SLOTS).cast("int").alias("width")).select(
+        F.lit(1).alias("one"), "width", F.transform(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1)), lambda b: F.filter("slots", lambda s: s["bit"] == b)).alias("layout"))
+    read = held.withColumn("one", F.lit(1)).join(F.broadcast(layout), "one").select(
+        "image_id", "layout", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.try_element_at("votes", i)).alias("votes"))
+    # An image's row is small but grows to thousands; AQE, which sees the small rows, would leave them to one task.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = read.repartition(tasks, "image_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("phase"))
+
+    def counted(slot: Column) -> Column:
+        row, col = F.col("phase").bitwiseAND(F.lit(~(TILE - 1))), F.col("phase") % TILE
+        under = (slot["slot"].bitwiseAND(F.lit(~(TILE - 1))) + SLOTS - row) % SLOTS + (slot["slot"] % TILE + TILE - col) % TILE
+        return F.get("votes", slot["carrier"] * SLOTS + under)
+
+    zero = F.lit(0).cast("bigint")
+    many = lambda found, field: F.aggregate(found, zero, lambda acc, v: acc + F.coalesce(v[field], zero))
+    total = lambda found, field: F.when(F.size(found) <= 1, F.coalesce(F.get(found, 0)[field], zero)).otherwise(many(found, field))  # mostly one slot a bit
+    bits = F.transform("layout", lambda slots: F.transform(slots, counted))
+    rows = read.select("image_id", "phase", F.posexplode(bits).alias("bit", "found"))
+    out = rows.select("image_id", "phase", "bit", total(F.col("found"), "ones").alias("votes"), total(F.col("found"), "n").alias("n"))
+    return out.withColumn("ratio", F.when(F.col("n") > 0, F.col("votes") / F.col("n")).otherwise(0.5))
 
 
 def rank_grids(candidates: DataFrame, schedule: DataFrame, keep: int = 4) -> DataFrame:
