@@ -156,57 +156,57 @@ def fractional(tops: np.ndarray, demand: np.ndarray, capacity: int, rounds: int,
     return Counter({config: weight / over for config, weight in weights.items()})
 
 
-def rounded_plan(lengths: np.ndarray, counts: np.ndarray, large: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], int]]:
+def rounded_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], int]]:
     """One solution of the program, rounded down and completed."""
-    long, left = lengths[large], counts[large].copy()
-    of = classes_of(long, left)
-    tops = np.array([long[of == c].max() for c in range(of.max() + 1)])
+    left = counts.copy()
+    of = classes_of(lengths, left)
+    tops = np.array([lengths[of == c].max() for c in range(of.max() + 1)])
     demand = np.bincount(of, weights=left).astype(np.int64)
     waiting = [list(np.flatnonzero(of == c)) for c in range(len(tops))]  # ascending, so the longest is taken first
     opened: list[tuple[dict[int, int], int]] = []
     for config, weight in sorted(fractional(tops, demand, capacity, rounds, rate).items(), key=lambda x: -x[1]):
-        times = min([int(weight + 1e-9), *(int(demand[c]) // k for c, k in config)])
-        while times > 0:
+        times = int(weight + 1e-9)
+        while (times := min([times, *(int(demand[c]) // k for c, k in config)])) > 0:
             held: Counter[int] = Counter()
-            for c, k in config:
-                need = k
+            for n, (c, k) in enumerate(config):
+                need = k - (n == 0)  # the last slot, of the shortest class, is filled below
                 for i in reversed(waiting[c]):
-                    take = min(need, int(left[i]))
-                    held[int(i)] += take
-                    need -= take
                     if not need:
                         break
+                    if take := min(need, int(left[i])):
+                        held[int(i)] += take
+                        need -= take
+            # The last slot takes the longest piece that fits: classes leave room behind their members, and short pieces are worth most to the completion.
+            room = capacity - sum(int(lengths[i]) * k for i, k in held.items())
+            last = int(np.searchsorted(lengths, room, side="right")) - 1
+            while left[last] <= held.get(last, 0):
+                last -= 1
+            held[last] += 1
             some = min([times, *(int(left[i]) // k for i, k in held.items())])
             for i, k in held.items():
                 left[i] -= k * some
-            for c, k in config:
-                demand[c] -= k * some
+                demand[of[i]] -= k * some
+            for c in {int(of[i]) for i in held}:
                 while waiting[c] and not left[waiting[c][-1]]:
                     waiting[c].pop()
-            opened.append(({int(long[i]): k for i, k in held.items()}, some))
+            opened.append(({int(lengths[i]): k for i, k in held.items()}, some))
             times -= some
-    rest = counts.copy()
-    rest[large] = left
-    return best_fit(lengths[rest > 0], rest[rest > 0], capacity, opened)
+    return best_fit(lengths[left > 0], left[left > 0], capacity, opened)
 
 
 def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """The sequences that hold every piece of ``histogram`` (length -> count).
 
-    The program covers the lengths above an eighth of the capacity, in at most ``CLASSES`` classes by their longest
-    member. Its weights are rounded down, each class slot takes the longest members still waiting, and best fit puts
-    what remains, and all short pieces, into the gaps and into further sequences. Where best fit from the start
-    needs fewer sequences, that plan is the answer. The number of rounds bears on the quality only.
+    The program covers all lengths, in at most ``CLASSES`` classes by their longest member. Its weights are rounded
+    down, each class slot takes the longest members still waiting, the last slot of a sequence the longest piece that
+    fits, and best fit puts what remains into the gaps and into further sequences. The answer is the best of the
+    plans by ``RATES``; the number of rounds bears on the quality only.
     """
     if not histogram:
         return Plan([])
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    plain = best_fit(lengths, counts, capacity)
-    large = lengths > capacity // 8
-    if not large.any():
-        return Plan(plain)
-    plans = [plain, *(rounded_plan(lengths, counts, large, capacity, rounds, rate) for rate in RATES)]
+    plans = [rounded_plan(lengths, counts, capacity, rounds, rate) for rate in RATES]
     return Plan(min(plans, key=lambda plan: sum(times for _, times in plan)))
 
 

@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from sightline.llm import packing
 from sightline.llm import words as words_module
-from sightline.llm.packing import configuration_plan, packed_sequences
+from sightline.llm.packing import best_fit, configuration_plan, packed_sequences
 from sightline.llm.token_counts import PreTokenTree, edit_trees, plant_trees, redactions
 from sightline.llm.token_files import EMPTY_FRAME, TokenFile, token_documents, write_token_files
 from sightline.llm.words import WordEncoder, word_encoder
@@ -124,6 +125,19 @@ def test_plan(histogram, fewest):
     assert held == Counter(histogram)
 
 
+@pytest.mark.parametrize("histogram", [{1000: 100, 1096: 100, 2000: 100}, {57: 3000, 100: 4000}, {n: 30 for n in range(5, 3000, 7)}])
+def test_plan_comes_from_the_program(histogram, monkeypatch):
+    completed = []
+    monkeypatch.setattr(packing, "best_fit", lambda lengths, left, capacity, opened=(): completed.append((int(left.sum()), list(opened))) or best_fit(lengths, left, capacity, opened))
+    plan = configuration_plan(histogram)
+    assert len(completed) == len(packing.RATES)
+    for left, opened in completed:
+        assert left + sum(times * sum(config.values()) for config, times in opened) == sum(histogram.values())
+        assert left < sum(histogram.values()) / 2
+    least = -(-sum(n * k for n, k in histogram.items()) // 4096)
+    assert least <= plan.sequences <= least * 1.01 + 1
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_edits_count_like_a_full_encoding(seed):
     draw = random.Random(seed)
