@@ -35,9 +35,20 @@ def contents(docs: DataFrame) -> DataFrame:
     return docs.select(row_name().alias("uri"), F.col("text").alias("content"))
 
 
-def kept(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """The documents but for the rows in ``lost(uri)``."""
-    return docs.withColumn("uri", row_name()).join(lost.select("uri").distinct(), "uri", "left_anti").select(*COLUMNS)
+def one_each(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """The documents that ``answers(uri, kept)`` keeps, each name once: of rows that repeat a name, the one with the smallest other columns.
+
+    Only rows with a repeated name are gathered, by an aggregation that begins before the exchange, so a name held by many rows is no hot key.
+    """
+    shelf = Shelf(docs.sparkSession, "one-each")
+    answers = shelf.keep(answers.select("uri", "kept"), "answers")
+    repeated = shelf.keep(answers.where("kept").groupBy("uri").count().where("count > 1").select("uri"), "repeated")
+    lost = answers.where("NOT kept").select("uri").distinct()
+    named = docs.select(*COLUMNS).withColumn("uri", row_name())
+    if repeated.isEmpty():
+        return named.join(lost, "uri", "left_anti").select(*COLUMNS)
+    once = named.join(repeated, "uri", "left_semi").groupBy("uri").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return named.join(lost.unionByName(repeated), "uri", "left_anti").select(*COLUMNS).unionByName(once.select(*[f"row.{c}" for c in COLUMNS]))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +64,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts: the one with the smallest identifier."""
-    return kept(docs, byte_copies(contents(docs)).where("NOT kept"))
+    return one_each(docs, byte_copies(contents(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that names the group."""
-    return kept(docs, near_copies(contents(docs)).where("uri <> group"))
+    return one_each(docs, near_copies(contents(docs)).withColumn("kept", F.col("uri") == F.col("group")))
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,24 @@ def test_shared_and_missing_identifiers(spark):
     assert sorted(str(tuple(r)) for r in cleaned.collect()) == sorted(str((i, "", "en", "s", 0)) for i in (1, 1, None, 1))
 
 
+def test_repeated_keepers_and_copies_without_identifier(spark, tmp_path):
+    say = lambda word: " ".join(f"{word}{i} and" for i in range(30))
+    rows = [(1, say("apple"), "s"), (1, say("apple"), "r"), (1, say("apple"), "s"), (2, say("apple"), "s"), (None, say("plum"), "s"), (None, say("plum"), "s"), (None, say("plum"), None),
+            (None, say("pear"), "s"), (4, say("fig"), "s"), (4, say("fig"), "s"), (6, None, "s"), (6, None, "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = sorted([("1", say("apple"), "r"), ("None", say("plum"), "None"), ("None", say("pear"), "s"), ("4", say("fig"), "s")])
+    alone = spark.createDataFrame(docs.where("doc_id = 1 OR doc_id = 4").collect(), docs.schema)
+    assert sorted((r.doc_id, r.source) for r in corpus_pipeline.near_duplicates(spark, alone, SF).collect()) == [(1, "r"), (4, "s")]
+    assert corpus_pipeline.exact_copies(spark, docs, SF).where("doc_id = 6").count() == 1
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name in ("exact_dedup", "near_dedup", "substring_dedup"):
+            assert sorted((str(r.doc_id), r.text, str(r.source)) for r in docs.collect()) == want, name
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert docs.agg({"length": "sum"}).first()[0] == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in want)
+
+
 def test_stages_of_nothing(spark):
     docs = odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
