@@ -211,8 +211,9 @@ def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLO
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``(uri STRING, url, record_type, payload_bytes, payload_digest, refers_to, payload BINARY)`` of every record below ``path``.
 
-    Each archive is one binary row of bounded size. The reader parses its directory and index, and reads each record
-    by its range; a response's payload is checked against its digest and length. A revisit has no payload of its own.
+    Each archive is one binary row of bounded size, loaded whole: the reader parses its directory and index, and takes
+    each record by its range inside the archive in memory. No range is fetched from storage, so a single record costs
+    its whole archive. A response's payload is checked against its digest and length. A revisit has no payload of its own.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
