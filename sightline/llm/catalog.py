@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.archives import read_archives, write_archives
 from sightline.llm.base import Shelf
+from sightline.llm.byte_pairs import decode_content, encode_content
 from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
 from sightline.llm.language import learn_languages, predict_languages
+from sightline.llm.manifest import folded, item_digest, seal_manifest, siblings
 from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
@@ -20,6 +24,7 @@ from sightline.llm.token_files import token_documents, write_token_files
 from sightline.session import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -90,8 +95,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("uri").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_content(encode_content(documents(spark, sf_dir), BYTE_VOCABULARY), BYTE_VOCABULARY)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(F.col("uri").alias("doc_id"), "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("uri", F.col("doc_id"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, item_digest(*[F.col(f) for f in fields[:-1]], lowered))
+    sealed = seal_manifest(rows.withColumn("tampered", tampered), fields, carried=["tampered"])
+    proof = sealed.select(F.col("uri").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("steps")), 256).alias("proof_sha256"),
+                          folded(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"))
+    return proof.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_segmentations": op4_segmentations, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
-           "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
+           "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup, "op11_byte_pairs": op11_byte_pairs,
+           "op13_manifest": op13_manifest}
 
 ORACLES = {
     "op2_embedding_dedup": """
