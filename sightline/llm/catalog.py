@@ -18,6 +18,7 @@ from sightline.llm.manifest import folded, item_digest, seal_manifest, siblings
 from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
+from sightline.llm.periodic import periodic_runs
 from sightline.llm.segmentations import sample_segmentations
 from sightline.llm.token_counts import edit_trees, plant_trees, redactions
 from sightline.llm.token_files import token_documents, write_token_files
@@ -101,6 +102,26 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("uri").alias("doc_id"), "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
 
 
+def with_planted_runs(rows: DataFrame) -> DataFrame:
+    """``(uri, content)``: every tenth document, by its identifier's CRC-32, repeats itself from some word on."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    rows = rows.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    planted = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words").cast("bigint"))
+    planted = planted.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> words[int(IF(i < a, i, a + (i - a) % p))]), ' ')")
+    return planted.select(F.col("doc_id").alias("uri"), F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("content"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select(F.col("uri").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), longest.alias("r"), lines.alias("lines"), "content")
+    return rows.select("doc_id", "n_runs", (-F.col("r.start")).alias("start"), "r.length", (-F.col("r.period")).alias("period"),
+                       F.expr("(1000 * r.length) DIV (-r.period)").alias("exponent_milli"),
+                       F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("content", 256).alias("collapsed_sha256"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("uri", F.col("doc_id"))
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -113,7 +134,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_segmentations": op4_segmentations, "op5_warc": op5_warc, "op6_exact_dedup": op6_exact_dedup, "op7_token_files": op7_token_files,
-           "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup, "op11_byte_pairs": op11_byte_pairs,
+           "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup, "op11_byte_pairs": op11_byte_pairs, "op12_periodic_runs": op12_periodic_runs,
            "op13_manifest": op13_manifest}
 
 ORACLES = {
