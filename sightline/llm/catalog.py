@@ -15,6 +15,7 @@ from sightline.llm.digests import byte_copies
 from sightline.llm.fingerprints import near_copies
 from sightline.llm.language import learn_languages, predict_languages
 from sightline.llm.manifest import folded, item_digest, seal_manifest, siblings
+from sightline.llm.manifest_sql import manifest_oracle
 from sightline.llm.near_vectors import near_identity_vectors
 from sightline.llm.packing import packed_sequences
 from sightline.llm.passages import repeated_passages
@@ -138,6 +139,7 @@ QUERIES = {"op1_language_id": op1_language_id, "op2_embedding_dedup": op2_embedd
            "op13_manifest": op13_manifest}
 
 ORACLES = {
+    "op13_manifest": manifest_oracle(),
     "op2_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
              p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id

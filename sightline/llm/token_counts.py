@@ -21,7 +21,7 @@ from sightline.llm.words import WordEncoder, word_encoder
 
 LEAF_WORDS = 16
 LEAF = re.compile(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){1,%d}[\x20\x09-\x0D]*|[\x20\x09-\x0D]+" % LEAF_WORDS)
-WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+WHITES = tuple("\x20\x09\x0a\x0b\x0c\x0d")
 
 
 def summed(leaves: np.ndarray) -> np.ndarray:
@@ -45,28 +45,39 @@ def planted_forms(texts: pa.Array, encoder: WordEncoder) -> Iterator[tuple[int,
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             leaves = np.add.reduceat(counts[a:b], np.arange(0, b - a, LEAF_WORDS)) if b > a else np.zeros(1, np.int64)
             tree = summed(leaves)
-            yield int(tree[1]), tree.astype("<i4").tobytes()
+            yield int(tree[1]), np.r_[0, tree].astype("<i4").tobytes()
 
 
 class PreTokenTree:
-    """A page's leaves with sums of characters and tokens."""
+    """A page's leaves with sums of characters and tokens.
 
-    def __init__(self, leaves: list[str], tokens: np.ndarray, chars: np.ndarray) -> None:
-        self.leaves, self.tokens, self.chars = leaves, tokens, chars
-        self.encoded = 0
+    Stored, a tree is little-endian 32-bit integers: how many leaf lengths follow, the lengths in characters, and the token sums. A tree
+    that was never edited names no lengths, since its leaves are the text's own cut.
+    """
+
+    def __init__(self, leaves: list[str], tokens: np.ndarray) -> None:
+        self.leaves, self.tokens = leaves, tokens
+        self.chars = summed(np.array([len(leaf) for leaf in leaves], dtype=np.int64))
+        self.encoded = self.edits = 0
 
     @classmethod
     def planted(cls, text: str, encoder: WordEncoder) -> PreTokenTree:
         return cls.stored(text, next(planted_forms(pa.array([text]), encoder))[1])
 
     @classmethod
-    def stored(cls, text: str, tree: bytes) -> PreTokenTree:
-        tokens = np.frombuffer(tree, dtype="<i4").astype(np.int64)
-        leaves = LEAF.findall(text)
-        return cls(leaves, tokens.copy(), summed(np.array([len(leaf) for leaf in leaves], dtype=np.int64)))
+    def stored(cls, text: str, form: bytes) -> PreTokenTree:
+        held = np.frombuffer(form, dtype="<i4").astype(np.int64)
+        named = int(held[0])
+        if not named:
+            return cls(LEAF.findall(text) or [""], held[1:])
+        ends = np.cumsum(held[1:1 + named]).tolist()
+        tree = cls([text[a:b] for a, b in zip([0, *ends], ends)], held[1 + named:])
+        tree.edits = 1
+        return tree
 
     def stored_form(self) -> bytes:
-        return self.tokens.astype("<i4").tobytes()
+        lengths = [len(leaf) for leaf in self.leaves] if self.edits else []
+        return np.r_[len(lengths), lengths, self.tokens].astype("<i4").tobytes()
 
     @property
     def text(self) -> str:
@@ -92,35 +103,45 @@ class PreTokenTree:
         end_of_text = int(self.chars[1])
         start = min(max(start, 0), end_of_text)
         end = min(start + max(length, 0), end_of_text)
+        self.edits += 1
         if not end_of_text:
             first = last = 0
             region = replacement
-            self.leaves = self.leaves or [""]
         else:
             first, at = self.find(start)
-            at += max(0, start - (end_of_text - 1)) if start >= end_of_text else 0
+            at += start == end_of_text
             last, until = self.find(max(start, end - 1))
             until = until + 1 if end > start else at
             region = self.leaves[first][:at] + replacement + self.leaves[last][until:]
-        # Without white space between them, what stands next to the region is part of its words.
-        while first > 0 and region[:1] not in ("", *WHITE) and self.leaves[first - 1][-1:] not in tuple(WHITE):
-            first -= 1
-            region = self.leaves[first] + region
-        while last + 1 < len(self.leaves) and region[-1:] not in tuple(WHITE):
+        # Without white space between them, what stands next to the region is part of its words. To the right first: where
+        # nothing is left of the region, its two neighbours may now touch.
+        while last + 1 < len(self.leaves) and region[-1:] not in WHITES:
             last += 1
             region = region + self.leaves[last]
             if self.leaves[last]:
                 break
-        self.leaves[first:last + 1] = [region] + [""] * (last - first)
+        while first > 0 and region and region[0] not in WHITES and self.leaves[first - 1][-1:] not in WHITES:
+            first -= 1
+            region = self.leaves[first] + region
         self._renew(first, last, region, encoder)
 
     def _renew(self, first: int, last: int, region: str, encoder: WordEncoder) -> None:
-        size = len(self.tokens) // 2
-        self.tokens[size + first:size + last + 1] = 0
-        self.chars[size + first:size + last + 1] = 0
-        self.tokens[size + first] = len(encoder.ids(region.encode())) // 4
-        self.chars[size + first] = len(region)
+        """Cut the region into leaves anew and count them; a region with more leaves than it had makes room in a new tree."""
+        parts = LEAF.findall(region)
+        counts = [len(encoder.ids(part.encode())) // 4 for part in parts]
         self.encoded += len(region.split())
+        room = last - first + 1
+        size = len(self.tokens) // 2
+        if len(parts) > room:
+            leaf_tokens = np.r_[self.tokens[size:size + first], counts, self.tokens[size + last + 1:size + len(self.leaves)]]
+            leaves = self.leaves[:first] + parts + self.leaves[last + 1:]
+            full = [i for i, leaf in enumerate(leaves) if leaf]  # empty leaves go when a tree is built anyway
+            self.leaves, self.tokens = [leaves[i] for i in full], summed(leaf_tokens[full])
+            self.chars = summed(np.array([len(leaf) for leaf in self.leaves], dtype=np.int64))
+            return
+        self.leaves[first:last + 1] = parts + [""] * (room - len(parts))
+        self.tokens[size + first:size + last + 1] = counts + [0] * (room - len(parts))
+        self.chars[size + first:size + last + 1] = [len(leaf) for leaf in self.leaves[first:last + 1]]
         low, high = (size + first) // 2, (size + last) // 2
         while low:
             for tree in (self.tokens, self.chars):
@@ -151,7 +172,8 @@ def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str) -> DataFrame
     ``trees``. Edits of a page apply in the order of ``edit_ix``; ``start`` and ``length`` count characters of the text as
     the edits before left it, and are held inside it (null start: 0, null length: 0, null replacement: nothing). A page's edits travel
     as one row, as its text does. Edits without ``uri`` or of pages that are not there are ignored; rows that
-    repeat a ``uri`` are each edited; equal ``edit_ix`` apply by start, length and replacement.
+    repeat a ``uri`` are each edited; equal ``edit_ix`` apply by start, length and replacement. The returned ``content`` and
+    ``tree`` can be edited again; an empty table gives an empty table.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from sightline.llm import packing
 from sightline.llm import words as words_module
 from sightline.llm.packing import best_fit, configuration_plan, packed_sequences
-from sightline.llm.token_counts import PreTokenTree, edit_trees, plant_trees, redactions
+from sightline.llm.token_counts import LEAF_WORDS, PreTokenTree, edit_trees, plant_trees, redactions
 from sightline.llm.token_files import EMPTY_FRAME, TokenFile, token_documents, write_token_files
 from sightline.llm.words import WordEncoder, word_encoder
 
@@ -174,3 +174,44 @@ def test_edit_tables(spark):
     assert masked.content == "call [number] or write [address] now"
     none = pages.limit(0)
     assert edit_trees(plant_trees(none, PATH), redactions(none), PATH).count() == 0
+
+
+def random_edit(draw, text):
+    words = ["fox", "don't", " ", "\n", "a b c", "x" * 40, "é", "", "one two three four five six " * 12, "12-34"]
+    start = draw.choice([draw.randint(0, len(text) + 2), 0, len(text), max(0, text.find(" "))])
+    return start, draw.choice([0, 0, 1, 2, 7, 30, len(text)]), draw.choice(words)
+
+
+def test_trees_survive_many_edits():
+    whole, encoder = Tokenizer.from_file(PATH), word_encoder(PATH)
+    draw = random.Random(8)
+    for _ in range(300):
+        text = " ".join(draw.choice(["the", "fox", "isn't", "x1", "long-ish", "größer"]) for _ in range(draw.randint(0, 90)))
+        form = PreTokenTree.planted(text, encoder).stored_form()
+        for _ in range(4):
+            tree = PreTokenTree.stored(text, form)
+            for _ in range(draw.randint(1, 3)):
+                start, length, words = random_edit(draw, text)
+                tree.replace(start, length, words, encoder)
+                start = min(start, len(text))
+                text = text[:start] + words + text[start + length:]
+            form = tree.stored_form()
+            assert tree.text == text and tree.total == len(whole.encode(text, add_special_tokens=False).ids)
+            assert max(len(leaf.split()) for leaf in tree.leaves) <= LEAF_WORDS
+
+
+def test_edited_tables_are_edited_again(spark):
+    whole, draw = Tokenizer.from_file(PATH), random.Random(3)
+    texts = {i: " ".join(draw.choice(["red", "green", "it's", "42"]) for _ in range(draw.choice([0, 5, 60, 400]))) for i in range(30)} | {30: None, 31: "", 32: "many words " * 20000}
+    trees = plant_trees(spark.createDataFrame(list(texts.items()), "uri int, content string"), PATH)
+    texts = {i: t or "" for i, t in texts.items()}
+    for _ in range(3):
+        edits = []
+        for i in texts:
+            for n in range(draw.randint(0, 3)):
+                start, length, words = random_edit(draw, texts[i])
+                edits.append((i, n, start, length, words, "clash"))
+                start = min(start, len(texts[i]))
+                texts[i] = texts[i][:start] + words + texts[i][start + length:]
+        trees = edit_trees(trees, spark.createDataFrame(edits, "uri int, edit_ix int, start int, length int, replacement string, tree string"), PATH)
+        assert {r.uri: (r.content, r.n_tokens) for r in trees.collect()} == {i: (t, len(whole.encode(t, add_special_tokens=False).ids)) for i, t in texts.items()}
