@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog.inputs import planes
@@ -41,18 +41,21 @@ def laplacian_sharpness(spark: SparkSession, sf: str) -> DataFrame:
     return P.laplacian_variance(_pixels(spark, sf)).select("image_id", r6("sharpness"))
 
 
-def _colour(spark: SparkSession, sf: str) -> DataFrame:
-    unit = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v))).cast("int")
-    return _pixels(spark, sf).select("image_id", "y", "x", unit(F.col("v")).alias("r"), unit(255.0 - F.col("v")).alias("g"),
-                                     unit(F.col("v") / 2.0).alias("b"))
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every plane as an array on the 8-bit scale."""
+    return planes(spark, sf).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("plane", lambda e: 128.0 + 300.0 * e).alias("v"))
+
+
+def _boxes(face_ix: int = 0, **sides) -> Column:
+    return F.array(F.struct(F.lit(face_ix).alias("face_ix"), *[value.alias(name) for name, value in sides.items()])).alias("faces")
 
 
 def appearance_histograms(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    faces = planes(spark, sf).select(v.alias("image_id"), F.lit(0).alias("face_ix"), (v % 3).cast("int").alias("x1"), (v % 2).cast("int").alias("y1"),
-                                     (F.lit(7) + v % 2).cast("int").alias("x2"), F.lit(8).alias("y2"))
-    out = P.appearance_descriptor(_colour(spark, sf), faces)
-    return out.select("image_id", F.posexplode("descriptor").alias("slot", "share")).select("image_id", "slot", r6("share"))
+    vec = F.col("vec_id")
+    unit = lambda of: F.transform("v", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(of(v)))))
+    faces = _boxes(x1=(vec % 3).cast("int"), y1=(vec % 2).cast("int"), x2=(F.lit(7) + vec % 2).cast("int"), y2=F.lit(8))
+    pictures = _scaled(spark, sf).select(vec.alias("image_id"), "h", "w", unit(lambda v: v).alias("r"), unit(lambda v: 255.0 - v).alias("g"), unit(lambda v: v / 2.0).alias("b"), faces)
+    return P.appearance_planes(pictures).select("image_id", F.posexplode("descriptor").alias("slot", "share")).select("image_id", "slot", r6("share"))
 
 
 def content_region(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,45 +65,44 @@ def content_region(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def face_change_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    changes = _pairs(spark, sf).select("pair_id", "y", "x", "h", "w", F.abs(F.col("a") - F.col("b")).alias("change"))
-    faces = planes(spark, sf).select(v.alias("pair_id"), F.lit(0).alias("face_ix"), (v % 5 - 1).cast("double").alias("x1"),
-                                     (v % 4).cast("double").alias("y1"), (v % 5 + 3).cast("double").alias("x2"), (v % 4 + 2.5).alias("y2"))
-    return P.face_change_ratio(changes, faces).select("pair_id", "face_ix", r6("ratio"))
+    vec = F.col("vec_id")
+    faces = _boxes(x1=(vec % 5 - 1).cast("double"), y1=(vec % 4).cast("double"), x2=(vec % 5 + 3).cast("double"), y2=vec % 4 + 2.5)
+    change = F.transform("v", lambda v, i: F.abs(v - (v + 4.0 * ((i * (vec + 3)) % 5) * (vec % 4))))
+    pairs = _scaled(spark, sf).select(vec.alias("pair_id"), "h", "w", change.alias("change"), faces)
+    return P.face_change_ratio(pairs).select("pair_id", "face_ix", r6("ratio"))
 
 
 def _tiled(spark: SparkSession, sf: str, side: int) -> DataFrame:
-    """Each plane tiled to a larger square."""
-    grid = planes(spark, sf).select(F.col("vec_id").alias("image_id"), "plane", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("p"))
-    y, x = F.floor(F.col("p") / side).cast("int"), (F.col("p") % side).cast("int")
-    return grid.select("image_id", y.alias("y"), x.alias("x"), F.element_at("plane", (y % 8 * 8 + x % 8 + 1).cast("int")).alias("e"))
+    """Each plane tiled to a larger square ``e``; the pixel ``p`` lies in row ``p / side``."""
+    tile = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: F.get("plane", (F.floor(p / side) % 8 * 8 + p % side % 8).cast("int")))
+    return planes(spark, sf).select(F.col("vec_id").alias("image_id"), F.lit(side).alias("h"), F.lit(side).alias("w"), tile.alias("e"))
 
 
 def blending_features(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tiled(spark, sf, 36)
-    v = 128.0 + 200.0 * F.col("e") + F.col("y") + 0.5 * F.col("x")
-    pixels = t.select("image_id", F.lit(36).alias("h"), F.lit(36).alias("w"), "y", "x", v.alias("r"), (v * 0.9).alias("g"),
-                      (v * 0.8 + F.col("y") % 3).alias("b"))
-    out = P.blending_features(pixels)
-    return out.select("image_id", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("image_id", "reason")])
+    row = lambda p: F.floor(p / 36)
+    tone = lambda e, p: 128.0 + 200.0 * e + row(p) + 0.5 * (p % 36)
+    plane = lambda of: F.transform("e", of)
+    pictures = _tiled(spark, sf, 36).select("image_id", "h", "w", plane(tone).alias("r"), plane(lambda e, p: tone(e, p) * 0.9).alias("g"),
+                                            plane(lambda e, p: tone(e, p) * 0.8 + row(p) % 3).alias("b"))
+    out = P.blending_planes(pictures)
+    return out.select("image_id", *[F.round(c, 1 if c == "spectral_ratio" else 5).alias(c) for c in out.columns if c not in ("image_id", "reason")])
 
 
-def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tiled(spark, sf, 48)
-    far = F.pow(F.col("y") - 24, 2) + F.pow(F.col("x") - 24, 2)
-    return t.select("image_id", "y", "x", F.lit(48).alias("h"), F.lit(48).alias("w"), (F.col("e") * F.col("e") * 1000.0 / (1.0 + far)).alias("power"))
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    power = F.transform("e", lambda e, p: e * e * 1000.0 / (1.0 + F.pow(F.floor(p / 48) - 24, 2) + F.pow(p % 48 - 24, 2)))
+    return P.spectrum_profiles(_tiled(spark, sf, 48).select("image_id", "h", "w", power.alias("power")))
 
 
 def radial_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return P.radial_profile(_spectrum(spark, sf), 48).select("image_id", "radius", r6("level"))
+    return _profiles(spark, sf).select("image_id", F.posexplode("levels").alias("radius", "level")).select("image_id", "radius", r6("level"))
 
 
 def spectral_flatness(spark: SparkSession, sf: str) -> DataFrame:
-    return P.spectral_flatness(P.radial_profile(_spectrum(spark, sf), 48)).select("image_id", r6("score"))
+    return _profiles(spark, sf).select("image_id", F.round(P.spectral_flatness(F.col("levels")), 6).alias("score"))
 
 
 def high_band_share(spark: SparkSession, sf: str) -> DataFrame:
-    return P.high_band_share(_spectrum(spark, sf)).select("image_id", r6("share"))
+    return _profiles(spark, sf).select("image_id", r6("share"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -167,10 +169,17 @@ ORACLES = {
         AND a.y = b.y + 1),
       bl AS (SELECT image_id, (avg(d) FILTER (WHERE bd AND ax = 'x') + avg(d) FILTER (WHERE bd AND ax = 'y'))
         / (avg(d) FILTER (WHERE NOT bd AND ax = 'x') + avg(d) FILTER (WHERE NOT bd AND ax = 'y') + 1e-6) AS bi FROM steps GROUP BY 1)
+      , hann AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 17) AS f FROM range(18) t(i)),
+      wv AS (SELECT image_id, y, x, v * hy.f * hx.f AS v FROM inn JOIN hann hy ON hy.i = y JOIN hann hx ON hx.i = x),
+      fx AS (SELECT image_id, y, k, sum(v * cos(2 * pi() * x * k / 18)) AS re, -sum(v * sin(2 * pi() * x * k / 18)) AS im FROM wv, range(18) t(k) GROUP BY ALL),
+      fy AS (SELECT image_id, k, l, sum(re * cos(2 * pi() * y * l / 18) + im * sin(2 * pi() * y * l / 18)) AS re,
+        sum(im * cos(2 * pi() * y * l / 18) - re * sin(2 * pi() * y * l / 18)) AS im FROM fx, range(18) t(l) GROUP BY ALL),
+      sp AS (SELECT image_id, sum(CASE WHEN least(k, 18 - k) ** 2 + least(l, 18 - l) ** 2 > 40.5 THEN re * re + im * im ELSE 0 END) / (sum(re * re + im * im) + 1e-6) AS high
+        FROM fy GROUP BY 1)
       SELECT image_id, round(ni / no, 5) AS noise_ratio, round(si / so, 5) AS sharpness_ratio, round(bi / 1e-6, 5) AS blockiness_ratio,
-      0.0::DOUBLE AS spectral_ratio, round((vi - vo) / 255, 5) AS mean_difference, round((di + 1e-6) / (dd + 1e-6), 5) AS std_ratio,
+      round(high / 1e-6, 1) AS spectral_ratio, round((vi - vo) / 255, 5) AS mean_difference, round((di + 1e-6) / (dd + 1e-6), 5) AS std_ratio,
       round(ss / so, 5) AS seam_edge_ratio, round(ti - too, 5) AS saturation_difference, round(ni / 255, 5) AS interior_noise,
-      round(si / 255, 5) AS interior_sharpness, round(edges, 5) AS edge_density FROM st JOIN bl USING (image_id)""",
+      round(si / 255, 5) AS interior_sharpness, round(edges, 5) AS edge_density FROM st JOIN bl USING (image_id) JOIN sp USING (image_id)""",
     "radial_profile": f"WITH {_SPEC} SELECT image_id, radius, round(level, 6) AS level FROM prof",
     "spectral_flatness": f"""WITH {_SPEC} SELECT image_id, round(least(1.0, greatest(0.0, avg(level) FILTER (WHERE radius >= 14)
       / (abs(avg(level) FILTER (WHERE radius BETWEEN 4 AND 13)) + 1e-9))), 6) AS score FROM prof GROUP BY 1""",
