@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.hashes import hash_words
 from sightline.operators.blocks import block_join, stripes
+from sightline.operators.hash_index import nearest_by_radius
 from sightline.settings import BASIS_CONFIDENCE, EVIDENCE_FLOOR
 
 ASSET_FIELDS = ["asset_id", "user_id", "distribution_id", "watermark_code"]
@@ -55,6 +56,15 @@ def _distinct_hashes(df: DataFrame) -> DataFrame:
             .select("phash", F.length("phash").alias("digits"), hash_words(F.col("phash")).alias("words")))
 
 
+def _least(distance: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the ``k`` least entries of each row in order, ties by column, without sorting whole rows."""
+    width = distance.shape[1]
+    ranked = distance.astype(np.int64) * width + np.arange(width)
+    if k < width:
+        ranked = np.partition(ranked, k - 1, axis=1)[:, :k] if k > 1 else ranked.min(axis=1, keepdims=True)
+    return np.sort(ranked, axis=1) % width
+
+
 def _closest(k: int, below: int | None):
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("first_id", kind="stable")
@@ -64,7 +74,7 @@ def _closest(k: int, below: int | None):
         out = []
         for part in stripes(len(left)):
             distance = hash_distances(a[part], b)
-            lead = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            lead = _least(distance, k)
             rows = np.repeat(np.arange(len(lead)), lead.shape[1])
             flat = lead.ravel()
             d = distance[rows, flat]
@@ -82,15 +92,18 @@ def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int
     Nearest first, ties by the smallest asset id; a hash differing in every bit never matches.
     """
     id_type = dict(assets.dtypes)["asset_id"]
-    registered = (assets.where(F.col("phash").isNotNull()).groupBy("phash").agg(F.min("asset_id").alias("first_id"))
-                  .select("phash", "first_id", F.length("phash").alias("digits"),
+    registered = (assets.where(F.col("phash").isNotNull() & (F.length("phash") > 0)).groupBy("phash").agg(F.min("asset_id").alias("first_id"))
+                  .select("phash", F.col("phash").alias("asset_phash"), "first_id", F.length("phash").alias("digits"),
                           hash_words(F.col("phash")).alias("words")))
-    cells = block_join(_distinct_hashes(content), registered, ["phash"], ["phash"], _closest(k, below),
-                       f"phash string, asset_phash string, distance int, first_id {id_type}", same=["digits"],
-                       counted=(content, assets))
-    order = Window.partitionBy("phash").orderBy("distance", "first_id", "asset_phash")
-    top = cells.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)  # cut to k per task before the shuffle
-    return top.groupBy("phash").agg(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))).alias("near"))
+
+    def exhaustive(waiting: DataFrame, targets: DataFrame) -> DataFrame:
+        cells = block_join(waiting, targets, ["phash"], ["phash"], _closest(k, below),
+                           f"phash string, asset_phash string, distance int, first_id {id_type}", same=["digits"])
+        order = Window.partitionBy("phash").orderBy("distance", "first_id", "asset_phash")
+        top = cells.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)  # cut to k per task before the shuffle
+        return top.groupBy("phash").agg(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))).alias("near"))
+
+    return nearest_by_radius(_distinct_hashes(content), registered, ["phash"], ["asset_phash"], k, exhaustive, below=below)
 
 
 def similarity_of(distance: Column, phash: Column) -> Column:
@@ -190,14 +203,22 @@ def restore_sizes(content: DataFrame, assets: DataFrame, floor: float = EVIDENCE
     known = assets.where(F.col("width").isNotNull() & F.col("height").isNotNull())
     sizes = known.groupBy("phash", "width", "height").agg(F.min("asset_id").alias("first_id")).withColumns(
         {"digits": F.length("phash"), "words": hash_words(F.col("phash"))})
-    cells = block_join(
-        shapes, sizes, ["phash", "width", "height"], ["phash", "width", "height"], _sizes(floor, limit),
-        "phash string, width int, height int, asset_width int, asset_height int, distance int, "
-        f"first_id {id_type}", same=["digits"], counted=(content, assets))
-    best = cells.groupBy("phash", "width", "height", "asset_width", "asset_height").agg(
-        F.min(F.struct("distance", "first_id")).alias("m"))
-    order = Window.partitionBy("phash", "width", "height").orderBy("m")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("m")
+    key, label = ["phash", "width", "height"], ["asset_width", "asset_height"]
+
+    def exhaustive(waiting: DataFrame, targets: DataFrame) -> DataFrame:
+        cells = block_join(
+            waiting, targets, key, ["phash", "width", "height"], _sizes(floor, limit),
+            f"phash string, width int, height int, asset_width int, asset_height int, distance int, first_id {id_type}", same=["digits"])
+        best = cells.groupBy(*key, *label).agg(F.min(F.struct("distance", "first_id")).alias("m"))
+        order = Window.partitionBy(*key).orderBy("m", *label)
+        top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        return top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("m.distance", "m.first_id", *label))).alias("near"))
+
+    usable = lambda target: (is_restorable(F.col("width"), F.col("height"), target["asset_width"], target["asset_height"])
+                             & (similarity_of(F.col("distance"), F.col("phash")) >= floor))
+    sizes = sizes.select("phash", "width", "height", F.col("width").alias("asset_width"), F.col("height").alias("asset_height"), "first_id", "digits", "words")
+    near = nearest_by_radius(shapes, sizes, key, label, limit, exhaustive, usable=usable)
+    ranked = near.select(*key, F.posexplode("near").alias("at", "n")).select(*key, (F.col("at") + 1).alias("rank"), "n.asset_width", "n.asset_height")
     return content.select("content_id", "phash", "width", "height").join(ranked, ["phash", "width", "height"]).select(
         "content_id", "rank", "asset_width", "asset_height")
 
