@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 from sightline.llm.base import portions, raw
 from sightline.llm.words import byte_letters
 
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 LONG_WORD = 256  # bytes; longer pre-tokens are matched at every place first, to the same result
-WORDS_KEPT = 200_000  # merged pre-tokens a worker remembers; more cost time only
+WORDS_KEPT = 100_000  # merged pre-tokens a worker remembers; more cost time only
 NEVER = np.int64(1 << 40)
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 # Endings that the vocabulary's pattern parts from a word, by length.
 ENDINGS = (("s", "t", "m", "d"), ("re", "ve", "ll"))
 
 _vocabularies: dict[str, PairVocabulary] = {}
+_spellings: dict[str, list[bytes]] = {}
 
 
 class PairVocabulary:
@@ -69,7 +70,7 @@ class PairVocabulary:
         self._grow_trie(self._sound(left, right, made))
         self.kinds = np.zeros(0x110000, dtype=np.uint8)
         self.kinds[0x20] = WHITE
-        self.merged_words: dict[bytes, list[int]] = {}
+        self.merged_words: dict[bytes, bytes] = {}
 
     def _sound(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Which tokens come out whole when their own bytes are merged; only these are ever proposed."""
@@ -173,11 +174,11 @@ class PairVocabulary:
         wrong = self.first_meeting(keys >> 20, keys & ((1 << 20) - 1)) < NEVER
         return np.unique(whose[inside[wrong[which]]])
 
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging: the pair of least rank first, from the left among equals."""
+    def merged(self, word: bytes) -> bytes:
+        """Exact merging, as little-endian 64-bit ids: the pair of least rank first, from the left among equals."""
         ids = self.merged_words.get(word)
         if ids is None:
-            ids = self._merge([self.names[bytes([b])] for b in word])
+            ids = np.array(self._merge([self.names[bytes([b])] for b in word]), dtype="<i8").tobytes()
             if len(self.merged_words) < WORDS_KEPT and len(word) <= LONG_WORD:
                 self.merged_words[word] = ids
         return ids
@@ -316,13 +317,13 @@ class PairVocabulary:
         by_size = np.flatnonzero(np.isin(bounds[1:] - bounds[:-1], [len(s) for s in self.special]))
         for i in by_size.tolist():
             if (word := data[bounds[i]:bounds[i + 1]].tobytes()) in self.special:
-                repaired[i] = [self.special[word]]
+                repaired[i] = self.special[word].to_bytes(8, "little")
         if repaired:
             again = np.array(sorted(repaired), dtype=np.int64)
             keep = ~np.isin(whose, again)
             lists = [repaired[i] for i in again.tolist()]
-            whose = np.r_[whose[keep], np.repeat(again, [len(x) for x in lists])]
-            ids = np.r_[ids[keep], np.fromiter((i for x in lists for i in x), dtype=np.int64)]
+            whose = np.r_[whose[keep], np.repeat(again, [len(x) // 8 for x in lists])]
+            ids = np.r_[ids[keep], np.frombuffer(b"".join(lists), dtype="<i8")]
             order = np.argsort(whose, kind="stable")
             whose, ids = whose[order], ids[order]
         return ids, np.bincount(whose, minlength=len(bounds) - 1)
@@ -335,6 +336,18 @@ def pair_vocabulary(path: str) -> PairVocabulary:
     return _vocabularies[path]
 
 
+def spellings(path: str) -> list[bytes]:
+    """What each id of a vocabulary file spells; nothing for ids that it lacks."""
+    if path not in _spellings:
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        byte_of = {letter: byte for byte, letter in byte_letters().items()}
+        special = {t["id"]: t["content"].encode() for t in held["added_tokens"]}
+        spelled = {number: bytes(byte_of[c] for c in token) for token, number in held["model"]["vocab"].items() if number not in special} | special
+        _spellings[path] = [spelled.get(i, b"") for i in range(1 + max(spelled))]
+    return _spellings[path]
+
+
 def encode_content(media_content: DataFrame, vocabulary: str) -> DataFrame:
     """``(uri, n_tokens, ids ARRAY<INT>)`` of fetched ``media_content(uri, content)`` under the pair vocabulary in the file ``vocabulary``.
 
@@ -363,14 +376,14 @@ def decode_content(encoded: DataFrame, vocabulary: str) -> DataFrame:
     Rows stand each for itself, other columns are ignored, and an empty table gives an empty table.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pair_vocabulary(vocabulary)
-        spelling = pa.array([t or b"" for t in held.spelling], pa.binary())
+        spelling = pa.array(spellings(vocabulary), pa.binary())
+        lengths = pc.binary_length(spelling).to_numpy()
         for batch in batches:
             lists = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             known = (ids >= 0) & (ids < len(spelling))
             parts = spelling.take(pa.array(np.where(known, ids, 0)))
-            sizes = np.where(known, held.sizes[np.where(known, ids, 0)], 0)
+            sizes = np.where(known, lengths[np.where(known, ids, 0)], 0).astype(np.int64)
             if not known.all():
                 parts = pc.if_else(pa.array(known), parts, pa.scalar(b"", pa.binary()))
             text = b"".join(parts.to_pylist()) if parts.offset or not known.all() else parts.buffers()[2].to_pybytes()
