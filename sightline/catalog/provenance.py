@@ -59,6 +59,13 @@ def perceptual_matches(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("content_id", F.col("by_hash.asset_id").alias("asset_id"), r6("best_similarity"))
 
 
+def hash_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest registered hash of every file, always through the segment tables."""
+    files = copies(spark, sf)
+    near = A.closest_hashes(files, assets(spark, sf), cell_rows=0).select("phash", F.col("near")[0].alias("n"))
+    return files.select("content_id", "phash").join(near, "phash").select("content_id", F.col("n.first_id").alias("asset_id"), "n.distance")
+
+
 def closest_assets(spark: SparkSession, sf: str) -> DataFrame:
     return A.closest_assets(copies(spark, sf), assets(spark, sf)).select("content_id", "rank", "asset_id", r6("similarity"), "exact")
 
@@ -200,7 +207,7 @@ def enrollment_refusals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_duplicates, also_at, grid_hashes, fingerprint_comparison, perceptual_matches, closest_assets, source_attribution,
+    exact_duplicates, also_at, grid_hashes, fingerprint_comparison, perceptual_matches, hash_neighbours, closest_assets, source_attribution,
     restore_sizes, provenance_latest, provenance_lines, provenance_register, code_collision_report, code_checks, lineage_roots,
     lineage_chain, deep_lineage, provenance_log_files, identity_components, leakage_check, genuine_dedupe, clip_inventory, enrollment_refusals)}
 
@@ -230,6 +237,7 @@ ORACLES = {
       SELECT a.vec_id AS id, (a.vec_id % 4 = 0)::INT::DOUBLE AS sha256_match, bit_count(xor(a.bits, b.bits))::BIGINT AS phash_hamming,
       round(1.0 - bit_count(xor(a.bits, b.bits)) / 64, 6) AS phash_similarity, round(c, 6) AS semantic_similarity
       FROM h a JOIN h b ON a.vec_id = b.vec_id AND a.kind = 'copy' AND b.kind = 'asset' JOIN dots ON dots.vec_id = a.vec_id""",
+    "hash_neighbours": f"WITH {_BEST} SELECT content_id, asset_id, dist::INTEGER AS distance FROM best WHERE rk = 1",
     "perceptual_matches": f"""WITH {_BEST} SELECT content_id, asset_id, round(1.0 - dist / 64, 6) AS best_similarity
       FROM best WHERE rk = 1""",
     "closest_assets": f"""WITH {_BEST} SELECT content_id, rk AS rank, asset_id, round(1.0 - dist / 64, 6) AS similarity,

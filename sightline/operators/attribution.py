@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.hashes import hash_words
-from sightline.operators.blocks import block_join, stripes
+from sightline.operators.blocks import BLOCK_ROWS, block_join, stripes
 from sightline.operators.hash_index import nearest_by_radius
 from sightline.settings import BASIS_CONFIDENCE, EVIDENCE_FLOOR
 
@@ -86,7 +86,7 @@ def _closest(k: int, below: int | None):
     return reduce
 
 
-def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int | None = None) -> DataFrame:
+def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int | None = None, cell_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest registered hash values of each content hash: ``(phash, near array)``.
 
     Nearest first, ties by the smallest asset id; a hash differing in every bit never matches.
@@ -103,7 +103,7 @@ def closest_hashes(content: DataFrame, assets: DataFrame, k: int = 1, below: int
         top = cells.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)  # cut to k per task before the shuffle
         return top.groupBy("phash").agg(F.sort_array(F.collect_list(F.struct("distance", "first_id", "asset_phash"))).alias("near"))
 
-    return nearest_by_radius(_distinct_hashes(content), registered, ["phash"], ["asset_phash"], k, exhaustive, below=below)
+    return nearest_by_radius(_distinct_hashes(content), registered, ["phash"], ["asset_phash"], k, exhaustive, below=below, cell_rows=cell_rows)
 
 
 def similarity_of(distance: Column, phash: Column) -> Column:
@@ -195,7 +195,7 @@ def _sizes(floor: float, limit: int):
     return reduce
 
 
-def restore_sizes(content: DataFrame, assets: DataFrame, floor: float = EVIDENCE_FLOOR, limit: int = 3) -> DataFrame:
+def restore_sizes(content: DataFrame, assets: DataFrame, floor: float = EVIDENCE_FLOOR, limit: int = 3, cell_rows: int = BLOCK_ROWS) -> DataFrame:
     """Registered sizes worth retrying per copy, in order of resemblance, at most ``limit`` distinct ones."""
     id_type = dict(assets.dtypes)["asset_id"]
     shapes = content.select("phash", "width", "height").distinct().withColumns(
@@ -217,7 +217,7 @@ def restore_sizes(content: DataFrame, assets: DataFrame, floor: float = EVIDENCE
     usable = lambda target: (is_restorable(F.col("width"), F.col("height"), target["asset_width"], target["asset_height"])
                              & (similarity_of(F.col("distance"), F.col("phash")) >= floor))
     sizes = sizes.select("phash", "width", "height", F.col("width").alias("asset_width"), F.col("height").alias("asset_height"), "first_id", "digits", "words")
-    near = nearest_by_radius(shapes, sizes, key, label, limit, exhaustive, usable=usable)
+    near = nearest_by_radius(shapes, sizes, key, label, limit, exhaustive, usable=usable, cell_rows=cell_rows)
     ranked = near.select(*key, F.posexplode("near").alias("at", "n")).select(*key, (F.col("at") + 1).alias("rank"), "n.asset_width", "n.asset_height")
     return content.select("content_id", "phash", "width", "height").join(ranked, ["phash", "width", "height"]).select(
         "content_id", "rank", "asset_width", "asset_height")

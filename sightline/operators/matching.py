@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
 from sightline.functions.quality import effective_thresholds
+from sightline.operators.bounded import bounded_join
 from sightline.operators.blocks import BLOCK_ROWS, block_join, group_bounds, stripes, unit_matrix
 from sightline.session import cut_lineage
 from sightline.settings import DECISION_ORDER, EnrollmentRules, FaceThresholds
@@ -36,6 +37,13 @@ def build_templates(references: DataFrame, decimals: int | None = None) -> DataF
     return gathered.select("user_id", "image_count", F.size("s").alias("dim"), centroid.alias("centroid"))
 
 
+def greatest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` greatest entries of each row, greatest first, without sorting whole rows."""
+    if k < scores.shape[1]:
+        scores = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k:]
+    return -np.sort(-scores, axis=1)
+
+
 def _top_scores(k: int, exclude_self: bool):
     """Reducer: best ``k`` similarities per (probe, identity); identities that cannot win are left out.
 
@@ -81,11 +89,11 @@ def _top_scores(k: int, exclude_self: bool):
                 fixed = whole
             keep = np.isfinite(best) & ~fixed[None, :]
             contest = np.where(fixed[None, :] & np.isfinite(best), level, -np.inf)
-            lead = np.argsort(-contest, axis=1, kind="stable")[:, :2]
             rows = np.arange(len(contest))
-            for column in range(lead.shape[1]):
-                chosen = lead[:, column]
+            for _ in range(2):  # the first of the greatest, twice
+                chosen = contest.argmax(axis=1)
                 keep[rows, chosen] |= np.isfinite(contest[rows, chosen])
+                contest[rows, chosen] = -np.inf
             if "claim" in left.columns:
                 keep |= (left["claim"].to_numpy()[part][:, None] == users[None, :]) & np.isfinite(best)
             r, u = np.nonzero(keep)
@@ -98,12 +106,13 @@ def _top_scores(k: int, exclude_self: bool):
 
 
 def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "max", k: int = 3,
-                    exclude_self: bool = False) -> DataFrame:
+                    exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Scores of the leading identities of each probe: ``(probe_id, user_id, similarity, euclidean)``.
 
     Holds every identity that can be a probe's best or runner-up, and the one a probe's optional
     ``claim`` column names; others beaten twice inside their own block are left out. Ties keep the
-    smallest ``user_id``.
+    smallest ``user_id``. References beyond one block are cut into blocks by direction, and a probe meets only those
+    that may hold one of its leading two (:mod:`sightline.operators.bounded`).
     """
     id_type = dict(probes.dtypes)["probe_id"]
     user_type = dict(references.dtypes)["user_id"]
@@ -123,19 +132,19 @@ def identity_scores(probes: DataFrame, references: DataFrame, strategy: str = "m
         refs = refs.withColumn("ref_count", F.lit(1).cast("bigint"))
         spread = F.xxhash64("ref_ix")
     refs = refs.withColumn("spread", spread)
-    partial = block_join(
-        probes.select("probe_id", "vector", "dim", *[c for c in ("claim",) if c in probes.columns]), refs,
-        ["probe_id"], ["user_id", "spread"], _top_scores(depth, exclude_self),
-        f"probe_id {id_type}, user_id {user_type}, tops array<double>, distance double", same=["dim"])
-    if depth == 1:
-        merged = partial.groupBy("probe_id", "user_id").agg(
-            F.max(F.col("tops")[0]).alias("similarity"), F.min("distance").alias("euclidean"))
-        return merged
-    merged = partial.groupBy("probe_id", "user_id").agg(
-        F.flatten(F.collect_list("tops")).alias("tops"), F.min("distance").alias("euclidean"))
-    return merged.select("probe_id", "user_id",
-                         V.aggregate_similarity(F.col("tops"), "topk_mean", depth).alias("similarity"),
-                         "euclidean")
+    sides = probes.select("probe_id", "vector", "dim", *[c for c in ("claim",) if c in probes.columns]), refs
+    schema = f"probe_id {id_type}, user_id {user_type}, tops array<double>, distance double"
+
+    def merged(partial: DataFrame) -> DataFrame:
+        if depth == 1:
+            return partial.groupBy("probe_id", "user_id").agg(F.max(F.col("tops")[0]).alias("similarity"), F.min("distance").alias("euclidean"))
+        whole = partial.groupBy("probe_id", "user_id").agg(F.flatten(F.collect_list("tops")).alias("tops"), F.min("distance").alias("euclidean"))
+        return whole.select("probe_id", "user_id", V.aggregate_similarity(F.col("tops"), "topk_mean", depth).alias("similarity"), "euclidean")
+
+    count = references.count()
+    if count <= block_rows:
+        return merged(block_join(*sides, ["probe_id"], ["user_id", "spread"], _top_scores(depth, exclude_self), schema, same=["dim"]))
+    return merged(bounded_join(*sides, _top_scores(depth, exclude_self), schema, merged, block_rows, count))
 
 
 def _nearest_wanted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -325,15 +334,16 @@ def _own_and_rival(k: int):
             mine = own[part][:, None] == users[None, :]
             other = names[part][:, None] != refs[None, :]
             genuine = np.where(mine & other, scores, -np.inf)
-            tops = -np.sort(-genuine, axis=1)[:, :k]
+            tops = genuine.max(axis=1, keepdims=True) if k == 1 else greatest(genuine, k)
             rival = np.where(mine, -np.inf, scores)
             lead = rival.argmax(1)
             peak = rival[np.arange(len(rival)), lead]
-            for i, name in enumerate(names[part]):
-                fair = bool(np.isfinite(peak[i]))
-                out.append((name, tops[i][np.isfinite(tops[i])].tolist(),
-                            float(peak[i]) if fair else None, users[lead[i]] if fair else None))
-        return pd.DataFrame(out, columns=["probe_id", "tops", "impostor", "impostor_id"])
+            fair = np.isfinite(peak)
+            found = np.isfinite(tops)
+            lists = np.split(tops[found], np.cumsum(found.sum(axis=1))[:-1])
+            out.append(pd.DataFrame({"probe_id": names[part], "tops": lists, "impostor": pd.Series(peak, dtype="object").where(fair, None),
+                                     "impostor_id": pd.Series(users[lead], dtype="object").where(fair, None)}))
+        return pd.concat(out)
 
     return reduce
 
@@ -361,9 +371,12 @@ def _identity_pair_counts(decimals: int):
 
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best = _maxima(left, right)
-        barred = {(p, u) for p, users in zip(left["probe_id"], left["barred"]) for u in users}
-        if barred:
-            hit = np.fromiter(((p, u) in barred for p, u in zip(best["probe_id"], best["user_id"])), bool, len(best))
+        barred = left[["probe_id", "barred"]].explode("barred").dropna()
+        if len(barred):
+            probe_codes, user_codes = pd.Index(left["probe_id"].unique()), pd.Index(best["user_id"].unique())
+            code = lambda probes, users: probe_codes.get_indexer(probes) * (len(user_codes) + 1) + user_codes.get_indexer(users) + 1
+            known = barred[barred["barred"].isin(user_codes)]
+            hit = np.isin(code(best["probe_id"], best["user_id"]), code(known["probe_id"], known["barred"]))
             best = best[(best["own"] == best["user_id"]).to_numpy() | ~hit]
         about = left.set_index("probe_id").loc[best["probe_id"]]
         steps = np.rint((best["similarity"].to_numpy() - about["shift"].to_numpy()) * 10 ** decimals).astype(np.int64)
@@ -480,7 +493,7 @@ def _top_mean_partial(k: int):
         a, b = unit_matrix(left["vector"]), unit_matrix(right["vector"])
         names, out = left["probe_id"].to_numpy(), []
         for part in stripes(len(left)):
-            tops = -np.sort(-(a[part] @ b.T), axis=1)[:, :k]
+            tops = greatest(a[part] @ b.T, k)
             out.append(pd.DataFrame({"probe_id": names[part], "tops": list(tops)}))
         return pd.concat(out)
 

@@ -40,18 +40,18 @@ def plain_nearest(hashes, assets, k, below):
     return out
 
 
-@pytest.mark.parametrize("seed,k,below,bucket", [(1, 1, None, 512), (2, 3, None, 5), (3, 2, 12, 512), (4, 5, 3, 4)])
-def test_nearest(spark, monkeypatch, seed, k, below, bucket):
+@pytest.mark.parametrize("seed,k,below,bucket,rows", [(1, 1, None, 512, 0), (2, 3, None, 5, 0), (3, 2, 12, 512, 0), (4, 5, 3, 4, 0), (2, 3, None, 5, 4096)])
+def test_nearest(spark, monkeypatch, seed, k, below, bucket, rows):
     monkeypatch.setattr(hash_index, "BUCKET_ROWS", bucket)
     draw = random.Random(seed)
     assets = registry(draw, 300)
     hashes = copies_of(draw, assets, 13)
     content = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "content_id int, phash string")
     table = spark.createDataFrame(assets, "asset_id int, phash string")
-    got = {r.phash: [tuple(n) for n in r.near] for r in closest_hashes(content, table, k, below).collect()}
+    got = {r.phash: [tuple(n) for n in r.near] for r in closest_hashes(content, table, k, below, cell_rows=rows).collect()}
     assert got == plain_nearest(hashes, assets, k, below)
-    empty = closest_hashes(content, table.limit(0), k, below)
-    assert empty.collect() == [] and closest_hashes(content.limit(0), table, k, below).collect() == []
+    empty = closest_hashes(content, table.limit(0), k, below, cell_rows=rows)
+    assert empty.collect() == [] and closest_hashes(content.limit(0), table, k, below, cell_rows=rows).collect() == []
 
 
 def test_few_hashes_meet_everything(spark, monkeypatch):
@@ -62,7 +62,7 @@ def test_few_hashes_meet_everything(spark, monkeypatch):
     join = attribution.block_join
     monkeypatch.setattr(attribution, "block_join", lambda left, *rest, **more: reached.append(left.count()) or join(left, *rest, **more))
     content, table = spark.createDataFrame([(h,) for h in hashes], "phash string"), spark.createDataFrame(assets, "asset_id int, phash string")
-    got = {r.phash: [tuple(n) for n in r.near] for r in closest_hashes(content, table).collect()}
+    got = {r.phash: [tuple(n) for n in r.near] for r in closest_hashes(content, table, cell_rows=0).collect()}
     assert got == plain_nearest(hashes, assets, 1, None)
     assert sum(reached) <= 25  # only hashes that are no copies
 
@@ -73,7 +73,7 @@ def test_sizes(spark):
     known = [a[1] for a in assets]
     content = [(i, f"{flipped(draw, int(draw.choice(known), 16), draw.randint(0, 14)):016x}", draw.choice([50, 100, 150]), draw.choice([50, 100])) for i in range(120)]
     got = {}
-    rows = restore_sizes(spark.createDataFrame(content, "content_id int, phash string, width int, height int"), spark.createDataFrame(assets, "asset_id int, phash string, width int, height int"))
+    rows = restore_sizes(spark.createDataFrame(content, "content_id int, phash string, width int, height int"), spark.createDataFrame(assets, "asset_id int, phash string, width int, height int"), cell_rows=0)
     for r in rows.orderBy("content_id", "rank").collect():
         got.setdefault(r.content_id, []).append((r.asset_width, r.asset_height))
     want = {}
