@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog.identity import _LOO, _MAX
@@ -11,6 +11,7 @@ from sightline.operators import calibration as C
 from sightline.functions.vectors import logistic_score
 from sightline.operators import evaluation as E
 from sightline.operators import matching as M
+from sightline.operators.prefix import previous
 from sightline.session import cut_lineage, table
 
 r6 = lambda name: F.round(name, 6).alias(name)
@@ -243,7 +244,7 @@ def logistic_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers of even nations look for controls among the others, by segment and balance."""
+    """Customers of every third nation look for controls among the others, by segment and balance."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"), (F.col("c_acctbal") / 100).alias("attribute"), "c_nationkey")
     return E.match_controls(c.where("c_nationkey % 3 = 0"), c.where("c_nationkey % 3 > 0"), 1.0)
 
@@ -259,9 +260,8 @@ def matched_control_checks(spark: SparkSession, sf: str) -> DataFrame:
                         (F.count("*") - F.count_distinct("control")).alias("controls_twice"), F.count_if(~F.col("fallback") & ~close).alias("too_far"))
     settled = pairs.where("NOT fallback")
     free = c.join(settled.select(F.col("target").alias("id")).union(settled.select("control")), "id", "left_anti").withColumn("wants", F.col("c_nationkey") % 3 == 0)
-    line = Window.partitionBy("stratum").orderBy("attribute", "id")
-    left = free.withColumns({"before": F.lag("attribute").over(line), "other": F.lag("wants").over(line)}).where(
-        (F.col("wants") != F.col("other")) & (F.col("attribute") - F.col("before") <= 1.0)).agg(F.count("*").alias("still_matchable"))
+    laid = previous(free, ["stratum"], [F.col("attribute"), F.col("id")], ["attribute", "wants"], "before")
+    left = laid.where((F.col("wants") != F.col("before.wants")) & (F.col("attribute") - F.col("before.attribute") <= 1.0)).agg(F.count("*").alias("still_matchable"))
     return counts.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
 
 

@@ -14,7 +14,7 @@ from sightline.functions.hashes import bind
 from sightline.functions.intervals import clopper_pearson_upper
 from sightline.operators import calibration as C
 from sightline.operators.blocks import block_join, group_bounds, stripes, unit_matrix
-from sightline.operators.prefix import ordered_rank, running_sums
+from sightline.operators.prefix import ordered_rank, running_balance, running_sums
 from sightline.session import checked_broadcast, cut_lineage
 from sightline.settings import FaceThresholds, GateRules
 
@@ -457,57 +457,47 @@ def usable_detector(held: DataFrame, target_precision: float = 0.95, min_auc: fl
     return quality.join(limit, "condition").withColumn("one", F.lit(1)).join(F.broadcast(usable), "one", "left").drop("one")
 
 
-def match_controls(targets: DataFrame, pool: DataFrame, tolerance: float, seed: int = 0, max_rounds: int = 200) -> DataFrame:
+def match_controls(targets: DataFrame, pool: DataFrame, tolerance: float, seed: int = 0) -> DataFrame:
     """One unused control per target, of the same stratum and an attribute within ``tolerance``.
 
-    ``targets(id, stratum, attribute)``, ``pool`` alike. Instead of comparing all pairs of a stratum, both
-    are laid out by attribute and neighbours of opposite kind within tolerance are matched, round by
-    round, inside slices that shift between rounds. Two unmatched rows within tolerance always leave
-    two such neighbours somewhere between them, so the rounds end with a maximal matching. Targets left
-    without a partner get any unused control (``fallback``), while the pool lasts.
+    ``targets(id, stratum, attribute)``, ``pool`` alike, both with unique ``id``. The attribute is cut into slices as wide as the tolerance. Inside a
+    slice everything is within tolerance, so as many pairs as the rarer kind has rows are made by rank, and one kind is left.
+    Then every other border between two slices, and after them the rest, is gone along once: rows of the right slice queue up, rows of the left
+    one draw from the queue as long as they reach it. No round undoes what an earlier one settled, so after the three of them
+    no unmatched target is within tolerance of an unmatched control. All of it is ranks and running balances over ranges: a slice or a single
+    attribute with a third of all rows is work for many tasks. Targets left without a partner, also for want of a stratum or attribute, get any
+    unused control (``fallback``), while the pool lasts.
     """
     side = lambda df, kind: df.select("id", "stratum", F.col("attribute").cast("double").alias("attribute"), F.lit(kind).alias("kind"))
     free = cut_lineage(side(targets, 0).unionByName(side(pool, 1)).withColumn("mix", seeded(seed, F.col("id"))))
-    matched, idle = [], 0
-    # First pass: rank against rank inside narrow slices, salted so that a crowded slice is many tasks.
-    pair_of = ["stratum", F.floor(F.col("attribute") / tolerance).alias("slice")]
-    salted = free.select("*", pair_of[1], F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"))
-    place = Window.partitionBy("stratum", "slice", "salt", "kind").orderBy("mix", "id")
-    salted = salted.withColumn("place", F.row_number().over(place))
-    keys = ["stratum", "slice", "salt", "place"]
-    first = salted.where("kind = 0").select(*keys, F.col("id").alias("target")).join(
-        salted.where("kind = 1").select(*keys, F.col("id").alias("control")), keys).select("target", "control")
-    first = cut_lineage(first)
-    matched.append(first)
-    used = lambda m: m.select(F.col("target").alias("id"), F.lit(0).alias("kind")).unionByName(m.select(F.col("control").alias("id"), F.lit(1).alias("kind")))
-    free = cut_lineage(free.join(used(first), ["id", "kind"], "left_anti"))
-    width = 4.0 * tolerance
-    for round_no in range(max_rounds):
-        slice_of = F.floor(F.col("attribute") / width + F.lit(0.5 * (round_no % 2)))
-        line = Window.partitionBy("stratum", "slice").orderBy("attribute", "kind", "mix", "id")
-        laid = free.withColumn("slice", slice_of).withColumns({
-            "next": F.lead(F.struct("id", "kind", "attribute")).over(line)})
-        link = F.coalesce((F.col("next.kind") != F.col("kind")) & (F.col("next.attribute") - F.col("attribute") <= tolerance), F.lit(False))
-        laid = laid.withColumn("link", link.cast("int"))
-        # In a chain of linked neighbours every other link is taken.
-        upto = line.rowsBetween(Window.unboundedPreceding, -1)
-        laid = laid.withColumn("chain", F.coalesce(F.sum(1 - F.col("link")).over(upto), F.lit(0)))
-        inside = Window.partitionBy("stratum", "slice", "chain").orderBy("attribute", "kind", "mix", "id")
-        taken = laid.withColumn("nth", F.row_number().over(inside)).where((F.col("link") == 1) & (F.col("nth") % 2 == 1))
-        pairs = cut_lineage(taken.select(F.when(F.col("kind") == 0, F.col("id")).otherwise(F.col("next.id")).alias("target"),
-                                         F.when(F.col("kind") == 0, F.col("next.id")).otherwise(F.col("id")).alias("control")))
-        if pairs.isEmpty():
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
-        matched.append(pairs)
-        free = cut_lineage(free.join(used(pairs), ["id", "kind"], "left_anti"))
-    else:
-        raise RuntimeError("matching did not settle; raise max_rounds")
-    close = reduce(DataFrame.unionByName, matched).withColumn("fallback", F.lit(False))
-    rest = ordered_rank(free, ["kind"], [F.col("mix"), F.col("id")], "place")
-    loose = rest.where("kind = 0").select("place", F.col("id").alias("target")).join(
-        rest.where("kind = 1").select("place", F.col("id").alias("control")), "place").select("target", "control", F.lit(True).alias("fallback"))
-    return close.unionByName(loose)
+    near = free.where("stratum IS NOT NULL AND attribute IS NOT NULL AND NOT isnan(attribute)")
+    slice_of = F.col("attribute") if tolerance <= 0 else F.floor(F.col("attribute") / tolerance)
+    ranked = cut_lineage(ordered_rank(near.withColumn("slice", slice_of), ["stratum", "slice", "kind"], [F.col("mix"), F.col("id")], "place"))
+    cell = ["stratum", "slice", "place"]
+    at = lambda rows, kind, name, keys: rows.where(f"kind = {kind}").select(*keys, F.col("id").alias(name), F.col("attribute").alias(f"{name}_attribute"))
+    pairs = lambda left, right, keys: left.join(right, keys).where(F.abs(F.col("target_attribute") - F.col("control_attribute")) <= tolerance).select("target", "control")
+    matched = [cut_lineage(pairs(at(ranked, 0, "target", cell), at(ranked, 1, "control", cell), cell))]
+    without = lambda rows, done: rows.join(done.select(F.col("target").alias("id"), F.lit(0).alias("kind")).unionByName(
+        done.select(F.col("control").alias("id"), F.lit(1).alias("kind"))), ["id", "kind"], "left_anti")
+    rest = cut_lineage(without(ranked.drop("place"), matched[0]))
+    for parity in (0, 1) if tolerance > 0 else ():
+        border = F.floor((F.col("slice") + parity) / 2)
+        right = F.pmod(F.col("slice") + parity, F.lit(2)) == 1
+        # How far a row of the left slice reaches: the greatest number whose difference to it is still within tolerance.
+        end = F.col("attribute") + tolerance
+        reach = F.array_max(F.filter(F.array(end, end * (1 + 2.0 ** -52), end * (1 - 2.0 ** -52)), lambda v: v - F.col("attribute") <= tolerance))
+        laid = rest.withColumns({"border": border, "waits": right.cast("int"), "draws": (~right).cast("int"), "at": F.when(right, F.col("attribute")).otherwise(F.coalesce(reach, end))})
+        # A slice holds one kind by now. Borders between equal kinds have nothing to pair.
+        kinds = laid.groupBy("stratum", "border").agg(F.count_distinct("kind").alias("kinds")).where("kinds = 2").select("stratum", "border")
+        queue = running_balance(laid.join(kinds, ["stratum", "border"]), ["stratum", "border"], [F.col("at"), F.col("draws"), F.col("mix"), F.col("id")], "waits", "draws")
+        turn = F.when(F.col("waits") == 1, F.col("gains")).when(F.col("losses") - F.col("gains") <= F.col("missed"), F.col("losses") - F.col("missed"))
+        queue = cut_lineage(queue.withColumn("turn", turn).where("turn IS NOT NULL").select("stratum", "border", "turn", "waits", "id", "kind", "attribute"))
+        key = ["stratum", "border", "turn"]
+        met = [pairs(at(queue.where(f"waits = {1 - first}"), 0, "target", key), at(queue.where(f"waits = {first}"), 1, "control", key), key) for first in (0, 1)]
+        matched.append(cut_lineage(met[0].unionByName(met[1])))
+        rest = cut_lineage(without(rest, matched[-1]))
+    close = reduce(DataFrame.unionByName, matched)
+    loose = ordered_rank(without(free, close), ["kind"], [F.col("mix"), F.col("id")], "place")
+    late = loose.where("kind = 0").select("place", F.col("id").alias("target")).join(
+        loose.where("kind = 1").select("place", F.col("id").alias("control")), "place").select("target", "control", F.lit(True).alias("fallback"))
+    return close.withColumn("fallback", F.lit(False)).unionByName(late)

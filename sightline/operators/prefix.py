@@ -65,3 +65,35 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
             .join(offsets, [*keys, "__bucket"])
             .withColumn(name, (F.col(name) + F.col("__offset")).cast("bigint"))
             .drop("__bucket", "__offset"))
+
+
+def running_balance(df: DataFrame, keys: Sequence[str], order: Sequence[Column], gain: str, loss: str) -> DataFrame:
+    """Add, per ``keys`` group and in ``order``, what a queue of gains looks like to the losses that draw on it.
+
+    ``gain`` and ``loss`` are whole numbers per row. Adds the running ``gains`` and ``losses`` (both inclusive), and ``missed``: how many
+    losses before this row found nothing left. A range is folded to three numbers (gains, losses, greatest excess of losses), which
+    combine associatively, so a hot group is cut into ranges as for sums. ``order`` must be total inside a group.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__range", F.spark_partition_id()))
+    local = Window.partitionBy(*keys, "__range").orderBy(*order)
+    upto, before = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns({"gains": F.sum(gain).over(upto), "losses": F.sum(loss).over(upto)})
+    inside = inside.withColumn("__peak", F.max(F.col("losses") - F.col("gains")).over(before))
+    per_range = inside.groupBy(*keys, "__range").agg(F.sum(gain).alias("g"), F.sum(loss).alias("l"), F.max(F.col("losses") - F.col("gains")).alias("p"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.withColumns({"__g": F.coalesce(F.sum("g").over(earlier), F.lit(0)), "__l": F.coalesce(F.sum("l").over(earlier), F.lit(0))})
+    starts = starts.withColumn("__p", F.max(F.col("p") + F.col("__l") - F.col("__g")).over(earlier)).select(*keys, "__range", "__g", "__l", "__p")
+    out = inside.join(starts, [*keys, "__range"])
+    missed = F.greatest(F.lit(0), F.col("__p"), F.col("__peak") + F.col("__l") - F.col("__g"))
+    return out.withColumns({"gains": (F.col("gains") + F.col("__g")).cast("bigint"), "losses": (F.col("losses") + F.col("__l")).cast("bigint"),
+                            "missed": missed.cast("bigint")}).drop("__range", "__peak", "__g", "__l", "__p")
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], name: str) -> DataFrame:
+    """Add the struct ``name`` of the row before each row of its group; ranges hand on one row each."""
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__range", F.spark_partition_id()))
+    local = Window.partitionBy(*keys, "__range").orderBy(*order)
+    inside = ranged.withColumns({name: F.lag(F.struct(*columns)).over(local), "__back": F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*[c.desc() for c in order]))})
+    last = inside.where("__back = 1").select(*keys, "__range", F.struct(*columns).alias("__last"))
+    carried = last.select(*keys, "__range", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__range")).alias("__carried"))
+    return inside.join(carried, [*keys, "__range"]).withColumn(name, F.coalesce(name, "__carried")).drop("__range", "__back", "__carried")

@@ -481,18 +481,54 @@ def test_gate_reasons(spark):
     assert got["good"]["passes"] and len(got["loose"]["reasons"]) == 2 and len(got["blind"]["reasons"]) == 2
 
 
-def test_controls_are_one_to_one_and_maximal(spark):
-    rng = random.Random(9)
-    make = lambda n, base: [(base + i, f"s{rng.randrange(2)}", rng.random() * 60) for i in range(n)]
-    targets, pool = make(60, 0), make(90, 1000)
+@pytest.mark.parametrize("seed,n,m,span,grid,tolerance", [(9, 60, 90, 60, 0, 2.0), (1, 80, 40, 9, 4, 1.0), (2, 50, 70, 400, 2, 3.5), (3, 60, 60, 5, 1, 0.0), (4, 120, 100, 8, 10, 0.3)])
+def test_controls_are_one_to_one_and_maximal(spark, seed, n, m, span, grid, tolerance):
+    rng = random.Random(seed)
+    value = lambda: 7.0 if rng.random() < 0.3 else (rng.random() * 2 - 1) * span if not grid else round((rng.random() * 2 - 1) * span * grid) / grid
+    make = lambda count, base: [(base + i, f"s{rng.randrange(2)}", value()) for i in range(count)]
+    targets, pool = make(n, 0) + [(900, None, 1.0), (901, "s0", None)], make(m, 1000) + [(1900, None, 1.0), (1901, "s0", None)]
     schema = "id long, stratum string, attribute double"
-    got = E.match_controls(spark.createDataFrame(targets, schema), spark.createDataFrame(pool, schema), 2.0).collect()
+    got = E.match_controls(spark.createDataFrame(targets, schema), spark.createDataFrame(pool, schema), tolerance).collect()
     t, p = {x[0]: x for x in targets}, {x[0]: x for x in pool}
     close = [r for r in got if not r["fallback"]]
-    assert len({r["target"] for r in got}) == len(got) == len({r["control"] for r in got}) == 60
-    assert all(t[r["target"]][1] == p[r["control"]][1] and abs(t[r["target"]][2] - p[r["control"]][2]) <= 2.0 for r in close)
-    left_t, left_p = set(t) - {r["target"] for r in close}, set(p) - {r["control"] for r in close}
-    assert not [1 for a in left_t for b in left_p if t[a][1] == p[b][1] and abs(t[a][2] - p[b][2]) <= 2.0]
+    assert len({r["target"] for r in got}) == len(got) == len({r["control"] for r in got}) == min(n, m) + 2
+    assert all(t[r["target"]][1] == p[r["control"]][1] and abs(t[r["target"]][2] - p[r["control"]][2]) <= tolerance for r in close)
+    left_t, left_p = set(t) - {r["target"] for r in close} - {900, 901}, set(p) - {r["control"] for r in close} - {1900, 1901}
+    assert not [1 for a in left_t for b in left_p if t[a][1] == p[b][1] and abs(t[a][2] - p[b][2]) <= tolerance]
+
+
+def test_a_crowded_attribute_is_many_tasks(spark):
+    rows = spark.range(20000).select(F.col("id"), F.lit("s").alias("stratum"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 997 / 10.0).alias("attribute"))
+    cut = []
+    keep = prefix.cut_lineage
+    prefix.cut_lineage = lambda df: cut.append(keep(df)) or cut[-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these ranges are small enough to be merged
+    try:
+        pairs = E.match_controls(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 1.0)
+        assert pairs.count() == 10000 and len(cut) == 4  # ranks, two borders, fallback: whatever the data
+    finally:
+        prefix.cut_lineage = keep
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut[0].groupBy("__range").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 8000
+
+
+def test_running_balance_and_previous(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b"]), i, int(g := rng.random() < 0.5), int(not g)) for i in range(300)]
+    got = {r["i"]: r for r in prefix.running_balance(spark.createDataFrame(rows, "k string, i int, g int, l int"), ["k"], [F.col("i")], "g", "l").collect()}
+    back = {r["i"]: r["before"] for r in prefix.previous(spark.createDataFrame(rows, "k string, i int, g int, l int"), ["k"], [F.col("i")], ["i"], "before").collect()}
+    for key in "ab":
+        gains = losses = missed = 0
+        last = None
+        for _, i, g, l in (r for r in rows if r[0] == key):
+            want = missed
+            gains, losses = gains + g, losses + l
+            if l and losses - gains > missed:
+                missed += 1
+            assert (got[i]["gains"], got[i]["losses"], got[i]["missed"]) == (gains, losses, want)
+            assert (back[i] and back[i]["i"]) == last
+            last = i
 
 
 def test_logistic_separates(spark):
