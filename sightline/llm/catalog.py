@@ -36,15 +36,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Documents that no model learns from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Documents that no model learns from; one without an identifier is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     model = learn_languages(rows.where(~held_out()).select(F.col("text").alias("content"), F.col("lang").alias("language")))
     return predict_languages(documents(spark, sf_dir), model).withColumnRenamed("uri", "doc_id").select(
-        "doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score")
+        "doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "n_grams", "fit")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

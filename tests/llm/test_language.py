@@ -48,3 +48,45 @@ def test_odd_rows(spark, monkeypatch):
     assert predict_languages(odd.limit(0), model).count() == 0
     unlearned = learn_languages(frame.limit(0))
     assert {r.language for r in predict_languages(odd, unlearned).collect()} == {"und"}
+
+
+def test_parts_have_the_n_grams_of_the_whole(monkeypatch):
+    texts = ["".join(np.random.default_rng(i).choice(list("abcé ΣİΑ\n9 Xy ßж"), 400)) for i in range(12)] + [" ", "x" * 300, "ab " * 200, None, ""]
+    whole = [np.sort(n_grams([t])[1]).tolist() for t in texts if t]
+    for size in (7, 50, 131):
+        monkeypatch.setattr(language, "CHARACTERS_AT_ONCE", size)
+        found: dict[int, list[int]] = {}
+        parts = 0
+        for at, some in language.chunks(texts):
+            owner, place = n_grams(some)
+            parts += len(some)
+            for i, p in zip(at[owner].tolist(), place.tolist()):
+                found.setdefault(i, []).append(p)
+        assert [sorted(found.get(i, [])) for i, t in enumerate(texts) if t] == whole
+        assert parts > len(texts)
+
+
+def test_many_languages(spark, monkeypatch):
+    draw = np.random.default_rng(1)
+    rows = [(i, "".join(draw.choice(list("abcdefgh"), 40, p=draw.dirichlet([0.3] * 8))), f"l{i % 300:03d}") for i in range(600)]
+    table = spark.createDataFrame([*rows, (None, "abc", None), (1000, "12", "l001")], "uri int, content string, language string")
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 300)
+    one = learn_languages(table, buckets=512)
+    want = {r.uri: (r.language, r.score, r.fit) for r in predict_languages(table, one).collect()}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 70)
+    many = learn_languages(table, buckets=512)
+    assert len(many.languages) == len(one.languages) == 300 and len(list(many.blocks())) == 5
+    got = {r.uri: (r.language, r.score, r.fit) for r in predict_languages(table, many).collect()}
+    assert {u: g[0] for u, g in got.items()} == {u: w[0] for u, w in want.items()}
+    assert all(np.allclose([got[u][1], got[u][2] or 0], [want[u][1], want[u][2] or 0]) for u in want)
+
+
+def test_fit_tells_unlearned_languages(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("uri"), F.col("text").alias("content"), F.col("lang").alias("language"))
+    model = learn_languages(rows.where("language <> 'de'"))
+    got = predict_languages(rows, model).withColumnRenamed("language", "said").join(rows.select("uri", "language"), "uri").where("n_grams > 300").toPandas()
+    usual = got.fit >= -(1 + 6 / np.sqrt(got.n_grams))
+    assert usual[got.language != "de"].mean() > 0.99 and usual[got.language == "de"].mean() < 0.05
+    noise = spark.createDataFrame([(1, "".join(np.random.default_rng(2).choice(list("zqxjkvwpfыжщ "), 3000)))], "uri int, content string")
+    odd = predict_languages(noise, model).first()
+    assert odd.score > 0.9 and odd.fit < -(1 + 6 / np.sqrt(odd.n_grams))

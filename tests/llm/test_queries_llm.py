@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from oracle import compare, connect
 from test_copies import plain_fingerprint, plain_group
 from test_passages import plain
@@ -21,7 +22,9 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {"op1": {"doc_id", "held_out", "lang_pred", "score"}, "op2": {"vec_id", "n_links", "component_id", "kept"}, "op3": {"doc_id", "fingerprint", "component_id"},
            "op5": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op6": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
            "op7": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op9": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
-           "op10": {"doc_id", "n_words", "n_removed", "kept_sha256"}}
+           "op10": {"doc_id", "n_words", "n_removed", "kept_sha256"}, "op11": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+           "op12": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+           "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"}}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -32,8 +35,8 @@ def test_query(spark, name):
         assert compare(got, connect(SF).sql(ORACLES[name]).df()) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def odd_documents(spark):
@@ -115,6 +118,21 @@ def test_repeated_keepers_and_copies_without_identifier(spark, tmp_path):
     assert docs.agg({"length": "sum"}).first()[0] == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in want)
 
 
+def test_language_stage_decides(spark):
+    """Noise and a language that nobody labelled go; every labelled document stays; without labels all stay."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'fr'").select(*corpus_pipeline.COLUMNS)
+    foreign = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr' AND n_chars > 500").select((F.col("doc_id") + 10000).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    draw = np.random.default_rng(3)
+    noise = [(20000 + i, "".join(draw.choice(list("zqxjkvwpfыжщ  "), 2000)), None, "s", 2000) for i in range(5)]
+    docs = known.unionByName(foreign).unionByName(spark.createDataFrame(noise, known.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    want = {r.doc_id for r in known.collect() if any(c.isalpha() for c in r.text or "")}
+    assert want <= kept and not {i for i in kept if i >= 20000}
+    assert len({i for i in kept if 10000 <= i < 20000}) <= 0.05 * foreign.count()
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.known_language(spark, unlabelled, SF).count() == docs.count()
+
+
 def test_stages_of_nothing(spark):
     docs = odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
