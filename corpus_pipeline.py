@@ -22,6 +22,7 @@ from sightline.session import ship_package, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
+LEAST_FIT, FEW_GRAMS = 1.0, 6.0  # in standard deviations of a language; the second is divided by the root of the number of n-grams
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -52,14 +53,19 @@ def one_each(docs: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, and those that no learned language claims, go.
+    """Documents in a language: those without a letter go, and those that are unusual in the language that claims them best.
 
-    The model learns from the stage's own labelled documents; a label is never an input of a decision.
+    The model learns from the stage's own labelled documents; a label is never an input of a decision. Unusual is a mean log-probability an n-gram
+    more than one standard deviation of that language below its average, with an allowance for short texts. Where nothing could be
+    learned, every document stays.
     """
     model = learn_languages(docs.select(F.col("text").alias("content"), F.col("lang").alias("language")))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     # The whole row travels as its own name, so nothing has to be joined back.
     answers = predict_languages(docs.select(F.struct(*COLUMNS).alias("uri"), F.col("text").alias("content")), model)
-    return answers.where((F.col("language") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("uri.*")
+    usual = F.col("fit") >= -(LEAST_FIT + FEW_GRAMS / F.sqrt("n_grams"))
+    return answers.where((F.col("language") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & usual).select("uri.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
