@@ -7,6 +7,8 @@ exact.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,35 +64,39 @@ def agreement(tally: DataFrame, keys: list[str]) -> DataFrame:
 def phase_tally(blocks: DataFrame, schedule: DataFrame) -> DataFrame:
     """Tallies under all 64 tile alignments, one row per (image, phase, bit), also where no block voted (ratio 0.5).
 
-    Blocks fold to their 64 cells once, and an image's cells (at most 64 per carrier) become one map. An alignment reads
-    a slot from the cell that lies under it, so all 4,096 rows of an image come out of its one row without a shuffle.
+    Blocks fold to their 64 cells once, and an image's cells (at most 64 per carrier) become two dense arrays. Which cell lies under a bit's
+    slot is the schedule's alone: a table of 4,096 places, broadcast as one row. It is gone along for each image's one row, so
+    nothing is shuffled for the 4,096 rows of an image; only bits that several slots carry are added up.
     """
     cells = blocks.groupBy("image_id", _slot(F.col("row"), F.col("col")).alias("cell"), "carrier").agg(
         F.count_if(F.col("reading") > 0).alias("ones"), F.count("*").alias("n"))
     place = (F.col("carrier") * SLOTS + F.col("cell")).cast("int")
     held = cells.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), F.struct("ones", "n").alias("vote")))).alias("votes"))
-    # The layout is one row: for every bit its slots, with the carrier each is read on.
-    slots = F.collect_list(F.struct(F.col("bit").cast("int").alias("bit"), F.col("slot").cast("int").alias("slot"), F.col("carrier").cast("int").alias("carrier")))
-    layout = schedule.groupBy().agg(slots.alias("slots"), ((F.max("carrier") + 1) * SLOTS).cast("int").alias("width")).select(
-        F.lit(1).alias("one"), "width", F.transform(F.sequence(F.lit(0), F.lit(MESSAGE_BITS - 1)), lambda b: F.filter("slots", lambda s: s["bit"] == b)).alias("layout"))
-    read = held.withColumn("one", F.lit(1)).join(F.broadcast(layout), "one").select(
-        "image_id", "layout", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.try_element_at("votes", i)).alias("votes"))
+    read = held.withColumn("one", F.lit(1)).join(F.broadcast(_phase_places(schedule)), "one")
+    zero = F.lit(0).cast("bigint")
+    dense = lambda field: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("votes", i)[field], zero)).alias(field)
     # An image's row is small but grows to thousands; AQE, which sees the small rows, would leave them to one task.
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = read.repartition(tasks, "image_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("phase"))
+    read = read.select("image_id", "places", dense("ones"), dense("n")).repartition(tasks, "image_id")
+    single = F.transform("places", lambda p: F.struct(p["phase"].alias("phase"), p["bit"].alias("bit"), F.get("ones", p["place"]).alias("ones"), F.get("n", p["place"]).alias("n")))
+    rows = read.select("image_id", F.inline(single))
+    if schedule.groupBy("bit").count().where("count > 1").limit(1).count():
+        rows = rows.groupBy("image_id", "phase", "bit").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    votes, n = F.coalesce("ones", zero), F.coalesce("n", zero)
+    return rows.select("image_id", "phase", "bit", votes.alias("votes"), n.alias("n"), F.when(n > 0, votes / n).otherwise(0.5).alias("ratio"))
 
-    def counted(slot: Column) -> Column:
-        row, col = F.col("phase").bitwiseAND(F.lit(~(TILE - 1))), F.col("phase") % TILE
-        under = (slot["slot"].bitwiseAND(F.lit(~(TILE - 1))) + SLOTS - row) % SLOTS + (slot["slot"] % TILE + TILE - col) % TILE
-        return F.get("votes", slot["carrier"] * SLOTS + under)
 
-    zero = F.lit(0).cast("bigint")
-    many = lambda found, field: F.aggregate(found, zero, lambda acc, v: acc + F.coalesce(v[field], zero))
-    total = lambda found, field: F.when(F.size(found) <= 1, F.coalesce(F.get(found, 0)[field], zero)).otherwise(many(found, field))  # mostly one slot a bit
-    bits = F.transform("layout", lambda slots: F.transform(slots, counted))
-    rows = read.select("image_id", "phase", F.posexplode(bits).alias("bit", "found"))
-    out = rows.select("image_id", "phase", "bit", total(F.col("found"), "ones").alias("votes"), total(F.col("found"), "n").alias("n"))
-    return out.withColumn("ratio", F.when(F.col("n") > 0, F.col("votes") / F.col("n")).otherwise(0.5))
+def _phase_places(schedule: DataFrame) -> DataFrame:
+    """One row ``(one, width, places ARRAY<STRUCT<phase, bit, place>>)``: the cell, on its carrier, under every slot in every alignment.
+
+    A bit without a slot keeps a row whose place is NULL. A schedule has 64 slots, so this is a few thousand entries.
+    """
+    bits = schedule.sparkSession.range(MESSAGE_BITS).select(F.col("id").cast("int").alias("bit")).join(F.broadcast(schedule.select("bit", "slot", "carrier")), "bit", "left")
+    every = bits.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    row, col = F.floor(F.col("phase") / TILE), F.col("phase") % TILE
+    under = F.pmod(F.floor(F.col("slot") / TILE) - row, F.lit(TILE)) * TILE + F.pmod(F.col("slot") % TILE - col, F.lit(TILE))
+    entry = F.struct("phase", "bit", (F.col("carrier") * SLOTS + under).cast("int").alias("place"))
+    return every.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("places"), ((F.coalesce(F.max("carrier"), F.lit(0)) + 1) * SLOTS).cast("int").alias("width")).withColumn("one", F.lit(1))
 
 
 def rank_grids(candidates: DataFrame, schedule: DataFrame, keep: int = 4) -> DataFrame:
@@ -120,30 +126,40 @@ def message_words(tally: DataFrame, keys: list[str]) -> DataFrame:
 def chase_decode(tally: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Code of each reading whose checksum holds, flipping as few of its ``width`` weakest bits as needed.
 
-    Readings that are valid as they are need no search; the others try all 2^width - 1 flip patterns
-    as narrow rows of two words. Equal flip counts take the first pattern.
+    CRC-32 is affine over bits: flipping a bit changes the syndrome, the checksum of the code word against the read one, by a word of
+    its own, whatever the others are. So the flips wanted are those whose words add up to the syndrome. The weak bits are parted in two
+    halves; a half has at most 2^(width / 2) sums, and a sum of the lower half is looked up among those of the upper half. No pattern becomes a row.
+    Equal flip counts take the first pattern (weakest bit lowest). A reading that is valid as it is flips nothing.
     """
     words = message_words(tally, keys)
-    valid = crc_of_word(F.col("code_word")) == F.col("check_word")
-    plain = words.where(valid).select(*keys, "code_word", F.lit(0).alias("flips"))
+    effects = ", ".join(f"{_flip_effect(bit)}L" for bit in range(MESSAGE_BITS))
+    syndrome = crc_of_word(F.col("code_word")).bitwiseXOR(F.col("check_word"))
+    low = width // 2
+    # (sum of effects, flipped bits as a pattern) of every subset of some weak bits, empty one first.
+    sums = lambda first, count: f"""aggregate(sequence({first}, {first + count - 1}), array(struct(0L AS sum, 0L AS pattern)), (held, i) -> concat(held,
+        transform(held, s -> struct(s.sum ^ get(array({effects}), get(weak, i)) AS sum, s.pattern | shiftleft(1L, i) AS pattern))))""" if count else "array(struct(0L AS sum, 0L AS pattern))"
+    # Of subsets with one sum, the one with fewer flips, then the lower pattern, is the one that an answer can hold.
+    best = "map_from_entries(transform(aggregate(array_sort(transform(upper, s -> struct(s.sum AS sum, bit_count(s.pattern) AS flips, s.pattern AS pattern))), CAST(array() AS ARRAY<STRUCT<sum: BIGINT, flips: INT, pattern: BIGINT>>), "\
+           "(held, s) -> IF(size(held) > 0 AND element_at(held, -1).sum = s.sum, held, concat(held, array(s)))), s -> struct(s.sum, s)))"
+    found = "array_min(filter(transform(lower, s -> struct(bit_count(s.pattern) + try_element_at(best, syndrome ^ s.sum).flips AS flips, s.pattern | try_element_at(best, syndrome ^ s.sum).pattern AS pattern)), a -> a.flips IS NOT NULL))"
+    decoded = words.withColumn("syndrome", syndrome)
+    plain = decoded.where("syndrome = 0").select(*keys, "code_word", F.lit(0).alias("flips"))
     if width > 0:
-        bit = lambda i: F.element_at("weak", i + 1)
-        patterns = words.where(~valid).withColumn("pattern", F.explode(F.sequence(F.lit(1), F.lit((1 << width) - 1))))
-        zero = F.lit(0).cast("bigint")
-        def mask(low: int) -> Column:
-            total = zero
-            for i in range(width):
-                inside = (bit(i) >= low) & (bit(i) < low + 32) & (F.getbit("pattern", F.lit(i)) == 1)
-                total = total + F.when(inside, F.call_function("shiftleft", F.lit(1).cast("bigint"), (low + 31 - bit(i)).cast("int"))).otherwise(zero)
-            return total
-        tried = patterns.select(*keys, F.col("code_word").bitwiseXOR(mask(0)).alias("code_word"),
-                                F.col("check_word").bitwiseXOR(mask(32)).alias("check_word"), F.bit_count("pattern").alias("flips"), "pattern")
-        found = tried.where(crc_of_word(F.col("code_word")) == F.col("check_word")).groupBy(*keys).agg(
-            F.min(F.struct("flips", "pattern", "code_word")).alias("b"))
-        plain = plain.unionByName(found.select(*keys, F.col("b.code_word").alias("code_word"), F.col("b.flips").cast("int").alias("flips")))
+        tried = decoded.where("syndrome <> 0").withColumns({"lower": F.expr(sums(0, low)), "upper": F.expr(sums(low, width - low))})
+        tried = tried.withColumn("best", F.expr(best)).withColumn("a", F.expr(found)).where("a IS NOT NULL")
+        # Bits from 32 on belong to the checksum word; the others are flipped in the code word.
+        flipped = F.expr(f"aggregate(sequence(0, {width - 1}), code_word, (w, i) -> IF(getbit(a.pattern, i) = 1 AND get(weak, i) < 32, w ^ shiftleft(1L, 31 - get(weak, i)), w))")
+        plain = plain.unionByName(tried.select(*keys, flipped.alias("code_word"), F.col("a.flips").cast("int").alias("flips")))
     return plain.select(*keys, word_hex(F.col("code_word")).alias("code"), "flips")
 
 
+def _flip_effect(bit: int) -> int:
+    """How a flip of a message bit changes the syndrome: a bit of the checksum word itself, or CRC-32's answer to one bit of the code word."""
+    if bit >= 32:
+        return 1 << (63 - bit)
+    return zlib.crc32((1 << (31 - bit)).to_bytes(4, "big")) ^ zlib.crc32(bytes(4))
+
+
 def detect_marks(tally: DataFrame, width: int = 12) -> DataFrame:
     """Detection per image from its own grid: code, flips, confidence / (1 + flips)."""
     sure = agreement(tally, ["image_id"])

@@ -556,3 +556,29 @@ def test_every_strategy_keeps_claims_and_distance(spark, strategy):
         want = min(np.linalg.norm(np.array(v) - np.array(asked[p][1])) for user, _, v, _ in refs if user == u)
         assert distance == pytest.approx(want)
     assert len(got) <= 20 * 3
+
+
+@pytest.mark.parametrize("width", [1, 5, 8])
+def test_syndromes_find_what_all_patterns_find(spark, width):
+    rng = random.Random(width)
+    rows, want = [], {}
+    for i in range(60):
+        code = rng.getrandbits(32)
+        word = code << 32 | zlib.crc32(code.to_bytes(4, "big"))
+        ratios = [0.5 + (0.1 + rng.randrange(30) / 100) * (1 if word >> (63 - b) & 1 else -1) for b in range(64)]
+        for b in rng.sample(range(64), rng.randrange(0, 5)):
+            ratios[b] = 1.0 - (0.5 + (ratios[b] - 0.5) / 10)
+        rows += [(i, b, r) for b, r in enumerate(ratios)]
+        weak = sorted(range(64), key=lambda b: (abs(ratios[b] - 0.5), b))[:width]
+        read = sum(1 << (63 - b) for b, r in enumerate(ratios) if r > 0.5)
+        for pattern in sorted(range(1 << width), key=lambda p: (p.bit_count(), p)):
+            tried = read
+            for k, b in enumerate(weak):
+                tried ^= (pattern >> k & 1) << (63 - b)
+            if zlib.crc32((tried >> 32).to_bytes(4, "big")) == tried & K.WORD:
+                want[i] = (f"{tried >> 32:08x}", pattern.bit_count())
+                break
+    got = {r["image_id"]: (r["code"], r["flips"]) for r in K.chase_decode(spark.createDataFrame(rows, "image_id int, bit int, ratio double"), ["image_id"], width).collect()}
+    assert got == want and len(want) > 10
+    plan = K.chase_decode(spark.createDataFrame(rows, "image_id int, bit int, ratio double"), ["image_id"], 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan  # no row per pattern
