@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.catalog import verdicts as VQ
 from sightline.catalog.inputs import HASHES, assets, copies
-from sightline.catalog.video import _FRAMES, paired_tracks, two_face_detections
+from sightline.catalog.video import _FRAMES, PAIRED, paired_tracks, two_face_detections
 from sightline.functions import plugins
 from sightline.plans import verdicts as V
 from sightline.session import shared_folder, table
@@ -25,9 +25,10 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _drain(spark: SparkSession, name: str, rows: DataFrame, order: str, job, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run ``job`` over ``rows`` arriving in several micro-batches."""
+    """Run ``job`` over ``rows`` arriving in several waves."""
     folder = _folder(spark, name)
-    return S.drain(job(S.table_stream(rows, folder, order)), f"{folder}/out", f"{folder}/state", mode, keys)
+    S.arrive(rows, folder, order, lambda stream: S.started(job(stream), f"{folder}/out", f"{folder}/state", mode))
+    return S.written(spark, f"{folder}/out", mode, keys)
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +51,8 @@ def stream_attribution(spark: SparkSession, sf: str) -> DataFrame:
     content = copies(spark, sf).drop("plane", "label").withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     content = content.withColumn("arrival", F.col("content_id") % 97 + F.col("turn") * 50)
     folder = _folder(spark, "attribution")
-    stream = S.table_stream(content, folder, "arrival").drop("arrival", "turn")
-    S.scan_batches(stream, assets(spark, sf).drop("plane", "label"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    known = assets(spark, sf).drop("plane", "label")
+    S.arrive(content, folder, "arrival", lambda stream: S.scan_batches(stream.drop("arrival", "turn"), known, f"{folder}/out", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/out").select("content_id", F.col("asset_id"), "basis")
 
 
@@ -107,6 +108,7 @@ QUERIES = {f.__name__: f for f in (
     stream_scan, stream_failures, stream_attribution, stream_provenance, stream_tracks, stream_track_checks, stream_scene_samples, scored_documents, embedded_documents)}
 
 ORACLES = {
+    "stream_tracks": PAIRED,
     "stream_scan": f"""WITH {VQ._SCAN} SELECT sha256, verdict, level, similarity, 'doc/' || ord AS uri, places FROM found
       WHERE verdict NOT IN ('unrelated', 'inconclusive')""",
     "stream_failures": """SELECT sha256(text) AS sha256, 'doc/' || doc_id AS uri, doc_id AS ord FROM documents WHERE doc_id % 10 <> 9 AND n_chars % 23 = 0""",

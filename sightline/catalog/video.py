@@ -164,6 +164,24 @@ _FRAMES = """f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY u
   st AS (SELECT *, CASE WHEN ceil(frame_count / s0) > 600 THEN ceil(frame_count / 600)::BIGINT ELSE s0 END AS stride FROM m),
   samples AS (SELECT f.*, frame_number // stride AS step, frame_number / rate AS ts FROM f JOIN st USING (video_id)
     WHERE frame_number % stride = 0 AND frame_number // stride < 600)"""
+# One square of side 30 per step: an open track takes it if they overlap enough, the earliest first; else a new one begins.
+_WALK = f"""{_FRAMES}, dt AS (SELECT video_id, step, k % 7 * 4 AS x, step % 5 * 3 AS y, row_number() OVER (PARTITION BY video_id ORDER BY step) AS rn,
+    coalesce(step - lag(step) OVER (PARTITION BY video_id ORDER BY step) > 5, false) AS gap FROM samples WHERE k % 10 > 0),
+  ds AS (SELECT *, sum(gap::INT) OVER (PARTITION BY video_id ORDER BY rn)::BIGINT AS segment FROM dt),
+  walk AS (SELECT video_id, segment, step, rn, 0::BIGINT AS track_id, step AS born, 1::BIGINT AS next_id,
+      [{{'id': 0::BIGINT, 'seen': step, 'x': x, 'y': y, 'born': step}}] AS open FROM ds WHERE rn = 1
+    UNION ALL
+    SELECT video_id, segment, step, rn, coalesce(hit.id, fresh) AS track_id, coalesce(hit.born, step) AS born, CASE WHEN hit IS NULL THEN fresh + 1 ELSE fresh END AS next_id,
+      CASE WHEN hit IS NULL THEN list_append(held, {{'id': fresh, 'seen': step, 'x': x, 'y': y, 'born': step}})
+        ELSE list_transform(held, lambda t: CASE WHEN t.id = hit.id THEN {{'id': t.id, 'seen': step, 'x': x, 'y': y, 'born': t.born}} ELSE t END) END AS open
+    FROM (SELECT *, list_filter(held, lambda t: greatest(0, 30 - abs(t.x - x)) * greatest(0, 30 - abs(t.y - y))
+          >= 0.6 * (1800 - greatest(0, 30 - abs(t.x - x)) * greatest(0, 30 - abs(t.y - y))))[1] AS hit
+      FROM (SELECT d.*, CASE WHEN d.segment > w.segment THEN 0 ELSE w.next_id END AS fresh,
+          CASE WHEN d.segment > w.segment THEN [] ELSE list_filter(w.open, lambda t: d.step - t.seen <= 5) END AS held
+        FROM walk w JOIN ds d ON d.video_id = w.video_id AND d.rn = w.rn + 1) a) b)"""
+# Two people at one place share every box, so their tracks come in pairs; who came first when a pair began has the lower number.
+PAIRED = f"""WITH RECURSIVE {_WALK} SELECT video_id, segment, step, det_ix, 2 * track_id + ((det_ix + step) % 2 <> born % 2)::BIGINT AS track_id
+  FROM walk, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS det_ix) two"""
 _TRACKS = """f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value,
     (props->>'$.k')::INT AS k FROM events),
   t AS (SELECT video_id, k % 4 AS track_id, step, step / 2.0 AS ts, 'user-' || (k % 3) AS user_id, value / 200.0 AS similarity,
@@ -179,6 +197,8 @@ _SEEN = f"""{HASHES}, c AS (SELECT vec_id % 25 AS video_id, vec_id // 25 AS step
   seen AS (SELECT video_id, rank, asset_id, 1.0 - dist / 64 AS similarity, step FROM r WHERE rank <= 3)"""
 
 ORACLES = {
+    "face_tracks": f"WITH RECURSIVE {_WALK} SELECT video_id, segment, step, 0::BIGINT AS det_ix, track_id FROM walk",
+    "paired_tracks": PAIRED,
     "uniform_samples": f"WITH {_FRAMES} SELECT video_id, frame_number, step, round(ts, 6) AS ts, value FROM samples",
     "scene_change_samples": f"""WITH RECURSIVE {_FRAMES}, nxt AS (SELECT a.video_id, a.frame_number, min(b.frame_number) AS following
       FROM f a JOIN f b ON a.video_id = b.video_id AND b.frame_number > a.frame_number AND abs(b.value - a.value) >= 12 GROUP BY ALL),

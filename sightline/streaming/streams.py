@@ -141,28 +141,46 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str, keys: list[st
 
     Each micro-batch writes its own folder; in update mode the newest row per key counts.
     """
+    started(stream, out, checkpoint, mode).awaitTermination()
+    return written(stream.sparkSession, out, mode, keys)
+
+
+def started(stream: DataFrame, out: str, checkpoint: str, mode: str):
+    """Begin to write what is available, each micro-batch to its own folder; a repeated batch overwrites what it wrote before."""
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    written = stream.sparkSession.read.parquet(out)
+    return stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(spark: SparkSession, out: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream has written to ``out``; in update mode the newest row per key."""
+    rows = spark.read.parquet(out)
     if mode == "append":
-        return written.drop("batch")
-    fields = [c for c in written.columns if c not in ("batch", *keys)]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*keys, "r.*")
+        return rows.drop("batch")
+    fields = [c for c in rows.columns if c not in ("batch", *keys)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*keys, "r.*")
+
+
+def waves(df: DataFrame, order: str, count: int = 4) -> list[DataFrame]:
+    """A table in parts of rising ``order``, cut at its quantiles; rows without an order come last. Every row is in one part."""
+    at = F.col(order)
+    cuts = sorted(set(df.approxQuantile(order, [i / count for i in range(1, count)], 0.01)))
+    lows, highs = [None, *cuts], [*cuts, None]
+    parts = []
+    for low, high in zip(lows, highs):
+        above, below = F.lit(True) if low is None else at > low, F.lit(True) if high is None else at <= high
+        parts.append(df.where((above & below) | at.isNull() if high is None else above & below))
+    return parts
 
 
-def table_stream(df: DataFrame, folder: str, order: str, batches: int = 4) -> DataFrame:
-    """A table as a file stream of several micro-batches, in rising ``order``: state has to be carried from one to the next.
+def arrive(df: DataFrame, folder: str, order: str, start: Callable[[DataFrame], object], count: int = 4) -> None:
+    """Let a table arrive in waves of rising ``order``: state has to be carried from one to the next.
 
-    The table is cut at quantiles of ``order`` and written to ``folder``, one part after the other.
+    Every task of a wave's plan writes its own files, and one run of ``start(stream)`` (a query over what is available, with a
+    checkpoint of its own) takes all of them at once, in many tasks, before the next wave is written.
     """
     spark, path = df.sparkSession, f"{folder}/arrivals"
-    cuts = df.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01)
-    low = None
-    for high in [*sorted(set(cuts)), None]:
-        part = df if low is None else df.where(F.col(order) > low)
-        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-        low = high
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for wave in waves(df, order, count):
+        wave.write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
