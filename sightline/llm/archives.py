@@ -2,8 +2,8 @@
 
 An archive file is a ZIP of stored members: ``archive/data.warc.gz`` (one gzip member per record),
 ``indexes/index.cdxj`` (one line per record with its place in the WARC file) and ``datapackage.json``. A reader finds
-the members through the central directory, plain or ZIP64, and takes each record's own bytes by the index;
-nothing is extracted. The text sink puts one line end behind each file, which is the ZIP comment.
+the members through the central directory, plain or ZIP64, and fetches each record's own bytes by the index, neighbours
+together; nothing is extracted and no archive is loaded. The text sink puts one line end behind each file, which is the ZIP comment.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sightline.llm.base import Shelf, raw
 
 ARCHIVE_BYTES = 8 << 20
+RANGE_BYTES = 2 << 20
 LEAST_PAYLOAD = 0
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 COMMENT = b"\n"
@@ -168,7 +169,7 @@ def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLO
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least ``least_payload`` bytes
     the one with the smallest ``uri`` is a response and the others are revisits of it; smaller ones are all
-    responses. Which page answers for a payload is settled by one aggregate over digests; the join back meets a
+    responses. Payloads are equal where SHA-256 and length agree. Which page answers for one is settled by one aggregate over digests; the join back meets a
     payload of a third of all pages in partitions that AQE splits.
 
     A null ``uri`` never answers for others: such rows are responses. Rows that repeat the answering ``uri`` and
@@ -177,9 +178,9 @@ def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLO
     shelf = Shelf(pages.sparkSession, "archives")
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("uri", F.col("url").cast("string").alias("url"), body.alias("html")).withColumns(
-        {"sha1": F.sha1("html"), "n_bytes": F.octet_length("html")})
-    leaders = shelf.keep(rows.where(F.col("n_bytes") >= least_payload).groupBy("sha1", "n_bytes").agg(F.min("uri").alias("leader")), "leaders")
-    placed = rows.join(leaders, ["sha1", "n_bytes"], "left").select(
+        {"sha256": F.unhex(F.sha2("html", 256)), "n_bytes": F.octet_length("html")})
+    leaders = shelf.keep(rows.where(F.col("n_bytes") >= least_payload).groupBy("sha256", "n_bytes").agg(F.min("uri").alias("leader")), "leaders")
+    placed = rows.join(leaders, ["sha256", "n_bytes"], "left").select(
         F.col("uri").cast("string").alias("uri"), "url", "html",
         F.when((F.col("uri") != F.col("leader")), F.col("leader")).cast("string").alias("refers_to"))
 
@@ -208,33 +209,99 @@ def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLO
         "lineSep", COMMENT.decode()).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(uri STRING, url, record_type, payload_bytes, payload_digest, refers_to, payload BINARY)`` of every record below ``path``.
+class StoredFile:
+    """Byte ranges of one file, in any store that Arrow's file systems open; counts what it fetches."""
+
+    def __init__(self, path: str) -> None:
+        from pyarrow.fs import FileSystem
+
+        store, name = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        self.file = store.open_input_file(name)
+        self.fetched = 0
+
+    def read(self, at: int, length: int) -> bytes:
+        data = self.file.read_at(length, at)
+        if len(data) != length:
+            raise ValueError("the range lies outside the file")
+        self.fetched += length
+        return data
+
+
+def index_rows(path: str, length: int, stored: StoredFile) -> Iterator[dict]:
+    """Where every record of an archive lies: from its tail, its directory and its index alone."""
+    archive = ZippedArchive(stored.read, length)
+    data = archive.members[DATA]
+    for line in archive.whole(INDEX).decode().split("\n") if archive.members[INDEX].size else ():
+        entry = json.loads(line)
+        if entry["offset"] < 0 or entry["offset"] + entry["length"] > data.size:
+            raise ValueError("the range lies outside its member")
+        yield {"path": path, "at": data.start + entry["offset"], "length": entry["length"], "uri": entry["page"], "url": entry["url"]}
+
+
+def record_row(place: dict, data: bytes) -> dict:
+    """One record, checked: a response's payload against its digest and length. A revisit has no payload of its own."""
+    headers, http, payload = parse_record(data)
+    digest, length = headers["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
+    response = headers["warc-type"] == "response"
+    if response and (len(payload) != length or base32_sha1(payload) != digest):
+        raise ValueError(f"the payload of {place['uri']} is damaged")
+    return {"uri": place["uri"], "url": place["url"], "record_type": headers["warc-type"], "payload_bytes": length, "payload_digest": digest,
+            "refers_to": None if response else page_of(headers["warc-refers-to"]), "payload": payload if response else None}
+
+
+def fetched_rows(places: list[dict], open_file: Callable[[str], StoredFile] = StoredFile) -> Iterator[list[dict]]:
+    """The records at some places, by path and offset: what lies side by side comes with one read of at most ``RANGE_BYTES`` (or one record)."""
+    stored, path, i = None, None, 0
+    while i < len(places):
+        first = places[i]
+        if first["path"] != path:
+            stored, path = open_file(first["path"]), first["path"]
+        j, end = i + 1, first["at"] + first["length"]
+        while j < len(places) and places[j]["path"] == path and places[j]["at"] == end and end + places[j]["length"] - first["at"] <= RANGE_BYTES:
+            end += places[j]["length"]
+            j += 1
+        data = stored.read(first["at"], end - first["at"])
+        yield [record_row(p, data[p["at"] - first["at"]:p["at"] - first["at"] + p["length"]]) for p in places[i:j]]
+        i = j
+
+
+PLACES = pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("uri", pa.string()), ("url", pa.string())])
+RECORDS = pa.schema([("uri", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
+                     ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
+
+
+def archive_index(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, at, length, uri, url)`` of every record in the archives below ``path``: files are listed, and only directories and indexes are fetched."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = list(index_rows(file, length, StoredFile(file)))
+                for some in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_pylist(rows[some:some + 5000], PLACES)
 
-    Each archive is one binary row of bounded size, loaded whole: the reader parses its directory and index, and takes
-    each record by its range inside the archive in memory. No range is fetched from storage, so a single record costs
-    its whole archive. A response's payload is checked against its digest and length. A revisit has no payload of its own.
+    files = spark.read.format("binaryFile").load(path).where("length > 1").select("path", "length")  # without content, files are only listed
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, at bigint, length bigint, uri string, url string")
+
+
+def read_records(places: DataFrame) -> DataFrame:
+    """The records at ``places(path, at, length, uri, url)``, some or all rows of an index: ``(uri, url, record_type, payload_bytes, payload_digest, refers_to, payload)``.
+
+    Places are dealt out in stretches of an archive, so a large archive is read by many tasks and a small selection costs little more than its records.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_buffer()
-                view = memoryview(data)
-                archive = ZippedArchive(lambda at, n: bytes(view[at:at + n]), len(view))
-                lines = archive.whole(INDEX).decode().split("\n")
-                for at in range(0, len(lines), 500):
-                    yield pa.RecordBatch.from_pylist([record_row(archive, json.loads(line)) for line in lines[at:at + 500]], schema)
-
-    def record_row(archive: ZippedArchive, line: dict) -> dict:
-        headers, http, payload = parse_record(archive.range(DATA, line["offset"], line["length"]))
-        digest, length = headers["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
-        response = headers["warc-type"] == "response"
-        if response and (len(payload) != length or base32_sha1(payload) != digest):
-            raise ValueError(f"the payload of {line['page']} is damaged")
-        return {"uri": line["page"], "url": line["url"], "record_type": headers["warc-type"], "payload_bytes": length, "payload_digest": digest,
-                "refers_to": None if response else page_of(headers["warc-refers-to"]), "payload": payload if response else None}
-
-    schema = pa.schema([("uri", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
-                        ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
-    return spark.read.format("binaryFile").load(path).where("length > 1").select("content").mapInArrow(
-        run, "uri string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
+            for rows in fetched_rows(batch.to_pylist()):
+                yield pa.RecordBatch.from_pylist(rows, RECORDS)
+
+    stretch = F.floor(F.col("at") / RANGE_BYTES)
+    dealt = places.select("path", "at", "length", "uri", "url").repartition("path", stretch).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(run, "uri string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``(uri STRING, url, record_type, payload_bytes, payload_digest, refers_to, payload BINARY)`` of every record below ``path``.
+
+    Directories and indexes are read first, then the records' own ranges. A response's payload is checked against its digest
+    and length. A revisit has no payload of its own. An archive may be of any size, also beyond what one row could hold.
+    """
+    return read_records(archive_index(spark, path))

@@ -3,12 +3,16 @@
 import base64
 import hashlib
 import io
+import json
 import os
+import struct
 import zipfile
+import zlib
 
 import pytest
 
-from sightline.llm.archives import COMMENT, DATA, ZippedArchive, read_archives, write_archives, zip_of
+from sightline.llm import archives
+from sightline.llm.archives import COMMENT, DATA, INDEX, StoredFile, ZippedArchive, archive_index, fetched_rows, index_rows, read_archives, read_records, warc_record, write_archives, zip_of
 
 PAGES = "uri bigint, url string, html string, record_type string, leader string"
 
@@ -69,3 +73,62 @@ def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "w")
     write_archives(spark.createDataFrame([], PAGES), path)
     assert read_archives(spark, path).count() == 0
+
+
+def records_of(count):
+    """The data and index members of an archive with some records."""
+    records = [warc_record(str(i), None, (f"page {i} " + os.urandom(300).hex()).encode(), None) for i in range(count)]
+    lines, at = [], 0
+    for i, record in enumerate(records):
+        lines.append(json.dumps({"page": str(i), "url": None, "offset": at, "length": len(record)}))
+        at += len(record)
+    return b"".join(records), "\n".join(lines).encode()
+
+
+def test_one_record_costs_little(spark, tmp_path, monkeypatch):
+    data, index = records_of(3000)
+    path = tmp_path / "one.zip"
+    path.write_bytes(zip_of([(DATA, data), (INDEX, index)], COMMENT))
+    size = path.stat().st_size
+    stored = StoredFile(f"file:{path}")
+    places = list(index_rows(f"file:{path}", size, stored))
+    assert len(places) == 3000 and stored.fetched < len(index) + 70_000 < size / 3
+    opened_files = []
+    count = lambda name: opened_files.append(StoredFile(name)) or opened_files[-1]
+    rows = [r for some in fetched_rows(places[1700:1701], count) for r in some]
+    assert rows[0]["uri"] == "1700" and sum(f.fetched for f in opened_files) == places[1700]["length"] < size / 1000
+    monkeypatch.setattr(archives, "RANGE_BYTES", 20_000)
+    parts = list(fetched_rows(places[5:900] + places[2000:2010], count))
+    assert [r["uri"] for part in parts for r in part] == [str(i) for i in [*range(5, 900), *range(2000, 2010)]] and 10 < len(parts) < 100
+    some = read_records(archive_index(spark, str(tmp_path)).where("uri = '77' OR uri = '78'")).collect()
+    assert sorted(r.uri for r in some) == ["77", "78"] and all(bytes(r.payload).startswith(b"page 7") for r in some)
+
+
+def test_forced_zip64_through_the_operator(spark, tmp_path):
+    data, index = records_of(40)
+    (tmp_path / "wide.zip").write_bytes(zip_of([(DATA, data), (INDEX, index)], COMMENT, wide=True))
+    assert sorted(int(r.uri) for r in read_archives(spark, str(tmp_path)).collect()) == list(range(40))
+
+
+def test_archive_beyond_four_gigabytes(spark, tmp_path):
+    """A sparse file: a stored member of 4.5 GB without blocks on disk, and the archive's own members behind it."""
+    data, index = records_of(25)
+    filler, path = 4_500_000_000, tmp_path / "vast.zip"
+    with open(path, "wb") as f:
+        f.seek(filler)  # nothing points at the filler; the directory's places count from the file's beginning
+        at = f.tell()
+        central = b""
+        for name, body in ((DATA, data), (INDEX, index)):
+            label, here = name.encode(), f.tell()
+            extra = struct.pack("<HHQQ", 1, 16, len(body), len(body))
+            f.write(b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 33, zlib.crc32(body), 0xFFFFFFFF, 0xFFFFFFFF, len(label), len(extra)) + label + extra + body)
+            extra = struct.pack("<HHQQQ", 1, 24, len(body), len(body), here)
+            central += b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 33, zlib.crc32(body), 0xFFFFFFFF, 0xFFFFFFFF, len(label), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + label + extra
+        place = f.tell()
+        f.write(central)
+        end64 = f.tell()
+        f.write(b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 2, 2, len(central), place) + b"PK\x06\x07" + struct.pack("<IQI", 0, end64, 1))
+        f.write(b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    assert at > 1 << 32
+    got = read_archives(spark, str(tmp_path)).collect()
+    assert sorted(int(r.uri) for r in got) == list(range(25)) and all(r.payload for r in got)
