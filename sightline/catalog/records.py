@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from sightline.plans import verdicts as V
 from sightline.session import shared_folder, table
 from sightline.settings import FaceThresholds
 from sightline.sources import manifests, registry
+from sightline.sources import media
 from sightline.sources.media import pixel_digest
 
 r6 = lambda column, name: F.round(column, 6).alias(name)
@@ -24,6 +28,29 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a file of a folder tree, every ninth without a media suffix: listed, and digested by its bytes."""
+    root = _path(spark, "folder")
+    n = F.col("doc_id")
+    suffix = F.get(F.array(*[F.lit(s) for s in (".jpg", ".PNG", ".mp4", ".webp", ".txt", ".mkv", ".bmp", "", ".mov")]), (n % 9).cast("int"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), n, suffix).alias("name"), (n % 4).alias("shelf"), F.coalesce("text", F.lit("")).alias("value"))
+
+    def write(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root) if ":" in root else (LocalFileSystem(), root)
+        for part in rows:
+            for name, shelf, value in zip(part["name"], part["shelf"], part["value"]):
+                store.create_dir(f"{base}/shelf-{shelf}", recursive=True)
+                with store.open_output_stream(f"{base}/shelf-{shelf}/{name}") as file:
+                    file.write(value.encode())
+            yield part[["name"]]
+
+    docs.mapInPandas(write, "name string").count()
+    listed = media.media_manifest(spark, root).select("uri", "kind", "source", "size_bytes")
+    digested = media.media_content(spark, root).select("uri", "sha256", F.col("size_bytes").alias("digested_bytes"))
+    tail = F.regexp_extract("uri", "(shelf-[0-9]/[^/]+)$", 1)
+    return listed.join(digested, "uri").select(tail.alias("place"), "kind", "source", "size_bytes", "digested_bytes", "sha256")
+
+
 def box_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as two detections of one frame."""
     n = F.col("event_id")
@@ -148,10 +175,14 @@ def result_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    box_geometry, face_quality, head_poses, vector_blends, vector_digests, pixel_digests, content_credentials, copy_scales, asset_files, identity_files,
+    folder_listing, box_geometry, face_quality, head_poses, vector_blends, vector_digests, pixel_digests, content_credentials, copy_scales, asset_files, identity_files,
     evidence_files, identity_lists, result_files)}
 
 ORACLES = {
+    "folder_listing": """WITH s AS (SELECT doc_id, doc_id % 9 AS k, octet_length(encode(coalesce(text, ''))) AS n, sha256(coalesce(text, '')) AS h FROM documents)
+      SELECT 'shelf-' || (doc_id % 4) || '/doc-' || doc_id || ['.jpg', '.PNG', '.mp4', '.webp', '.txt', '.mkv', '.bmp', '', '.mov'][k + 1] AS place,
+      CASE WHEN k IN (2, 5, 8) THEN 'video' ELSE 'image' END AS kind, 'local' AS source, n::BIGINT AS size_bytes, n::BIGINT AS digested_bytes, h AS sha256
+      FROM s WHERE k NOT IN (4, 7)""",
     "box_geometry": """WITH e AS (SELECT event_id, (event_id % 90 - 5)::DOUBLE AS ax1, (event_id % 70 - 3)::DOUBLE AS ay1, (event_id % 90 + 5 + event_id % 31)::DOUBLE AS ax2,
         (event_id % 70 + 7 + event_id % 23)::DOUBLE AS ay2, event_id % 83 + 0.5::DOUBLE AS bx1, event_id % 61 + 0.25::DOUBLE AS by1, event_id % 83 + 12.5::DOUBLE AS bx2,
         event_id % 61 + 9.75::DOUBLE AS by2, event_id % 11 / 10 AS conf FROM events),

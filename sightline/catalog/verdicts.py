@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog.identity import _MAX
-from sightline.catalog.inputs import HASHES, assets, copies, planes, probes, references
+from sightline.catalog.inputs import HASHES, UNIT, assets, copies, planes, probes, references
 from sightline.functions.boxes import make_box
 from sightline.operators import attribution as A
 from sightline.operators import facecheck as FC
@@ -162,8 +162,13 @@ def image_evidence(spark: SparkSession, sf: str) -> DataFrame:
                       "face_in_registered_file", "deepfake_score", "rule", "verdict", "level", "summary")
 
 
+def image_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """What the gate before the scorer let through: attribution, subject, its decision, and the score that only a candidate's own face gets."""
+    return image_evidence(spark, sf).select("content_id", "subject_user_id", "asset_match_basis", "subject_decision", "deepfake_score")
+
+
 QUERIES = {f.__name__: f for f in (
-    verdicts, evidence_summary, verdict_explanations, verdict_scorecard, scan_findings, scan_report, registered_face_check, copy_face_classes,
+    image_gate, verdicts, evidence_summary, verdict_explanations, verdict_scorecard, scan_findings, scan_report, registered_face_check, copy_face_classes,
     nearest_by_centre, image_evidence)}
 
 _EVIDENCE = f"""{_MAX}, {HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id AS asset_id, bit_count(xor(a.bits, b.bits)) AS dist
@@ -220,6 +225,11 @@ _EVIDENCE = f"""{_MAX}, {HASHES}, d AS (SELECT a.vec_id AS content_id, b.vec_id
   levels(verdict, level) AS (VALUES ('inconclusive', 'low'), ('unrelated', 'low'), ('review', 'low'), ('own_copy', 'low'), ('identity_match', 'medium'), ('own_unverified', 'medium'), ('own_altered', 'high'), ('synthetic_suspected', 'high')),
   final AS (SELECT r.*, n.verdict, CASE WHEN n.verdict = 'synthetic_suspected' AND fake >= 0.8 THEN 'critical' ELSE l.level END AS level
     FROM ruled r JOIN named n USING (rule) JOIN levels l ON l.verdict = n.verdict)"""
+# The same over the copies' own disturbed faces, against every reference.
+_SHOWN = f"""{UNIT}, shown AS (SELECT vec_id, list(val + (vec_id % 4) * 0.06 * ((i * (vec_id + 3)) % 5 - 2) ORDER BY i) AS w
+    FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS val FROM embeddings) GROUP BY 1),
+  p AS (SELECT f.vec_id AS probe_id, u.label AS user_id, max(list_dot_product(f.w, u.v) / greatest(sqrt(list_dot_product(f.w, f.w)), 1e-12)) AS similarity
+    FROM shown f, u GROUP BY ALL)"""
 _SCAN = """names(i, verdict, level) AS (VALUES (0, 'inconclusive', 'low'), (1, 'unrelated', 'low'), (2, 'review', 'low'), (3, 'own_copy', 'low'), (4, 'identity_match', 'medium'), (5, 'own_unverified', 'medium'), (6, 'own_altered', 'high'), (7, 'synthetic_suspected', 'high')),
   items AS (SELECT sha256(text) AS sha256, doc_id, source, n_chars, CASE WHEN doc_id % 10 <> 9 THEN 'image' END AS kind,
     n_chars % 23 <> 0 AS ok FROM documents),
@@ -248,6 +258,8 @@ _NEAR = """boxes AS (SELECT vec_id, vec_id // 2 AS content_id, (vec_id * 7) % 60
   near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 12), near_ix) AS rn FROM dist)"""
 
 ORACLES = {
+    "image_gate": f"""WITH {_EVIDENCE.replace(_MAX, _SHOWN)} SELECT c AS content_id, 'user-' || subject AS subject_user_id, basis AS asset_match_basis,
+      dec AS subject_decision, fake AS deepfake_score FROM ev""",
     "verdicts": f"""WITH {_EVIDENCE} SELECT c AS content_id, 'user-' || subject AS subject_user_id, dec AS identity_decision, rule,
       verdict, level FROM final""",
     "evidence_summary": f"""WITH {_EVIDENCE}
