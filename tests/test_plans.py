@@ -346,3 +346,22 @@ def test_pages_are_parsed_once(spark):
     pages = spark.createDataFrame([("http://h/", "<a href='x.jpg'>x</a><img src='x.jpg'>")], "url string, html string")
     plan = page_edges(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_waves_hold_every_row_and_are_written_by_many_tasks(spark, tmp_path):
+    frame = spark.range(0, 1000, 1, 6).selectExpr("id", "IF(id % 50 = 0, NULL, id % 97) AS arrival")
+    parts = [p.collect() for p in ST.waves(frame, "arrival", 4)]
+    assert sorted(r["id"] for p in parts for r in p) == list(range(1000))
+    tops = [max(r["arrival"] for r in p if r["arrival"] is not None) for p in parts]
+    assert tops == sorted(tops) and sum(r["arrival"] is None for r in parts[-1]) == 20
+    seen = []
+
+    def start(stream):
+        def note(batch, batch_id):
+            seen.append((batch.rdd.getNumPartitions(), batch.count()))
+
+        return stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+
+    ST.arrive(frame, str(tmp_path), "arrival", start)
+    assert len(seen) == len(parts) and [n for _, n in seen] == [len(p) for p in parts]
+    assert len(list((tmp_path / "arrivals").glob("part-*"))) >= 6 * len(parts) - 6
