@@ -63,46 +63,59 @@ def _idle(state: GroupState, idle_ms: int | None) -> None:
         state.setTimeoutDuration(idle_ms)
 
 
-def stream_tracks(detections: DataFrame, rules: TrackingRules = TrackingRules(), idle_ms: int | None = None) -> DataFrame:
+def stream_tracks(detections: DataFrame, rules: TrackingRules = TrackingRules(), idle_ms: int | None = None, lateness: int = 0) -> DataFrame:
     """Track ids for arriving ``detections(video_id, step, det_ix, x1, y1, x2, y2[, descriptor])`` of many videos.
 
     State per video: the open tracks with their boxes and descriptors (bounded by the faces in view and the gap), segment and
-    ids. Steps of a video must arrive in order; a detection at or before a step that an earlier batch has closed comes too late to
-    be placed, and is passed on with a NULL track.
+    ids, and the detections of the last ``lateness`` steps. A step is held until the video has shown one ``lateness`` steps later, so what
+    arrives out of order within that reach is placed in order. A row without ``det_ix`` ends its video: whatever is held is placed; so does the
+    ``idle_ms`` timeout. A detection at or before a step that is already placed comes too late, and is passed on with a NULL track.
     """
     has_look = "descriptor" in detections.columns
     video_type = dict(detections.dtypes)["video_id"]
     output = f"video_id {video_type}, segment bigint, step bigint, det_ix bigint, track_id bigint"
-    state_schema = ("segment bigint, next_id bigint, last_step bigint, ids array<bigint>, seen array<bigint>, boxes array<array<double>>, "
-                    "looks array<array<double>>")
+    held_row = "array<struct<step:bigint,det_ix:bigint,box:array<double>,look:array<double>>>"
+    state_schema = ("segment bigint, next_id bigint, last_step bigint, newest bigint, ids array<bigint>, seen array<bigint>, boxes array<array<double>>, "
+                    f"looks array<array<double>>, held {held_row}")
+    floats = lambda values: None if values is None else [float(v) for v in values]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        segment, next_id, last, tracks = 0, 0, None, []
+        segment, next_id, last, newest, tracks, held = 0, 0, None, None, [], []
         if state.exists:
-            segment, next_id, last, ids, seen, boxes, looks = state.get
+            segment, next_id, last, newest, ids, seen, boxes, looks, held = state.get
             tracks = [{"id": i, "seen": s, "box": tuple(b), "look": None if k is None else np.asarray(k)} for i, s, b, k in zip(ids, seen, boxes, looks)]
-        open_, closed = OpenTracks(rules, next_id, tracks), last
-        rows = pd.concat(list(batches)).sort_values(["step", "det_ix"])
-        out = []
-        for step, part in rows.groupby("step", sort=True):
-            step = int(step)
-            if closed is not None and step <= closed:
-                out.extend((key[0], None, step, int(det), None) for det in part["det_ix"])
-                continue
+            held = [tuple(row) for row in held]
+        out, ended = [], state.hasTimedOut
+        for rows in () if state.hasTimedOut else batches:
+            looks = list(rows["descriptor"]) if has_look else [None] * len(rows)
+            for step, det, box, look in zip(rows["step"], rows["det_ix"], rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None), looks):
+                if pd.isna(det):
+                    ended = True
+                elif last is not None and step <= last:
+                    out.append((key[0], None, int(step), int(det), None))
+                else:
+                    held.append((int(step), int(det), floats(box), floats(look)))
+                    newest = int(step) if newest is None else max(newest, int(step))
+        held.sort(key=lambda row: row[:2])
+        open_ = OpenTracks(rules, next_id, tracks)
+        done = 0
+        while done < len(held) and (ended or held[done][0] <= newest - lateness):
+            step = held[done][0]
+            until = done
+            while until < len(held) and held[until][0] == step:
+                until += 1
+            part = held[done:until]
             if last is not None and step - last > rules.max_gap:
                 segment, open_ = segment + 1, OpenTracks(rules)
-            boxes = list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-            seen_as = list(part["descriptor"]) if has_look else [None] * len(part)
-            for det, track in zip(part["det_ix"], open_.step(step, boxes, seen_as)):
-                out.append((key[0], segment, step, int(det), track))
-            last = step
-        state.update((segment, open_.next_id, last, [t["id"] for t in open_.tracks], [t["seen"] for t in open_.tracks],
-                      [[float(v) for v in t["box"]] for t in open_.tracks],
-                      [None if t["look"] is None else [float(v) for v in t["look"]] for t in open_.tracks]))
-        _idle(state, idle_ms)
+            for (_, det, _, _), track in zip(part, open_.step(step, [tuple(row[2]) for row in part], [None if row[3] is None else np.asarray(row[3]) for row in part])):
+                out.append((key[0], segment, step, det, track))
+            last, done = step, until
+        if state.hasTimedOut or ended:
+            state.remove()
+        else:
+            state.update((segment, open_.next_id, last, newest, [t["id"] for t in open_.tracks], [t["seen"] for t in open_.tracks],
+                          [floats(t["box"]) for t in open_.tracks], [floats(t["look"]) for t in open_.tracks], held[done:]))
+            _idle(state, idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "segment", "step", "det_ix", "track_id"]).astype({"segment": "Int64", "track_id": "Int64"})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout

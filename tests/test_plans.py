@@ -340,6 +340,22 @@ def test_late_detections_are_passed_on_without_a_track(spark, tmp_path):
     assert sorted((r["step"], r["track_id"]) for r in got.collect()) == [(3, None), (5, 0), (6, 0)]
 
 
+def test_steps_out_of_order_are_held_and_placed(spark, tmp_path):
+    """Arrivals shuffled within five steps, some a batch late: held, they get the tracks of the orderly table; one beyond the reach gets none."""
+    rng = random.Random(21)
+    rows = [(v, s, i, float(i * 40 + rng.randrange(9)), 0.0, float(i * 40 + 30), 30.0) for v in range(3) for s in [*range(24), *range(40, 60)] for i in range(rng.randrange(3))]
+    schema = "video_id int, step long, det_ix long, x1 double, y1 double, x2 double, y2 double"
+    frame = spark.createDataFrame(rows, schema)
+    ends = [(v, 60, None, None, None, None, None) for v in range(3)]
+    batch_of = lambda row: min(3, max(0, (row[1] + rng.randrange(-4, 2)) // 15))
+    sent = spark.createDataFrame([(*row, batch_of(row)) for row in rows] + [(1, 2, 7, 0.0, 0.0, 9.0, 9.0, 3)] + [(*row, 4) for row in ends], f"{schema}, batch int")
+    stream = _file_stream(spark, tmp_path, sent, [f"batch = {i}" for i in range(5)]).drop("batch")
+    got = ST.drain(ST.stream_tracks(stream, lateness=6), str(tmp_path / "out"), str(tmp_path / "state"), "append").collect()
+    columns = ["video_id", "segment", "step", "det_ix", "track_id"]
+    assert [tuple(r[c] for c in columns) for r in got if r["track_id"] is None] == [(1, None, 2, 7, None)]
+    assert {tuple(r[c] for c in columns) for r in got if r["track_id"] is not None} == {tuple(r) for r in S.track_faces(frame).select(*columns).collect()}
+
+
 def test_pages_are_parsed_once(spark):
     from sightline.sources.web import page_edges
 
