@@ -84,15 +84,15 @@ ORACLES = {
     "crawl_frontier": f"""WITH {_PARTS}, n AS (SELECT count(*) AS n FROM pages),
       lk AS (SELECT a.clean AS a, b.clean AS b, pos FROM p a CROSS JOIN n CROSS JOIN (SELECT unnest([0, 1]) AS pos) v
         JOIN p b ON b.page_id = CASE WHEN pos = 0 THEN (a.page_id * 2 + 1) % n ELSE (a.page_id * 3 + 2) % n END),
-      d1 AS (SELECT a AS s, b, row_number() OVER (PARTITION BY a ORDER BY pos) AS turn FROM (SELECT a, b, min(pos) AS pos FROM lk WHERE a <> b GROUP BY ALL) x),
-      d2 AS (SELECT s, b, row_number() OVER (PARTITION BY s ORDER BY m) AS turn FROM (SELECT d1.s, l.b, min(d1.turn * 10 + l.pos) AS m FROM d1 JOIN lk l ON l.a = d1.b
+      d1 AS (SELECT a AS s, b, row_number() OVER (PARTITION BY a ORDER BY pos, b) AS turn FROM (SELECT a, b, min(pos) AS pos FROM lk WHERE a <> b GROUP BY ALL) x),
+      d2 AS (SELECT s, b, row_number() OVER (PARTITION BY s ORDER BY m, b) AS turn FROM (SELECT d1.s, l.b, min(d1.turn * 10 + l.pos) AS m FROM d1 JOIN lk l ON l.a = d1.b
         LEFT JOIN d1 e ON e.s = d1.s AND e.b = l.b WHERE l.b <> d1.s AND e.s IS NULL GROUP BY ALL) x),
       queue AS (SELECT s, node, depth, row_number() OVER (PARTITION BY s ORDER BY depth, turn) AS k FROM (SELECT clean AS s, clean AS node, 0 AS depth, 1 AS turn FROM p
         UNION ALL SELECT s, b, 1, turn FROM d1 UNION ALL SELECT s, b, 2, turn FROM d2) x),
       hrefs AS (SELECT clean, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM p),
       media AS (SELECT clean, site || h[i] || '.jpg' AS target, min(i) AS place FROM (SELECT clean, site, h, unnest(range(1, len(h) + 1)) AS i FROM hrefs) x GROUP BY ALL),
       firsts AS (SELECT s, node, depth, target, k, place, row_number() OVER (PARTITION BY s, target ORDER BY k, place) AS r FROM queue JOIN media ON clean = node WHERE k <= 5),
-      counted AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, place) AS nth FROM firsts WHERE r = 1)
+      counted AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, place, target) AS nth FROM firsts WHERE r = 1)
       SELECT s AS seed, node AS found_on, target AS target_url, 'image' AS kind, depth::INT AS depth, nth FROM counted WHERE nth <= 12""",
     "crawl_same_host": f"""WITH {_PARTS}, n AS (SELECT count(*) AS n FROM pages),
       link AS (SELECT p.clean AS a, q.clean AS b FROM p CROSS JOIN n JOIN p q ON q.page_id IN ((p.page_id * 2 + 1) % n, (p.page_id * 3 + 2) % n)
